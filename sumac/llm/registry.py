@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination, hit_words
+from .mixing import mix
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +30,69 @@ def query(name: str, sql: str | None = None):
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicates(table(spark, sf_dir, "documents"))
     return classes.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op4_mix_to_target_weights",
+    r"""
+    WITH d AS (
+      SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+      FROM documents),
+    s AS (
+      SELECT key, sum(size)::BIGINT AS source_size, (2 * sum(size))::DOUBLE AS room,
+             CASE (row_number() OVER (ORDER BY key) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+      FROM d GROUP BY key),
+    k AS (
+      SELECT room / weight AS fills_at,
+             (1.5 * (SELECT sum(size) FROM d)
+               - coalesce(sum(room) OVER (ORDER BY room / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+             / sum(weight) OVER (ORDER BY room / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+      FROM s),
+    l AS (SELECT arg_min(level, fills_at) AS level FROM k WHERE level <= fills_at),
+    t AS (SELECT key, source_size, least(room, weight * level) AS target FROM s, l),
+    q AS (
+      SELECT doc_id, size, source_size, target,
+             coalesce(sum(size) OVER (PARTITION BY key ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+      FROM d JOIN t USING (key))
+    SELECT doc_id, size, source_size, target,
+           (greatest(0, least(size, floor(target)::BIGINT - b)) + greatest(0, least(size, floor(target)::BIGINT - b - source_size)))::BIGINT AS taken
+    FROM q
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query(
+    "op5_benchmark_decontamination",
+    r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+    i AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark),
+    p AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS j FROM i WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item_id, n, array_to_string(w[j : j + n - 1], ' ') AS t FROM p),
+    starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+    hit AS (SELECT doc_id, j, a.n, item_id FROM (SELECT doc_id, n, j, array_to_string(w[j : j + n - 1], ' ') AS t FROM starts) a JOIN windows x ON a.t = x.t AND a.n = x.n),
+    covered AS (SELECT doc_id, count(DISTINCT pos)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(j, j + n)) AS pos FROM hit) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = hit_words()
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
