@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination, hit_words
 from .mixing import mix
 from .simhash import near_duplicates
+from .substring import without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +97,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query(
+    "op6_substring_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (SELECT doc_id, j, md5(array_to_string(w[j : j + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS j FROM d WHERE len(w) >= 35)),
+    again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+    gone AS (SELECT doc_id, list(DISTINCT pos) AS p FROM (SELECT doc_id, unnest(range(j, j + 35)) AS pos FROM windows JOIN again USING (h)) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed,
+           sha256(array_to_string(CASE WHEN p IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(p, i)) END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN gone USING (doc_id)
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
