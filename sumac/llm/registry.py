@@ -14,6 +14,7 @@ from .mixing import mix
 from .simhash import near_duplicates
 from .substring import without_repeats
 from .tokens import token_table
+from .urls import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,3 +123,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_table(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
+#: Fixed values of the url contract: host, path, action.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: Listed canonical URLs: the roots of sites that carry spam.
+LISTED = [(f"{name}.example.{top}", "/") for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+@query(
+    "op10_url_filter",
+    rf"""
+    WITH u AS (SELECT page_id, CASE WHEN coalesce(strpos(url, '://'), 0) > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (
+      SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+      FROM u),
+    rules(h, q, action) AS (VALUES {", ".join(map(str, RULES))}),
+    listed(h, q) AS (VALUES {", ".join(map(str, LISTED))}),
+    fit AS (
+      SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(action, length(h || q)) AS action
+      FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id),
+    bad AS (SELECT DISTINCT page_id FROM p JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+    SELECT p.page_id, host, path, rule, coalesce(action, CASE WHEN bad.page_id IS NOT NULL THEN 'block' END, 'allow') AS verdict
+    FROM p LEFT JOIN fit USING (page_id) LEFT JOIN bad USING (page_id)
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS t(host, path, action)")
+    blocked = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, LISTED))} AS t(host, path)")
+    found = judge(table(spark, sf_dir, "pages"), rules, blocked)
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
