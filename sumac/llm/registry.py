@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import new_path, table
 from .decontaminate import contamination, hit_words
+from .html import extract
 from .mixing import mix
+from .quality import LEAST_GOOD, score, train
 from .simhash import near_duplicates
 from .substring import without_repeats
 from .tokens import token_table
@@ -154,3 +156,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocked = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, LISTED))} AS t(host, path)")
     found = judge(table(spark, sf_dir, "pages"), rules, blocked)
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op1_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    rated = score(docs.select("doc_id", "text"), model)
+    return rated.select("doc_id", "expected_grade", "good", (F.col("good") >= LEAST_GOOD).alias("kept"))
