@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -19,6 +20,11 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps between tasks: Spark reuses the process, but unpickles functions anew."""
+    return vars(sys.modules.setdefault("sumac_worker_state", types.ModuleType("sumac_worker_state")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -88,3 +94,6 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+ship(__name__)

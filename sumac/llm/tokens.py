@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import ship, text_hash
+from .common import ship, text_hash, worker_state
 
-#: Words that one task keeps with their ids (about 70 MB); further words are encoded each time.
-CACHE = 300_000
+#: Words that a Python worker keeps with their ids (about 120 MB); further words are encoded each time.
+CACHE = 600_000
 #: Text bytes that make one batch of the output.
 SLICE = 1 << 21
 #: Layout of the files. Token ids repeat, so they are dictionary-coded; the rising document ids and offsets
@@ -35,40 +36,69 @@ LAYOUT = {
 
 ship(__name__)
 
-#: White space but the space and the line feed.
-OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+#: White space but the space and the line feed, and the marks that stand for pieces below.
+OTHER = re.compile(r"[\x01-\x04\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+#: A point or comma before a space that may belong to a longer piece.
+LOOSE = re.compile(r"(?<![A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])[.,] ")
+POINT, COMMA, FIRST = "\x01", "\x02", "\x04"
 
 
-class Encoder(dict):
-    """Encodes texts; keeps the ids, as bytes, of words that follow a space.
+class Encoder:
+    """Encodes texts; keeps the ids, as bytes, of pieces that recur.
 
-    A byte-level tokenizer that splits before a single space encodes each word on its own. So a text
-    whose spaces each stand between two other characters is the sequence of its words' ids; any other
-    text goes through the tokenizer whole.
+    A byte-level tokenizer splits before each single space, around a single line feed and between a
+    letter and a point or comma, and encodes what lies between on its own. So a text whose white space is
+    of that kind is the sequence of its pieces' ids; any other text goes through the tokenizer whole.
+    Pieces: a word that follows a space, a line feed and the word behind it, a first word, and a point
+    or comma behind a letter.
     """
 
     def __init__(self, vocabulary: str, end: int):
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.end = array("i", [end]).tobytes()
+        self.kept: dict[str, bytes] = {}
         pre = self.tokenizer.pre_tokenizer
-        self.by_word = pre is not None and pre.pre_tokenize_str("a b.\nc d") == [("a", (0, 1)), ("Ġb", (1, 3)), (".", (3, 4)), ("Ċ", (4, 5)), ("c", (5, 6)), ("Ġd", (6, 8))] and self.tokenizer.normalizer is None
-
-    def ids(self, text: str) -> bytes:
-        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.ids(" " + word)
-        if len(self) < CACHE:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        odd = not self.by_word or text[:1] in " \n" or text[-1:] in " \n" or "  " in text or " \n" in text or "\n " in text or "<|" in text
-        if odd or OTHER_SPACE.search(text):
-            return self.ids(text) + self.end
-        first, *rest = text.split(" ")
-        return b"".join((self.ids(first), *map(self.__getitem__, rest), self.end))
+        split = pre and [x for x, _ in pre.pre_tokenize_str("a b.\n\nc, d")]
+        self.by_piece = split == ["a", "Ġb", ".", "Ċ", "Ċ", "c", ",", "Ġd"] and self.tokenizer.normalizer is None
+
+    def pieces(self, text: str) -> list[str] | None:
+        if not self.by_piece or text[:1] in " \n" or text[-1:] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "<|" in text or OTHER.search(text):
+            return None
+        text = text.replace("\n", " \n")
+        if not LOOSE.search(text):
+            text = text.replace(". ", " \x01 ").replace(", ", " \x02 ")
+        out = text.split(" ")
+        out[0] = FIRST + out[0]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian 32-bit integers."""
+        split = [self.pieces(t) for t in texts]
+        new = list(set().union(*filter(None, split)) - self.kept.keys())
+        said = {POINT: ".", COMMA: ","}
+        spoken = [said.get(p) or (p[1:] if p[0] == FIRST else p if p[0] == "\n" else " " + p) for p in new]
+        coded = self.tokenizer.encode_batch_fast(spoken, add_special_tokens=False)
+        self.kept.update(zip(new, (array("i", c.ids).tobytes() for c in coded)))
+        out = []
+        for t, parts in zip(texts, split):
+            if parts is None:
+                out.append(array("i", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() + self.end)
+            else:
+                out.append(b"".join(map(self.kept.__getitem__, parts)) + self.end)
+        if len(self.kept) > CACHE:
+            for p in new:
+                del self.kept[p]
+        return out
+
+
+def worker_encoder(vocabulary: str, end: int) -> Encoder:
+    """The encoder of this Python worker, which Spark uses for many tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    kept = worker_state()
+    key = ("encoder", hash(vocabulary), end)
+    if key not in kept:
+        kept[key] = Encoder(vocabulary, end)
+    return kept[key]
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | Path, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -85,26 +115,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | Path, end: int =
     schema = T.StructType([rows.schema["id"], T.StructField("th", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, end)
-
-        def packed(lo: int, held: list[bytes]) -> pa.RecordBatch:
-            counts = np.array([len(x) // 4 for x in held], np.int32)
-            values = pa.array(np.frombuffer(b"".join(held), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
-            n = len(held)
-            return pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array(counts), lists], names=schema.names)
-
+        encoder = worker_encoder(shared.value, end)
         for b in batches:
-            lo, size, held = 0, 0, []
-            for t in b.column(2):
-                text = t.as_py()
-                if held and size + len(text) > SLICE:
-                    yield packed(lo, held)
-                    lo, size, held = lo + len(held), 0, []
-                held.append(encoder.encode(text))
-                size += len(text)
-            if held:
-                yield packed(lo, held)
+            lo, texts = 0, b.column(2).to_pylist()
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE):
+                    size += len(texts[hi])
+                    hi += 1
+                coded = encoder.encode(texts[lo:hi])
+                counts = np.array([len(x) // 4 for x in coded], np.int32)
+                values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(counts), lists], names=schema.names)
+                lo = hi
 
     rows = rows.repartitionByRange("id", "th").sortWithinPartitions("id", "th")
     coded = rows.mapInArrow(task, schema).withColumn("shard", F.spark_partition_id())
