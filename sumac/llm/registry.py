@@ -13,6 +13,7 @@ from .decontaminate import contamination, hit_words
 from .html import extract
 from .mixing import mix
 from .quality import LEAST_GOOD, score, train
+from .quality_rules import judge_quality
 from .simhash import near_duplicates
 from .substring import without_repeats
 from .tokens import token_table
@@ -170,3 +171,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
     rated = score(docs.select("doc_id", "text"), model)
     return rated.select("doc_id", "expected_grade", "good", (F.col("good") >= LEAST_GOOD).alias("kept"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
