@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import new_path, table
 from .decontaminate import contamination, hit_words
 from .html import extract
+from .lines import drop_later_runs
 from .mixing import mix
 from .quality import LEAST_GOOD, score, train
 from .quality_rules import judge_quality
@@ -178,3 +179,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query(
+    "op7_line_dedup",
+    r"""
+    WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    every AS (SELECT doc_id, i, trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
+    lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM every WHERE line <> ''),
+    d AS (SELECT doc_id, list(line ORDER BY pos) AS l FROM lines GROUP BY doc_id),
+    runs AS (SELECT doc_id, s, n, md5(array_to_string(l[s : s + n - 1], chr(10))) || n AS h
+             FROM (SELECT doc_id, l, least(len(l), 3) AS n, unnest(range(1, len(l) - least(len(l), 3) + 2)) AS s FROM d)),
+    later AS (SELECT doc_id, s, n FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM runs) WHERE k > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s - 1, s + n - 1)) AS pos FROM later),
+    t AS (
+      SELECT e.doc_id, e.i, e.line = '' AS blank, sum(CASE WHEN e.line <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY e.doc_id ORDER BY e.i) - 1 AS pos
+      FROM every e),
+    k AS (
+      SELECT t.doc_id, string_agg(r.ls[t.i], chr(10) ORDER BY t.i) FILTER (t.blank OR g.pos IS NULL) AS kept,
+             count(*) FILTER (NOT t.blank) AS n_lines, count(*) FILTER (NOT t.blank AND g.pos IS NOT NULL) AS n_removed
+      FROM t JOIN raw r ON r.doc_id = t.doc_id LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.pos = t.pos GROUP BY t.doc_id)
+    SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = drop_later_runs(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
