@@ -6,7 +6,9 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,6 +128,26 @@ class Automaton:
         return mask, items
 
 
+def item_shards(items: DataFrame, item_words: int = ITEM_WORDS, item_id_col: str = "item_id", item_text_col: str = "text") -> list[Broadcast]:
+    """The items (id as a string or None, text), dealt into as many broadcasts as keep each at about
+    item_words words."""
+    tests = cut(items.select(F.col(item_id_col).cast("string").alias("k"), F.col(item_text_col).cast("binary").alias("t")))
+    size = tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    passes = max(1, -(-size // (2 * item_words)))  # a word has a character and a space at least
+    parts = (tests.where(F.pmod(F.xxhash64("k", "t"), F.lit(passes)) == k).collect() for k in range(passes))
+    return [items.sparkSession.sparkContext.broadcast([(r["k"], bytes(r["t"] or b"")) for r in part]) for part in parts]
+
+
+def union(spans: Column) -> Column:
+    """Spans in order of their start as disjoint ones: each widens the last or starts anew."""
+    joined = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))
+    return F.aggregate(
+        F.array_sort(spans),
+        F.expr("cast(array() as array<array<int>>)"),
+        lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(F.element_at(acc, -1)[1] >= x[0], joined(acc, x)).otherwise(F.concat(acc, F.array(x))),
+    )
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_words: int = ITEM_WORDS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Where the test items occur in every document.
 
@@ -135,15 +157,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_
     Null and blank texts have no words; items without words are skipped; items with a null id mark words
     but are not listed. Rows of equal id and text are equal in the result.
     """
-    tests = cut(items.select(F.col(item_id_col).cast("string").alias("k"), F.col(item_text_col).cast("binary").alias("t")))
-    size = tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    passes = max(1, -(-size // (2 * item_words)))  # a word has a character and a space at least
+    shards = item_shards(items, item_words, item_id_col, item_text_col)
     rows = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"), F.col(text_col).cast("binary").alias("text"))
     schema = rows.drop("text").schema.add("n_words", "long").add("spans", T.ArrayType(T.ArrayType(T.IntegerType()))).add("items", T.ArrayType(T.StringType()))
 
-    def one_pass(shard: int) -> DataFrame:
-        part = tests.where(F.pmod(F.xxhash64("k", "t"), F.lit(passes)) == shard).collect()  # bounded by item_words
-        shared = docs.sparkSession.sparkContext.broadcast([(r["k"], bytes(r["t"] or b"")) for r in part])
+    def one_pass(shared: Broadcast) -> DataFrame:
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton([(k, normalise(t)) for k, t in shared.value], window)
@@ -161,9 +179,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_
 
         return rows.mapInArrow(task, schema)
 
-    if passes == 1:
-        return one_pass(0)
-    return _merge([one_pass(k) for k in range(passes)])
+    if len(shards) == 1:
+        return one_pass(shards[0])
+    return _merge([one_pass(x) for x in shards])
 
 
 def _merge(parts: list[DataFrame]) -> DataFrame:
@@ -174,15 +192,8 @@ def _merge(parts: list[DataFrame]) -> DataFrame:
     for p in rest:
         every = every.unionByName(p.select("id", "th", "n_words", "spans", "items", F.lit(0).alias("copies")))
     both = every.groupBy("id", "th").agg(F.max("n_words").alias("n_words"), F.collect_set("spans").alias("s"), F.flatten(F.collect_set("items")).alias("i"), F.sum("copies").alias("copies"))
-    by_start = F.array_sort(F.flatten("s"))
-    # the union of the spans: each either widens the last or starts anew
-    union = F.aggregate(
-        by_start,
-        F.array().cast("array<array<int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(F.element_at(acc, -1), 2) >= x[0]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))).otherwise(F.concat(acc, F.array(x))),
-    )
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return both.select("id", "th", "n_words", union.alias("spans"), F.array_sort(F.array_distinct("i")).alias("items"), copies.alias("__c")).drop("__c")
+    return both.select("id", "th", "n_words", union(F.flatten("s")).alias("spans"), F.array_sort(F.array_distinct("i")).alias("items"), copies.alias("__c")).drop("__c")
 
 
 def hit_words(spans: str = "spans") -> Column:
@@ -190,33 +201,54 @@ def hit_words(spans: str = "spans") -> Column:
     return F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.0, item_words: int = ITEM_WORDS, text_col: str = "text") -> DataFrame:
     """docs, all columns, without contamination: a document with more than max_coverage of its words in
     windows goes; of any other the contaminated words are cut out of the text, and the rest is joined by
-    one space, normalised as matched. Documents without a hit stay as they are.
+    one space, normalised as matched. Documents without a hit stay as they are, null texts among them.
 
-    With max_coverage 0 every hit document goes, and no text changes.
+    With max_coverage 0 every hit document goes, and no text changes. Each automaton looks at a text in
+    place, so nothing is shuffled.
     """
-    found = contamination(docs, items, window, id_col=id_col, text_col=text_col).where(F.size("spans") > 0)
-    found = found.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("n_words").alias("__n"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__th"])
-    rows = docs.withColumn("__rth", text_hash(F.col(text_col)))
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__rth") == F.col("__th"))
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])  # own names of docs may clash
+    text = f"c{names.index(text_col)}"
+
+    def spans_in(shared: Broadcast) -> Column:
+        @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+        def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            automaton = Automaton([(k, normalise(t)) for k, t in shared.value], window)
+
+            def one(t: bytes | None) -> list[list[int]]:
+                mask, _ = automaton.hits(normalise(t))
+                edge = [] if mask is None else np.flatnonzero(np.diff(np.concatenate(([0], mask, [0])))).tolist()
+                return [list(x) for x in zip(edge[::2], edge[1::2])]
+
+            for s in batches:
+                yield pd.Series([one(t) for t in s], dtype=object)
+
+        return find(F.col(text).cast("binary"))
+
+    shards = item_shards(items, item_words)
     if max_coverage <= 0:
-        return rows.join(found, match, "left_anti").drop("__rth")
+        for x in shards:
+            rows = rows.where(F.size(spans_in(x)) == 0)
+        return rows.toDF(*names)
 
     @F.pandas_udf("string")
-    def without(text, spans):
-        def one(t, s):
+    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        def one(t: str | None, s) -> str | None:
+            if t is None or not len(s):
+                return t
             words = normalise(t.encode())
+            if sum(hi - lo for lo, hi in s) > max_coverage * len(words):
+                return None
             for lo, hi in reversed([list(x) for x in s]):
                 del words[lo:hi]
             return b" ".join(words).decode()
 
-        return text.combine(spans, one)
-
-    rows = rows.join(found, match, "left")
-    rows = rows.where(F.col("__id").isNull() & F.col("__th").isNull() | (hit_words("__spans") <= max_coverage * F.col("__n")))
-    clean = rows.where(F.col("__th").isNull())
-    dirty = rows.where(F.col("__th").isNotNull()).withColumn(text_col, without(F.col(text_col), F.col("__spans")))
-    return clean.unionByName(dirty).select(*docs.columns)
+        return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
+    rows = rows.withColumns({f"s{i}": spans_in(x) for i, x in enumerate(shards)})
+    rows = rows.withColumn("spans", union(F.flatten(F.array(*[f"s{i}" for i in range(len(shards))]))))
+    rows = rows.withColumn("left", without(F.col(text), F.col("spans"))).where((F.size("spans") == 0) | F.col("left").isNotNull())
+    return rows.select(*[F.col("left" if c == text else c).alias(n) for c, n in zip((f"c{i}" for i in range(len(names))), names)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, cut, text_hash
+from .common import count_words, cut, text_hash, words
 
 #: Documents of one source that one window sorts, on average: the shuffled order is dealt into ranges.
 RANGE = 512
@@ -98,3 +98,30 @@ def mix(
     finish = F.when(F.col("target") > 0, end / F.col("target"))
     queue = queue.select("id", "th", "size", "source", "source_size", "target", taken.alias("taken"), finish.alias("finish"))
     return cut(queue).orderBy("finish", "source", "id")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """docs, all columns, as the mix takes them: a row for each pass of a document (see mix).
+
+    A pass that is cut short has the words that it takes, joined by one space, and their length in
+    chars_col if docs has such a column. Rows of equal id and text are one document here, which takes what
+    they take together. A document that the mix does not reach is left out, and so is one without words.
+    """
+    names = docs.columns
+    taken = mix(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
+    taken = taken.groupBy("id", "th").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    taken = taken.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "taken", "size")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    rows = rows.withColumn("__rth", text_hash(F.col(text))).dropDuplicates([ident, "__rth"])
+    rows = rows.join(taken, F.col(ident).eqNullSafe(F.col("__id")) & (F.col("__rth") == F.col("__th")))
+    turns = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1))
+    rows = rows.withColumn("turn", turns).withColumn("served", F.least(F.col("size"), F.col("taken") - F.col("turn") * F.col("size")).cast("int"))
+    whole = F.col("served") == F.col("size")
+    part = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col("served")), " ")
+    rows = rows.withColumn("part", F.when(whole, F.col(text)).otherwise(part))
+    out = {text_col: F.col("part")}
+    if chars_col in names:
+        chars = f"c{names.index(chars_col)}"
+        out[chars_col] = F.when(whole, F.col(chars)).otherwise(F.length("part").cast(docs.schema[chars_col].dataType))
+    return rows.select(*[out.get(n, F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
