@@ -1,22 +1,65 @@
-"""A training corpus from documents: quality, near-duplicates, decontamination, mixing, tokens."""
+"""A training corpus from documents: quality, near-duplicates, decontamination, mixing, token ids."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sumac.llm.common import new_path, table
+from sumac.llm.decontaminate import decontaminate
+from sumac.llm.mixing import mixed
+from sumac.llm.quality import select_good, train
 from sumac.llm.simhash import keep_one
+from sumac.llm.tokens import token_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose best grade is more likely than not."""
+    return select_good(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
     return keep_one(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), max_coverage=0.0)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix to target weights takes them, a row for each pass."""
+    return mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, written in ascending order of doc_id; where each document's begin, how many, and their checksum."""
+    rows = token_table(docs, new_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing to target weights", mixing),
+    ("token ids", tokens),
+]
+
+#: The classifier's fit and the tokenizer are beyond SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents. Each stage's rows are written to the shared folder and read again, so no
+    later stage computes an earlier one a second time."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = new_path(spark, f"stage{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
