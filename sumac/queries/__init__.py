@@ -1 +1,4 @@
+"""Registered queries: importing the modules fills the registry."""
 
+from . import answers, corpora  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
