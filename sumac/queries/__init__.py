@@ -1,4 +1,4 @@
 """Registered queries: importing the modules fills the registry."""
 
-from . import answers, corpora, ingest, retrieval  # noqa: F401
+from . import answers, corpora, experiments, ingest, retrieval  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
