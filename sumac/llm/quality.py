@@ -24,6 +24,9 @@ LEAST_DOCS = 4
 #: Words of a text that are turned to features at once.
 STEP = 1 << 16
 EPOCHS = 16
+#: Steps at least, so that a small set of labels has more epochs.
+LEAST_STEPS = 2000
+BATCH = 64
 #: Tail probability of the best grade from which a document is kept.
 LEAST_GOOD = 0.5
 
@@ -95,11 +98,12 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(found: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, least_docs: int = LEAST_DOCS, epochs: int = EPOCHS, rate: float = 0.15, shrink: float = 2e-5, seed: int = 42) -> Model:
+def fit(found: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, least_docs: int = LEAST_DOCS, epochs: int = EPOCHS, rate: float = 0.15, shrink: float = 5.0, seed: int = 42) -> Model:
     """Fits shared weights and ordered cuts by AdaGrad on the cumulative-link likelihood.
 
     Features in fewer than least_docs documents keep weight 0; a rare class weighs as much in sum as a
-    quarter of the largest. Cuts are kept in order after every step.
+    quarter of the largest. Cuts are kept in order after every step. shrink pulls weights to 0 as if so many
+    documents spoke for each feature being neutral.
     """
     grades = sorted(set(y.tolist()))
     weights = np.zeros(buckets)
@@ -115,10 +119,11 @@ def fit(found: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, least_do
     cuts = first.copy()
     square, cut_square = np.full(buckets, 1e-2), np.full(len(cuts), 1e-2)
     rng = np.random.default_rng(seed)
-    for epoch in range(epochs):
+    passes = max(epochs, -(-LEAST_STEPS * BATCH // len(found)))
+    for _ in range(passes):
         order = rng.permutation(len(found))
-        for lo in range(0, len(order), 64):
-            rows = order[lo : lo + 64]
+        for lo in range(0, len(order), BATCH):
+            rows = order[lo : lo + BATCH]
             flat = np.concatenate([found[i] for i in rows])
             ends = np.cumsum([len(found[i]) for i in rows])
             owner = np.repeat(np.arange(len(rows)), np.diff(np.concatenate(([0], ends))))
@@ -133,7 +138,7 @@ def fit(found: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, least_do
             g = np.clip(c * (dl - du), -8, 8)
             step = np.bincount(flat, g[owner], minlength=buckets)
             touched = np.flatnonzero(step)
-            d = step[touched] / len(rows) - shrink * weights[touched]
+            d = step[touched] / len(rows) - shrink / len(found) * weights[touched]
             square[touched] += d * d
             weights[touched] += rate * d / np.sqrt(square[touched])
             dc = np.zeros(len(cuts) + 2)
@@ -143,7 +148,7 @@ def fit(found: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, least_do
             cut_square += dc * dc
             cuts += rate * dc / np.sqrt(cut_square)
             cuts = np.maximum.accumulate(cuts + 1e-3 * np.arange(len(cuts))) - 1e-3 * np.arange(len(cuts))
-        rate *= 0.88
+        rate *= 0.13 ** (1 / passes)
     return Model(grades, cuts, weights)
 
 
