@@ -79,6 +79,21 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r.text for r in html.extract(df).collect()} == {"the whole article"}
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<header>site</header><article><header><h1>T</h1></header><p>a</p><aside>no</aside></article><div id=comments><article>reader</article></div>", "T a"),
+        ("<div id='header'>site</div><div class='post'><h1>T</h1><p>a<ul><li>b<li>c</ul></div><div class='cookie-notice'>no</div>", "T a b c"),
+        ("<div role=main><p>a &lt;b&gt; &#233;</div><div class='sidebar left'>no</div><div class='comment-list'>no</div>", "a <b> é"),
+        ("<div class=wrap><p>one text here</p><ul><li><a href=x>link one</a><li><a href=y>link two</a></ul><div style='display: none'>no</div></div>", "one text here"),
+        ("<table><tr><td>a<td>b<tr><td>c</table><textarea>no</textarea><!-- no --><noscript>no</noscript>", "a b c"),
+        ("<article><p>a<b>b</b>c <i>d</i>\n\n e<br>f</p>g<div class=ad>no</div></article>", "abc d e f g"),
+    ],
+)
+def test_content(body, want):
+    assert html.content(html.parse(f"<html><body>{body}</body></html>")[0], set()) == want
+
+
 def test_broken_html():
     for text in ("<", "<p", "<p class='a", "a < b & c &amp", "<!-- open", "<script>x", "</p></div>text", "<p>a<p>b</b>", "<" * 5000, "<div>" * 3000 + "deep"):
         root, _ = html.parse(text)
