@@ -14,7 +14,7 @@ from .html import extract
 from .lines import drop_later_runs
 from .mixing import mix
 from .quality import LEAST_GOOD, score, train
-from .quality_rules import judge_quality
+from .quality_rules import CLASS_LIMIT, CLASSES, COMMON, LEAST_CHARS, LEAST_WORDS, N_CLASSES, SYMBOLS, WORD_LIMIT, judge_quality
 from .simhash import near_duplicates
 from .substring import without_repeats
 from .tokens import token_table
@@ -174,7 +174,59 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "expected_grade", "good", (F.col("good") >= LEAST_GOOD).alias("kept"))
 
 
-@query("op8_quality_rules")
+def sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+BINS = len(COMMON["en"]) + 1
+CLASS_COUNTS = ", ".join(f"len(regexp_extract_all(t, {sql_text(c)}))" for c in CLASSES)
+COMMON_ROWS = ", ".join(f"({sql_text(k)}, {i + 1}, {sql_text(w)})" for k, ws in COMMON.items() for i, w in enumerate(ws))
+
+
+def sql_distance(counts: str, ref: str, n: int) -> str:
+    """Jensen-Shannon distance of a list of counts and a list of reference shares, as SQL."""
+    p, q = f"({counts}[i] / list_sum({counts}))", f"{ref}[i]"
+    part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0.0 END"
+    return f"sqrt(greatest(0.0, list_sum(list_transform(range(1, {n + 1}), lambda i: ({part(p, q)} + {part(q, p)}) / 2))))"
+
+
+@query(
+    "op8_quality_rules",
+    rf"""
+    WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, j, array_to_string(w[j : j + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS j FROM d WHERE len(w) >= 5)),
+    rep AS (
+      SELECT doc_id, count(DISTINCT pos) AS n FROM (
+        SELECT doc_id, unnest(range(j, j + 5)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win) WHERE c > 1)
+      GROUP BY doc_id),
+    f AS (
+      SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, {sql_text(SYMBOLS)})) AS n_symbols,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, length(t) AS n_chars, strlen(t) AS n_bytes, [{CLASS_COUNTS}] AS k
+      FROM d),
+    fixed(lang, i, word) AS (VALUES {COMMON_ROWS}),
+    hits AS (
+      SELECT doc_id, i, count(*) AS n FROM (SELECT doc_id, lang, lower(unnest(w)) AS word FROM d) JOIN fixed USING (lang, word) GROUP BY doc_id, i),
+    found AS (SELECT doc_id, map(list(i), list(n)) AS m, sum(n) AS n FROM hits GROUP BY doc_id),
+    h AS (
+      SELECT f.*, coalesce(rep.n, 0) AS n_repeat_words, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+             [n_chars - word_chars, n_symbols, k[1], k[2], k[3], k[4], n_bytes - n_chars, word_chars - n_symbols - k[1] - k[2] - k[3] - k[4]]::DOUBLE[] AS classes,
+             (list_transform(range(1, {BINS}), lambda i: coalesce(m[i], 0)) || [n_words - coalesce(found.n, 0)])::DOUBLE[] AS common
+      FROM f LEFT JOIN rep USING (doc_id) LEFT JOIN found USING (doc_id)),
+    sums AS (
+      SELECT lang, [{", ".join(f"sum(classes[{i}])" for i in range(1, N_CLASSES + 1))}] AS a, [{", ".join(f"sum(common[{i}])" for i in range(1, BINS + 1))}] AS b
+      FROM h WHERE lang IN ({", ".join(map(sql_text, COMMON))}) GROUP BY lang),
+    refs AS (SELECT lang, list_transform(a, lambda x: x / list_sum(a)) AS ra, list_transform(b, lambda x: x / list_sum(b)) AS rb FROM sums),
+    j AS (
+      SELECT h.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+             CASE WHEN ra IS NOT NULL AND n_chars > 0 THEN {sql_distance("classes", "ra", N_CLASSES)} END AS cd,
+             CASE WHEN rb IS NOT NULL AND n_words > 0 THEN {sql_distance("common", "rb", BINS)} END AS wd
+      FROM h LEFT JOIN refs USING (lang))
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+           n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+           NOT base_failed AND NOT (coalesce(n_chars >= {LEAST_CHARS} AND cd > {CLASS_LIMIT}, FALSE) OR coalesce(n_words >= {LEAST_WORDS} AND wd > {WORD_LIMIT}, FALSE)) AS kept
+    FROM j
+    """,
+)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
