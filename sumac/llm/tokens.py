@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,8 @@ from tokenizers import Tokenizer
 
 from .common import ship, text_hash, worker_state
 
-#: Words that a Python worker keeps with their ids (about 120 MB); further words are encoded each time.
-CACHE = 600_000
+#: Words that a Python worker keeps with their ids (about 80 MB); further words are encoded each time.
+CACHE = 400_000
 #: Text bytes that make one batch of the output.
 SLICE = 1 << 21
 #: Layout of the files. Token ids repeat, so they are dictionary-coded; the rising document ids and offsets
@@ -117,13 +118,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | Path, end: int =
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value, end)
         for b in batches:
-            lo, texts = 0, b.column(2).to_pylist()
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE):
-                    size += len(texts[hi])
-                    hi += 1
-                coded = encoder.encode(texts[lo:hi])
+            lo, ends = 0, np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            while lo < len(ends):
+                begin = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, begin + SLICE, "right")))
+                coded = encoder.encode(b.column(2).slice(lo, hi - lo).to_pylist())
                 counts = np.array([len(x) // 4 for x in coded], np.int32)
                 values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
