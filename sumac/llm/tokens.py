@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 
 from .common import ship, text_hash, worker_state
 
-#: Words that a Python worker keeps with their ids (about 80 MB); further words are encoded each time.
-CACHE = 400_000
+#: Words that a Python worker keeps with their ids (about 120 MB); further words are encoded each time.
+CACHE = 600_000
 #: Text bytes that make one batch of the output.
 SLICE = 1 << 21
 #: Layout of the files. Token ids repeat, so they are dictionary-coded; the rising document ids and offsets
