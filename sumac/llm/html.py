@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,10 @@ LEAST_PAGES = 5
 LEAST_SHARE = 0.5
 #: Reference pages, in bytes, that are sent to every task; more of them meet the pages in a shuffled join.
 SENT_BYTES = 16 << 20
-#: Deeper elements hang from this depth; larger pairs of trees weigh a pair of children by kind alone.
+#: Deeper elements hang from this depth. Larger tables of pairs are kept in part and made again; more than the texts of any page.
 DEPTH = 120
-PAIRS = 1 << 20
+CELLS = 1 << 20
+TEXTS = 1 << 24
 
 ship(__name__)
 
@@ -58,15 +60,17 @@ NAME_PART = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    """An element, or a leaf of text. kind: what must agree for two nodes to match."""
+    """An element, or a leaf of text. kind: what must agree for two nodes to match. shape: a hash of the
+    kinds of the tree below; full: with its texts."""
 
-    __slots__ = ("kind", "tag", "dropped", "header", "main", "children", "text", "linked", "index", "size")
+    __slots__ = ("kind", "tag", "dropped", "header", "main", "children", "text", "linked", "index", "size", "shape", "full")
 
     def __init__(self, kind: str, tag: str, dropped: bool = False):
         self.kind, self.tag, self.dropped = kind, tag, dropped
         self.header, self.main = tag == "header", tag == "main"
         self.children: list[Node] = []
         self.text, self.linked, self.index, self.size = "", 0, -1, 1
+        self.shape = self.full = 0
 
 
 def opened(tag: str, attributes: str) -> Node:
@@ -168,58 +172,149 @@ def parse(html: str) -> tuple[Node, list[Node]]:
 
     def sized(n: Node) -> int:
         n.size = 1 + sum(map(sized, n.children))
+        n.shape = hash((n.kind, *[c.shape for c in n.children]))
+        n.full = hash((n.kind, n.text, *[c.full for c in n.children]))
         return n.size
 
     sized(root)
     return root, leaves
 
 
-def runs(children: list[Node]) -> list[list[Node]]:
-    """Neighbours of one kind together: a repeated slot of the wrapper."""
-    out: list[list[Node]] = []
-    for c in children:
-        if out and out[-1][0].kind == c.kind:
-            out[-1].append(c)
-        else:
-            out.append([c])
-    return out
+def paired(n: int, m: int, weights: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """The heaviest pairs of n things in a row and m others, orders kept; weights(i): those of i with each of the m.
 
+    Rows of the table are kept at every step only, and made again on the way back.
+    """
+    step = n if n * m <= CELLS else isqrt(n) + 1
+
+    def rows(row: np.ndarray, start: int, end: int) -> Iterator[np.ndarray]:
+        for i in range(start, end):
+            new = row.copy()
+            np.maximum(row[1:], row[:-1] + weights(i), out=new[1:])
+            row = np.maximum.accumulate(new)
+            yield row
+
+    row = np.zeros(m + 1, np.int64)
+    kept = [row]
+    for start in range(0, n - step, step):
+        for row in rows(kept[-1], start, start + step):
+            pass
+        kept.append(row)
+    out, j = [], m
+    for k in range(len(kept) - 1, -1, -1):
+        start, end = k * step, min(n, (k + 1) * step)
+        table = [kept[k], *rows(kept[k], start, end)]
+        for i in range(end - 1, start - 1, -1):
+            above, here = table[i - start], table[i - start + 1]
+            if here[j] == above[j]:
+                continue
+            j = int(np.searchsorted(here[: j + 1], here[j]))  # the first place with this value: it is paired there
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
 
-def matching(a: Node, b: Node, exact: bool = True) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the most nodes of two trees that pair up with their kinds, order and parents
-    kept, and the pairs of leaves. Neighbours of one kind pair in their order."""
+
+def common_ends(left: list, right: list) -> tuple[int, int]:
+    """How many things are equal at the front, and how many of the others at the back."""
+    least = min(len(left), len(right))
+    front = next((i for i in range(least) if left[i] != right[i]), least)
+    least -= front
+    return front, next((i for i in range(least) if left[-1 - i] != right[-1 - i]), least)
+
+
+def most_nodes(a: Node, b: Node, known: dict[tuple[int, int], int]) -> int:
+    """The most nodes of two trees that pair up with their kinds, order and parents kept. known: by shapes."""
     if a.kind != b.kind:
-        return 0, []
+        return 0
+    if a.shape == b.shape:
+        return a.size
     if not a.children or not b.children:
-        return 1, [(a, b)] if a.kind == "#text" else []
-    exact = exact and a.size * b.size <= PAIRS
-    left, right = runs(a.children), runs(b.children)
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    best = np.zeros((len(left) + 1, len(right) + 1), np.int64).tolist()
-    for i, x in enumerate(left):
-        for j, y in enumerate(right):
-            w = 0
-            if x[0].kind == y[0].kind:
-                if exact:
-                    pairs = [matching(p, q) for p, q in zip(x, y)]
-                    found[i, j] = w, _ = sum(p[0] for p in pairs), [leaf for p in pairs for leaf in p[1]]
-                else:
-                    w = min(len(x), len(y))
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    i, j, total, leaves = len(left), len(right), 1, []
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            if (i, j) not in found:
-                pairs = [matching(p, q, False) for p, q in zip(left[i], right[j])]
-                found[i, j] = sum(p[0] for p in pairs), [leaf for p in pairs for leaf in p[1]]
-            total += found[i, j][0]
-            leaves[:0] = found[i, j][1]
-    return total, leaves
+        return 1
+    if (found := known.get((a.shape, b.shape))) is None:
+        front, back = common_ends([x.shape for x in a.children], [x.shape for x in b.children])
+        left, right = a.children[front : len(a.children) - back], b.children[front : len(b.children) - back]
+        found = 1 + sum(x.size for x in a.children[:front]) + sum(x.size for x in a.children[len(a.children) - back :])
+        if left and right:
+            weigh = weights_of(left, right, known)
+            row = np.zeros(len(right) + 1, np.int64)
+            for i in range(len(left)):
+                new = row.copy()
+                np.maximum(row[1:], row[:-1] + weigh(i), out=new[1:])
+                row = np.maximum.accumulate(new)
+            found += int(row[-1])
+        known[a.shape, b.shape] = found
+    return found
+
+
+def weights_of(left: list[Node], right: list[Node], known: dict[tuple[int, int], int]) -> Callable[[int], np.ndarray]:
+    """The matching nodes of a left child with each of the right ones."""
+    shapes: dict[int, int] = {}
+    place = np.array([shapes.setdefault(y.shape, len(shapes)) for y in right])
+    some = list({y.shape: y for y in reversed(right)}.values())
+    some.sort(key=lambda y: shapes[y.shape])
+    rows: dict[int, np.ndarray] = {}
+
+    def weigh(i: int) -> np.ndarray:
+        x = left[i]
+        if x.shape not in rows:
+            rows[x.shape] = np.array([most_nodes(x, y, known) for y in some], np.int64)[place]
+        return rows[x.shape]
+
+    return weigh
+
+
+def texts(n: Node) -> Iterator[str]:
+    if n.kind == "#text":
+        yield n.text
+    for c in n.children:
+        yield from texts(c)
+
+
+def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: the most nodes of two trees that pair up with their kinds, order and parents
+    kept, and the pairs. Of pairings of children with as many nodes, one with the most texts in common."""
+    known: dict[tuple[int, int], int] = {}
+    out: list[tuple[Node, Node]] = []
+
+    def whole(x: Node, y: Node) -> None:
+        out.append((x, y))
+        for p, q in zip(x.children, y.children):
+            whole(p, q)
+
+    def pair(x: Node, y: Node) -> None:
+        if x.shape == y.shape:
+            return whole(x, y)
+        out.append((x, y))
+        front, back = common_ends([c.full for c in x.children], [c.full for c in y.children])
+        left, right = x.children[front : len(x.children) - back], y.children[front : len(y.children) - back]
+        for p, q in zip(x.children[:front], y.children[:front]):
+            whole(p, q)
+        if len(left) == len(right) == 1:
+            if left[0].kind == right[0].kind:
+                pair(left[0], right[0])
+        elif left and right:
+            weigh = weights_of(left, right, known)
+            where: dict[str, list[int]] = {}
+            for j, q in enumerate(right):
+                for t in set(texts(q)):
+                    where.setdefault(t, []).append(j)
+
+            def with_texts(i: int) -> np.ndarray:
+                nodes = weigh(i)
+                row = nodes * TEXTS
+                for t in set(texts(left[i])):
+                    if t in where:
+                        row[where[t]] += nodes[where[t]] > 0
+                return row
+
+            for i, j in paired(len(left), len(right), with_texts):
+                pair(left[i], right[j])
+        for p, q in zip(x.children[len(x.children) - back :], y.children[len(y.children) - back :]):
+            whole(p, q)
+
+    if a.kind == b.kind:
+        pair(a, b)
+    return len(out), out
 
 
 def content(root: Node, template: set[int]) -> str:
@@ -309,7 +404,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 c = counts.setdefault(host, np.zeros((len(own_leaves) + 1, 2), np.int64))  # row 0: the pages
                 c[0, 0] += 1
                 for x, y in matching(own, page)[1]:
-                    c[x.index + 1] += (1, x.text == y.text)
+                    if x.index >= 0:
+                        c[x.index + 1] += (1, x.text == y.text)
             if len(counts) > 2000:
                 yield done()
                 counts.clear()

@@ -94,6 +94,43 @@ def test_content(body, want):
     assert html.content(html.parse(f"<html><body>{body}</body></html>")[0], set()) == want
 
 
+def plain_matching(a, b):
+    """The most nodes of two trees, child by child."""
+    if a.kind != b.kind:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_matching(x, y))
+    return 1 + best[-1][-1]
+
+
+def test_matching_is_the_largest(monkeypatch):
+    rng = random.Random(9)
+
+    def tree(depth):
+        kind = rng.choice(["div", "p", "ul"])
+        inside = "".join(tree(depth - 1) if depth and rng.random() < 0.7 else "<p>" + rng.choice("abcdef") for _ in range(rng.randint(0, 6)))
+        return f"<{kind}>{inside}</{kind}>"
+
+    for cells in (1 << 20, 4):  # the second: tables are kept in part
+        monkeypatch.setattr(html, "CELLS", cells)
+        for _ in range(60):
+            a, b = html.parse(tree(3))[0], html.parse(tree(3))[0]
+            n, pairs = html.matching(a, b)
+            assert n == len(pairs) == plain_matching(a, b)
+            assert all(x.kind == y.kind for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == n
+
+
+def test_constant_line_after_a_varying_number_of_lines(spark):
+    body = lambda i: "".join(f"<p>own {i} {k}</p>" for k in range(1 + i % 4)) + "<p>All rights reserved</p>" + "<p>and more</p>" * (i == 99)
+    rows = [(i, "http://c.example/%d" % i, page(f"<article><h1>T {i}</h1>{body(i)}</article>")) for i in range(12)]
+    got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join([f"T {i}", *(f"own {i} {k}" for k in range(1 + i % 4))]) for i in range(12)}
+    long = lambda i: html.parse("<article>" + "".join(f"<p>{i} {k}</p>" for k in range(1500 + i)) + "<p>end</p><p>last</p></article>")[0]
+    assert ("end", "end") in [(x.text, y.text) for x, y in html.matching(long(0), long(7))[1]]
+
+
 def test_broken_html():
     for text in ("<", "<p", "<p class='a", "a < b & c &amp", "<!-- open", "<script>x", "</p></div>text", "<p>a<p>b</b>", "<" * 5000, "<div>" * 3000 + "deep"):
         root, _ = html.parse(text)
