@@ -317,11 +317,15 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return len(out), out
 
 
-def content(root: Node, template: set[int]) -> str:
-    """The varying text of the article: of article elements if there are any, else of the outermost element
-    that is marked as the content, else of the whole page without blocks that are mostly links. A header
-    inside the article stays if it has the heading. template: leaves that belong to the wrapper."""
-    roots: dict[str, list[Node]] = {"article": [], "main": [], "#root": [root]}
+def content(root: Node, template: set[int], slot: Node | None = None) -> str:
+    """The varying text of a page. template: leaves that belong to the wrapper.
+
+    slot: the element in which the host's pages vary, read as a whole, after the heading if that stands
+    before it. Without one, or if it has no text, tags choose: article elements if there are any, else the
+    outermost element that is marked as the content, else the whole page without blocks that are mostly
+    links. A header inside the article stays if it has the heading.
+    """
+    roots: dict[str, list[Node]] = {"slot": [slot] if slot else [], "article": [], "main": [], "#root": [root]}
 
     def find(n: Node) -> None:
         if n.dropped:
@@ -348,12 +352,96 @@ def content(root: Node, template: set[int]) -> str:
 
     for kind in roots:
         for n in roots[kind][: None if kind != "main" else 1]:
-            read(n, kind == "#root")
+            read(n, kind == "#root" or kind == "slot" and not (n.main or n.tag == "article"))
         if blocks:
+            if kind == "slot" and not has_heading(slot) and (h := heading_before(root, slot)):
+                blocks[:0] = [t.text for t in leaves_below(h) if t.index not in template]
             break
     return " ".join(blocks)
 
 
+def leaves_below(n: Node) -> Iterator[Node]:
+    if n.kind == "#text":
+        yield n
+    for c in n.children:
+        yield from leaves_below(c)
+
+
+def heading_before(root: Node, slot: Node) -> Node | None:
+    """The last h1 before an element, not in an article or a dropped element."""
+    last, found = None, False
+
+    def walk(n: Node) -> None:
+        nonlocal last, found
+        if n is slot:
+            found = True
+        if found or n.dropped or n.tag == "article":
+            return
+        if n.tag == "h1":
+            last = n
+            return
+        for c in n.children:
+            walk(c)
+
+    walk(root)
+    return last if found else None
+
+
+def in_order(root: Node) -> list[Node]:
+    """All nodes of a tree, parents first; their places are their numbers."""
+    out, stack = [], [root]
+    while stack:
+        out.append(n := stack.pop())
+        stack.extend(reversed(n.children))
+    return out
+
+
+def varying(page: Node, met: dict[int, tuple[int, bool]]) -> Iterator[tuple[int, Node]]:
+    """The leaves of a page that are not in the reference, or say something else there, each with the number
+    of the reference's node that it meets or in which it stands. Dropped elements are left out.
+    met: by id of a page's node, the number of the reference's node and whether both say the same."""
+    stack = [(page, 0)]
+    while stack:
+        n, at = stack.pop()
+        if n.dropped:
+            continue
+        at, same = met.get(id(n), (at, False))
+        if n.kind == "#text" and not same:
+            yield at, n
+        stack.extend((c, at) for c in n.children)
+
+
+def slot_of(root: Node, weights: dict[int, int]) -> int:
+    """The number of the reference's element that holds the content, -1 if tags are to tell.
+
+    weights: characters by node in which pages vary. From the root down it is the element with more than half of them,
+    as deep as there is one; an article, or else an element marked as content, around it goes with it. If no
+    element below the body has so many, the body is read as a whole unless articles or marked elements have half.
+    """
+    nodes = in_order(root)
+    number = {id(n): i for i, n in enumerate(nodes)}
+    sums = [weights.get(i, 0) for i in range(len(nodes))]
+    for i in range(len(nodes) - 1, -1, -1):
+        sums[i] += sum(sums[number[id(c)]] for c in nodes[i].children)
+    total, at, way = sums[0], root, []
+    if not total:
+        return -1
+    while True:
+        way.append(at)
+        best = max(at.children, key=lambda c: sums[number[id(c)]], default=None)
+        if best is None or 2 * sums[number[id(best)]] <= total or not (best.tag == "article" or any(c.kind != "#text" for c in best.children)):
+            break
+        at = best
+    for marked in ([n for n in way if n.tag == "article"], [n for n in way if n.main]):
+        if marked:
+            return number[id(marked[0])]
+
+    def held(n: Node) -> int:
+        return 0 if n.dropped else sums[number[id(n)]] if n.tag == "article" or n.main else sum(map(held, n.children))
+
+    return -1 if 2 * held(at) >= sums[number[id(at)]] else number[id(at)]
+
+
 def references(pages: DataFrame) -> DataFrame:
     """One page of each host, the least by a hash. pages: host, url, html."""
     least = F.min_by("html", F.xxhash64("url", "html"))
@@ -367,24 +455,32 @@ def with_references(pages: DataFrame, references: DataFrame) -> DataFrame:
 
 
 class References:
-    """Parsed reference pages of the hosts that a task has just seen."""
+    """Parsed reference pages of the hosts that a task has just seen: their nodes in order, leaves and slots."""
 
     def __init__(self):
-        self.kept: dict[str, tuple[Node, list[Node]]] = {}
+        self.kept: dict[str, tuple[list[Node], list[Node], int]] = {}
 
-    def get(self, host: str, html: str) -> tuple[Node, list[Node]]:
+    def get(self, host: str, html: str, weights: list[dict] | None = None) -> tuple[list[Node], list[Node], int]:
         if host not in self.kept:
             if len(self.kept) >= 256:
                 self.kept.pop(next(iter(self.kept)))
-            self.kept[host] = parse(html)
+            root, leaves = parse(html)
+            self.kept[host] = in_order(root), leaves, slot_of(root, {w["node"]: w["varying"] for w in weights or ()})
         return self.kept[host]
 
 
+def met_nodes(nodes: list[Node], page: Node) -> dict[int, tuple[int, bool]]:
+    """By id of a page's node: the number of the reference's node that it meets, and whether both are leaves of one text."""
+    number = {id(n): i for i, n in enumerate(nodes)}
+    return {id(y): (number[id(x)], x.kind == "#text" and x.text == y.text) for x, y in matching(nodes[0], page)[1]}
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """The wrapper of every host with template leaves: host, template (numbers of the reference's leaves).
+    """The wrapper of every host whose pages differ: host, template (numbers of the reference's leaves among
+    its nodes), weights (node, varying: characters in which pages vary there).
 
     pages: host, html, reference. Every page is aligned with its host's reference; pages with the same text
-    as the reference say nothing and do not count. A task adds up the leaves of each host before the shuffle.
+    as the reference say nothing and do not count. A task adds up the nodes of each host before the shuffle.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,39 +488,46 @@ def wrappers(pages: DataFrame) -> DataFrame:
         counts: dict[str, np.ndarray] = {}
 
         def done() -> pa.RecordBatch:
-            rows = [(h, leaf - 1, int(c[leaf, 0]), int(c[leaf, 1])) for h, c in counts.items() for leaf in range(len(c)) if c[leaf, 0]]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "leaf", "matched", "same"])
+            rows = [(h, node - 1, *map(int, c[node])) for h, c in counts.items() for node in range(len(c)) if c[node].any()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "node", "matched", "same", "varying"])
 
         for b in batches:
             for host, html, reference in zip(*(b.column(i).to_pylist() for i in range(3))):
-                own, own_leaves = references.get(host, reference)
+                own, own_leaves, _ = references.get(host, reference)
                 page, leaves = parse(html)
                 if [x.text for x in leaves] == [x.text for x in own_leaves]:
                     continue
-                c = counts.setdefault(host, np.zeros((len(own_leaves) + 1, 2), np.int64))  # row 0: the pages
+                c = counts.setdefault(host, np.zeros((len(own) + 1, 3), np.int64))  # row 0: the pages
                 c[0, 0] += 1
-                for x, y in matching(own, page)[1]:
-                    if x.index >= 0:
-                        c[x.index + 1] += (1, x.text == y.text)
+                met = met_nodes(own, page)
+                for x in leaves:
+                    if id(x) in met:
+                        at, same = met[id(x)]
+                        c[at + 1, :2] += (1, same)
+                for at, x in varying(page, met):
+                    c[at + 1, 2] += len(x.text)
             if len(counts) > 2000:
                 yield done()
                 counts.clear()
         yield done()
 
-    found = pages.where("reference IS NOT NULL AND html IS NOT NULL").select("host", "html", "reference").mapInArrow(task, "host string, leaf int, matched long, same long")
-    found = cut(found.groupBy("host", "leaf").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same")))
-    total = found.where("leaf = -1").select("host", F.col("matched").alias("pages"))
+    found = pages.where("reference IS NOT NULL AND html IS NOT NULL").select("host", "html", "reference").mapInArrow(task, "host string, node int, matched long, same long, varying long")
+    found = cut(found.groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("matched", "same", "varying"))))
+    total = found.where("node = -1").select("host", F.col("matched").alias("pages"))
     fixed = (F.col("matched") >= F.greatest(F.lit(LEAST_PAGES), LEAST_SHARE * F.col("pages"))) & (F.col("same") >= SAME * F.col("matched"))
-    return found.where("leaf >= 0").join(total, "host").where(fixed).groupBy("host").agg(F.collect_list("leaf").alias("template"))
+    template = F.collect_list(F.when(fixed, F.col("node"))).alias("template")
+    weights = F.collect_list(F.when(F.col("varying") > 0, F.struct("node", "varying"))).alias("weights")
+    return found.where("node >= 0").join(total, "host").groupBy("host").agg(template, weights)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: id, url, text.
 
-    The wrapper of a host is learnt from all its pages (see wrappers); what a page shares with it at the
-    same place is template and goes, as do menus, footers, forms and other elements that are marked as no
-    part of the article. Null and empty html have an empty text, as has a page without content. Pages
-    without a host, and those of a host with few pages, are read without a wrapper. Repeated rows stay.
+    The wrapper of a host is learnt from all its pages (see wrappers). It tells in which element the text
+    varies (see slot_of), and what a page shares with the others at the same place is template and goes, as do
+    menus, footers, forms and other elements that are marked as no part of the article. Null and empty html
+    have an empty text, as has a page without content. Pages without a host, and those of a host with few
+    pages, are read without a wrapper. Repeated rows stay.
     """
     host, _ = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
@@ -437,14 +540,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         references = References()
         for b in batches:
             texts = []
-            for host, html, reference, template in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+            for host, html, reference, template, weights in zip(*(b.column(i).to_pylist() for i in range(2, 7))):
                 page, _ = parse(html or "")
                 fixed: set[int] = set()
-                if template:
+                slot = None
+                if template or weights:
+                    own, _, slot_at = references.get(host, reference, weights)
                     known = set(template)
-                    own, _ = references.get(host, reference)
-                    fixed = {y.index for x, y in matching(own, page)[1] if x.index in known and x.text == y.text}
-                texts.append(content(page, fixed))
+                    for n in in_order(page) if (met := met_nodes(own, page)) else ():
+                        at, same = met.get(id(n), (-1, False))
+                        if same and at in known:
+                            fixed.add(n.index)
+                        if at == slot_at >= 0:
+                            slot = n
+                texts.append(content(page, fixed, slot))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=schema.names)
 
-    return with_references(rows, both).select("id", "url", "host", "html", "reference", "template").mapInArrow(task, schema)
+    return with_references(rows, both).select("id", "url", "host", "html", "reference", "template", "weights").mapInArrow(task, schema)

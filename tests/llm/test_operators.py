@@ -131,6 +131,14 @@ def test_constant_line_after_a_varying_number_of_lines(spark):
     assert ("end", "end") in [(x.text, y.text) for x, y in html.matching(long(0), long(7))[1]]
 
 
+def test_varying_element_is_the_content(spark):
+    text = lambda i: f"<h1>Title {i}</h1><div class=x><p>long own text {i} of this page</p><p>and {i} more of it</p></div><p>Follow us</p>"
+    rows = [(i, "http://v.example/%d" % i, page(f"<article class=teaser><p>see {i}</p></article><div class=y>{text(i)}</div>")) for i in range(9)]
+    rows += [(i, "http://w.example/%d" % i, page(f"<article><h1>T {i}</h1><div><p>body {i}</p><p>long body text {i}</p></div></article><div>sold {i}</div>")) for i in range(20, 29)]
+    got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} long own text {i} of this page and {i} more of it" for i in range(9)} | {i: f"T {i} body {i} long body text {i}" for i in range(20, 29)}
+
+
 def test_broken_html():
     for text in ("<", "<p", "<p class='a", "a < b & c &amp", "<!-- open", "<script>x", "</p></div>text", "<p>a<p>b</b>", "<" * 5000, "<div>" * 3000 + "deep"):
         root, _ = html.parse(text)
