@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from html import unescape
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, ship
 from .urls import host_and_path
 
-#: A leaf is template if it says the same on this share of the host's pages that have it, of so many pages
-#: at least, and of this share of all its pages that differ from the reference.
+#: A leaf is template if it says the same on this share of the layout's pages that have it, of so many pages
+#: at least, and of this share of all its pages that differ from the reference. With fewer pages, all must agree.
 SAME = 0.9
 LEAST_PAGES = 5
 LEAST_SHARE = 0.5
+#: A layout with so many pages has a reference of its own.
+LAYOUT_PAGES = 10
 #: Reference pages, in bytes, that are sent to every task; more of them meet the pages in a shuffled join.
 SENT_BYTES = 16 << 20
 #: Deeper elements hang from this depth. Larger tables of pairs are kept in part and made again; more than the texts of any page.
@@ -442,16 +445,39 @@ def slot_of(root: Node, weights: dict[int, int]) -> int:
     return -1 if 2 * held(at) >= sums[number[id(at)]] else number[id(at)]
 
 
+def layout(html: Column) -> Column:
+    """A hash of the kinds of block elements on a page, each once: tag and class, digits aside."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:article|aside|div|footer|form|header|main|nav|section|table)\b[^>]*>)"), F.lit(1))
+    name = lambda x: F.lower(F.concat(F.regexp_extract(x, r"^<(\w+)", 1), F.lit(" "), F.regexp_extract(x, r"(?i)\bclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, lambda x: F.regexp_replace(name(x), r"\d+", "#")))))
+
+
 def references(pages: DataFrame) -> DataFrame:
-    """One page of each host, the least by a hash. pages: host, url, html."""
-    least = F.min_by("html", F.xxhash64("url", "html"))
-    return pages.where("host <> '' AND html IS NOT NULL").groupBy("host").agg(least.alias("reference"))
+    """One page of each group of a host's pages, the least by a hash: host, layout, grp, reference.
+
+    pages: host, layout, url, html. A layout of LAYOUT_PAGES pages is a group; the pages of smaller ones are one
+    together (layout null), if they are so many or the host has no large layout, else they go with its largest.
+    """
+    best = F.struct(F.xxhash64("url", "html").alias("h"), F.col("html"))
+    found = cut(pages.where("host <> '' AND html IS NOT NULL").groupBy("host", "layout").agg(F.count("*").alias("n"), F.min(best)["html"].alias("reference")))
+    large = F.col("n") >= LAYOUT_PAGES
+    own = found.where(large).select("host", "layout", "reference")
+    small = F.sum(F.when(~large, F.col("n")).otherwise(0))
+    rest = found.groupBy("host").agg(small.alias("small"), F.max(F.when(large, F.struct("n", "layout", "reference"))).alias("big"), F.min(F.when(~large, F.struct(F.xxhash64("reference").alias("h"), F.col("reference")))).alias("one"))
+    alone = (F.col("small") >= LAYOUT_PAGES) | F.col("big").isNull()
+    rest = rest.select("host", F.lit(None).cast("long").alias("layout"), F.when(alone, F.lit(None)).otherwise(F.col("big.layout")).alias("as"), F.when(alone, F.col("one.reference")).otherwise(F.col("big.reference")).alias("reference"))
+    group = lambda x: F.concat_ws("\n", "host", x.cast("string"))
+    return own.select("host", "layout", group(F.col("layout")).alias("grp"), "reference").unionByName(rest.select("host", "layout", group(F.col("as")).alias("grp"), "reference")).where("reference IS NOT NULL")
 
 
 def with_references(pages: DataFrame, references: DataFrame) -> DataFrame:
-    """Each page beside its host's row of references."""
-    sent = references.agg(F.coalesce(F.sum(F.octet_length("reference")), F.lit(0))).first()[0] <= SENT_BYTES
-    return pages.join(F.broadcast(references) if sent else references, "host", "left")
+    """Each page beside its group's row of references."""
+    size = references.agg(F.coalesce(F.sum(F.octet_length("reference")), F.lit(0))).first()[0]
+    sent = (lambda x: F.broadcast(x)) if size <= SENT_BYTES else (lambda x: x)
+    known = references.where("layout IS NOT NULL").select("host", "layout", F.lit(True).alias("own"))
+    pages = pages.join(sent(known), ["host", "layout"], "left").withColumn("layout", F.when(F.col("own"), F.col("layout")))
+    named = references.withColumnsRenamed({"host": "its_host", "layout": "its_layout"})
+    return pages.join(sent(named), (F.col("host") == F.col("its_host")) & F.col("layout").eqNullSafe(F.col("its_layout")), "left")
 
 
 class References:
@@ -475,85 +501,126 @@ def met_nodes(nodes: list[Node], page: Node) -> dict[int, tuple[int, bool]]:
     return {id(y): (number[id(x)], x.kind == "#text" and x.text == y.text) for x, y in matching(nodes[0], page)[1]}
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """The wrapper of every host whose pages differ: host, template (numbers of the reference's leaves among
-    its nodes), weights (node, varying: characters in which pages vary there).
+def undropped(n: Node) -> Iterator[Node]:
+    if n.kind == "#text" and not n.dropped:
+        yield n
+    for c in n.children if not n.dropped else ():
+        yield from undropped(c)
+
 
-    pages: host, html, reference. Every page is aligned with its host's reference; pages with the same text
-    as the reference say nothing and do not count. A task adds up the nodes of each host before the shuffle.
+def keys(page: Node) -> dict[int, int]:
+    """Hashes of the kinds down to each leaf and its text, by number of the leaf."""
+    out, stack = {}, [(page, "")]
+    while stack:
+        n, path = stack.pop()
+        if n.kind == "#text":
+            out[n.index] = int.from_bytes(blake2b(f"{path}\0{n.text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+        stack.extend((c, f"{path}/{n.kind}") for c in n.children)
+    return out
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """The wrapper of every group whose pages differ: grp, template (numbers of the reference's leaves among
+    its nodes), weights (node, varying: characters in which pages vary there), more (what the reference lacks).
+
+    pages: grp, html, reference. Every page is aligned with its group's reference; pages with the same text
+    as the reference say nothing and do not count. A task adds up the nodes of each group before the shuffle.
+    In a group of fewer than LEAST_PAGES such pages, a leaf is template if all say the same, unless one of
+    them is a near copy, with half of its text from the reference. A leaf that the reference lacks is
+    template by path and text, if LEAST_SHARE of the pages have it; pages with the same longest leaf beside it
+    count once, so that copies are no template.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = References()
         counts: dict[str, np.ndarray] = {}
+        others: set[tuple[str, int, int]] = set()
 
         def done() -> pa.RecordBatch:
-            rows = [(h, node - 1, *map(int, c[node])) for h, c in counts.items() for node in range(len(c)) if c[node].any()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "node", "matched", "same", "varying"])
+            rows = [(h, node - 1, 0, *map(int, c[node])) for h, c in counts.items() for node in range(len(c)) if c[node].any()]
+            rows += [(h, -2, key, beside, 0, 0) for h, key, beside in others]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["grp", "node", "key", "matched", "same", "varying"])
 
         for b in batches:
-            for host, html, reference in zip(*(b.column(i).to_pylist() for i in range(3))):
-                own, own_leaves, _ = references.get(host, reference)
+            for group, html, reference in zip(*(b.column(i).to_pylist() for i in range(3))):
+                own, own_leaves, _ = references.get(group, reference)
                 page, leaves = parse(html)
                 if [x.text for x in leaves] == [x.text for x in own_leaves]:
                     continue
-                c = counts.setdefault(host, np.zeros((len(own) + 1, 3), np.int64))  # row 0: the pages
+                c = counts.setdefault(group, np.zeros((len(own) + 1, 3), np.int64))  # row 0: the pages
                 c[0, 0] += 1
                 met = met_nodes(own, page)
                 for x in leaves:
                     if id(x) in met:
                         at, same = met[id(x)]
                         c[at + 1, :2] += (1, same)
-                for at, x in varying(page, met):
+                new = list(varying(page, met))
+                for at, x in new:
                     c[at + 1, 2] += len(x.text)
-            if len(counts) > 2000:
+                said = sum(len(x.text) for x in undropped(page))
+                c[0, 1] += 2 * sum(len(x.text) for _, x in new) <= said
+                names = keys(page)
+                longest = sorted({(len(x.text), names[x.index]) for _, x in new}, reverse=True)[:2]
+                for key in {names[x.index] for _, x in new}:
+                    beside = [k for _, k in longest if k != key]
+                    if beside:
+                        others.add((group, key, beside[0]))
+            if len(counts) > 2000 or len(others) > 200_000:
                 yield done()
                 counts.clear()
+                others.clear()
         yield done()
 
-    found = pages.where("reference IS NOT NULL AND html IS NOT NULL").select("host", "html", "reference").mapInArrow(task, "host string, node int, matched long, same long, varying long")
-    found = cut(found.groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("matched", "same", "varying"))))
-    total = found.where("node = -1").select("host", F.col("matched").alias("pages"))
+    found = pages.where("reference IS NOT NULL AND html IS NOT NULL").select("grp", "html", "reference").mapInArrow(task, "grp string, node int, key long, matched long, same long, varying long")
+    # by node, the sums; by leaf that the reference lacks, the leaves beside it, each once
+    found = cut(found.groupBy("grp", "node", "key", F.when(F.col("node") == -2, F.col("matched")).alias("beside")).agg(*(F.sum(F.when(F.col("node") >= -1, F.col(c))).alias(c) for c in ("matched", "same", "varying"))))
+    total = found.where("node = -1").select("grp", F.col("matched").alias("pages"), (F.col("same") == 0).alias("apart"))
     fixed = (F.col("matched") >= F.greatest(F.lit(LEAST_PAGES), LEAST_SHARE * F.col("pages"))) & (F.col("same") >= SAME * F.col("matched"))
+    fixed |= (F.col("pages") < LEAST_PAGES) & F.col("apart") & (F.col("same") == F.col("pages"))
     template = F.collect_list(F.when(fixed, F.col("node"))).alias("template")
     weights = F.collect_list(F.when(F.col("varying") > 0, F.struct("node", "varying"))).alias("weights")
-    return found.where("node >= 0").join(total, "host").groupBy("host").agg(template, weights)
+    lacking = found.where("node = -2").groupBy("grp", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).join(total, "grp")
+    lacking = lacking.where(F.col("n") >= LEAST_SHARE * F.col("pages")).groupBy("grp").agg(F.collect_list("key").alias("more"))
+    return found.where("node >= 0").join(total, "grp").groupBy("grp").agg(template, weights).join(lacking, "grp", "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: id, url, text.
 
-    The wrapper of a host is learnt from all its pages (see wrappers). It tells in which element the text
+    The wrapper of a host is learnt from all its pages, by layout (see references and wrappers). It tells in which element the text
     varies (see slot_of), and what a page shares with the others at the same place is template and goes, as do
     menus, footers, forms and other elements that are marked as no part of the article. Null and empty html
     have an empty text, as has a page without content. Pages without a host, and those of a host with few
     pages, are read without a wrapper. Repeated rows stay.
     """
     host, _ = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), layout(F.col(html_col)).alias("layout"), F.col(html_col).alias("html"))
     chosen = cut(references(rows))
     found = wrappers(with_references(rows, chosen))
-    both = cut(chosen.join(found, "host"))
+    both = cut(chosen.join(found, "grp", "left"))
     schema = T.StructType([rows.schema["id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = References()
         for b in batches:
             texts = []
-            for host, html, reference, template, weights in zip(*(b.column(i).to_pylist() for i in range(2, 7))):
+            for group, html, reference, template, weights, more in zip(*(b.column(i).to_pylist() for i in range(2, 8))):
                 page, _ = parse(html or "")
                 fixed: set[int] = set()
                 slot = None
                 if template or weights:
-                    own, _, slot_at = references.get(host, reference, weights)
-                    known = set(template)
+                    own, _, slot_at = references.get(group, reference, weights)
+                    known = set(template or ())
                     for n in in_order(page) if (met := met_nodes(own, page)) else ():
                         at, same = met.get(id(n), (-1, False))
                         if same and at in known:
                             fixed.add(n.index)
                         if at == slot_at >= 0:
                             slot = n
+                if more:
+                    every = set(more)
+                    fixed |= {i for i, key in keys(page).items() if key in every}
                 texts.append(content(page, fixed, slot))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=schema.names)
 
-    return with_references(rows, both).select("id", "url", "host", "html", "reference", "template", "weights").mapInArrow(task, schema)
+    return with_references(rows, both).select("id", "url", "grp", "html", "reference", "template", "weights", "more").mapInArrow(task, schema)

@@ -139,6 +139,19 @@ def test_varying_element_is_the_content(spark):
     assert got == {i: f"Title {i} long own text {i} of this page and {i} more of it" for i in range(9)} | {i: f"T {i} body {i} long body text {i}" for i in range(20, 29)}
 
 
+def test_wrappers_of_layouts_and_of_few_pages(spark):
+    own = lambda i: f"<h1>T {i}</h1><p>long own text {i} of this page {i}</p>"
+    lines = ["<p>line of layout a</p>", "<p>line of layout b</p>", "<p>line of layout c</p>"]
+    rows = [(i, "http://l.example/%d" % i, page(f"<article class={'abc'[i % 3]}>{own(i)}{lines[i % 3]}</article>")) for i in range(36)]
+    rows += [(i, "http://two.example/%d" % i, page(f"<article>{own(i)}<p>Share</p></article>")) for i in (50, 51)]
+    rows += [(i, "http://m%d.example/%d" % (i % 6, i), page(f"<article>{own(i)}{'<h2>Most pages say this</h2>' if i % 5 < 3 else ''}</article>")) for i in range(100, 280)]
+    rows += [(i, "http://n.example/%d" % i, page(f"<article>{own(9)}<p>near copy {i}</p></article>")) for i in (95, 96)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.text for r in html.extract(df).collect()}
+    want = {i: f"T {i} long own text {i} of this page {i}" for i, _, _ in rows}
+    assert got == want | {i: f"T 9 long own text 9 of this page 9 near copy {i}" for i in (95, 96)}
+
+
 def test_broken_html():
     for text in ("<", "<p", "<p class='a", "a < b & c &amp", "<!-- open", "<script>x", "</p></div>text", "<p>a<p>b</b>", "<" * 5000, "<div>" * 3000 + "deep"):
         root, _ = html.parse(text)
