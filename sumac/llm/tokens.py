@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,10 +18,10 @@ from tokenizers import Tokenizer
 
 from .common import ship, text_hash, worker_state
 
-#: Words that a Python worker keeps with their ids (about 120 MB); further words are encoded each time.
-CACHE = 600_000
+#: Pieces that a Python worker keeps with their ids (about 60 bytes each): beyond, the half that was used last stays.
+CACHE = 500_000
 #: Text bytes that make one batch of the output.
-SLICE = 1 << 21
+SLICE = 1 << 22
 #: Layout of the files. Token ids repeat, so they are dictionary-coded; the rising document ids and offsets
 #: overflow their dictionary and are delta-coded by version 2 of the format. Pages hold few rows, and the
 #: page index lets a reader skip to the ones that it wants.
@@ -37,59 +36,117 @@ LAYOUT = {
 
 ship(__name__)
 
-#: White space but the space and the line feed, and the marks that stand for pieces below.
-OTHER = re.compile(r"[\x01-\x04\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
-#: A point or comma before a space that may belong to a longer piece.
-LOOSE = re.compile(r"(?<![A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])[.,] ")
-POINT, COMMA, FIRST = "\x01", "\x02", "\x04"
+#: White space but the single space and the line feed, marks used below, and what may be a special token.
+ODD = r"^[ \n]|[ \n]$|  | \n|\n |\n\n\n|<\||[\x01-\x05\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A point or comma before white space that may belong to a longer piece.
+LOOSE = r"(?:^|[^A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])[.,][ \n]"
+POINT, COMMA, FIRST, END = "\x01", "\x02", "\x04", "\x05"
+#: Words that go through the tokenizer as one text.
+TOGETHER = 500
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges from starts on, each with its count, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
-    """Encodes texts; keeps the ids, as bytes, of pieces that recur.
+    """Encodes texts a column at a time; keeps the ids of pieces that recur.
 
     A byte-level tokenizer splits before each single space, around a single line feed and between a
     letter and a point or comma, and encodes what lies between on its own. So a text whose white space is
     of that kind is the sequence of its pieces' ids; any other text goes through the tokenizer whole.
     Pieces: a word that follows a space, a line feed and the word behind it, a first word, and a point
-    or comma behind a letter.
+    or comma behind a letter. Each is encoded once for a column, if it is not among the pieces kept.
     """
 
     def __init__(self, vocabulary: str, end: int):
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.end = array("i", [end]).tobytes()
-        self.kept: dict[str, bytes] = {}
         pre = self.tokenizer.pre_tokenizer
         split = pre and [x for x, _ in pre.pre_tokenize_str("a b.\n\nc, d")]
         self.by_piece = split == ["a", "Ġb", ".", "Ċ", "Ċ", "c", ",", "Ġd"] and self.tokenizer.normalizer is None
-
-    def pieces(self, text: str) -> list[str] | None:
-        if not self.by_piece or text[:1] in " \n" or text[-1:] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "<|" in text or OTHER.search(text):
-            return None
-        text = text.replace("\n", " \n")
-        if not LOOSE.search(text):
-            text = text.replace(". ", " \x01 ").replace(", ", " \x02 ")
-        out = text.split(" ")
-        out[0] = FIRST + out[0]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
-        new = list(set().union(*filter(None, split)) - self.kept.keys())
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that begin a word with a space
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t[:1] == "Ġ"]] = True
+        self.end = np.array([end], np.int32)
+        self.known = pa.array([], pa.string())
+        self.ids = np.zeros(0, np.int32)  # of all known pieces, one after the other
+        self.starts, self.counts, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.turn = 0
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and how many each has."""
+        coded = [array("i", c.ids) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.frombuffer(b"".join(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without white space, each behind a space. Many words are one text, in which the ids that
+        begin with a space show where each starts."""
+        ids, _ = self.whole(["".join([" " + w for w in words[i : i + TOGETHER]]) for i in range(0, len(words), TOGETHER)])
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(words) or len(at) and at[0]:
+            return self.whole([" " + w for w in words])
+        return ids, np.diff(at, append=len(ids))
+
+    def learn(self, new: pa.StringArray) -> np.ndarray:
+        """Encodes new pieces and keeps them; returns their places among the known ones."""
+        pieces = new.to_numpy(zero_copy_only=False).tolist()
+        mark = np.fromiter((p < "\x0b" for p in pieces), bool, len(pieces))  # begins with a line feed or a mark
         said = {POINT: ".", COMMA: ","}
-        spoken = [said.get(p) or (p[1:] if p[0] == FIRST else p if p[0] == "\n" else " " + p) for p in new]
-        coded = self.tokenizer.encode_batch_fast(spoken, add_special_tokens=False)
-        self.kept.update(zip(new, (array("i", c.ids).tobytes() for c in coded)))
-        out = []
-        for t, parts in zip(texts, split):
-            if parts is None:
-                out.append(array("i", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() + self.end)
-            else:
-                out.append(b"".join(map(self.kept.__getitem__, parts)) + self.end)
-        if len(self.kept) > CACHE:
-            for p in new:
-                del self.kept[p]
-        return out
+        ids, counts = self.words([p for p, m in zip(pieces, mark) if not m])
+        marked = [p for p, m in zip(pieces, mark) if m and p != END]
+        more, their = self.whole([said.get(p) or p.removeprefix(FIRST) for p in marked])
+        order = np.concatenate((np.flatnonzero(~mark), [i for i in np.flatnonzero(mark) if pieces[i] != END], [i for i in np.flatnonzero(mark) if pieces[i] == END])).astype(np.int64)
+        counts = np.concatenate((counts, their, np.ones(len(order) - len(counts) - len(their), np.int64)))
+        ids = np.concatenate((ids, more, self.end[: len(order) - len(pieces) + pieces.count(END)]))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
+        self.counts, self.ids = np.concatenate((self.counts, counts)), np.concatenate((self.ids, ids))
+        places = np.empty(len(order), np.int64)
+        places[order] = len(self.known) + np.arange(len(order))
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+        self.used = np.concatenate((self.used, np.full(len(order), self.turn)))
+        return places
+
+    def forget(self) -> None:
+        """Leaves the half of CACHE that was in use last."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE // 2])
+        self.known, self.used = self.known.take(pa.array(keep)), self.used[keep]
+        self.ids = self.ids[ranges(self.starts[keep], self.counts[keep])]
+        self.counts = self.counts[keep]
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def encode(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text and the end id."""
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), bool)
+        plain = texts.filter(pa.array(~odd)) if odd.any() else texts
+        stops = pc.replace_substring(plain, "\n", " \n")
+        for stop, said in ((". ", f" {POINT} "), (", ", f" {COMMA} ")):
+            stops = pc.replace_substring(stops, stop, said)
+        plain = pc.if_else(pc.match_substring_regex(plain, LOOSE), pc.replace_substring(plain, "\n", " \n"), stops)
+        split = pc.split_pattern(pc.binary_join_element_wise(FIRST, plain, " " + END, ""), " ")
+        pieces = split.flatten().dictionary_encode()
+        self.turn += 1
+        at = pc.index_in(pieces.dictionary, value_set=self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if new.any():
+            at[new] = self.learn(pieces.dictionary.filter(pa.array(new)))
+        self.used[at] = self.turn
+        at = at[pieces.indices.to_numpy(zero_copy_only=False)]
+        counts = self.counts[at]
+        ids = self.ids[ranges(self.starts[at], counts)]
+        ends = np.concatenate(([0], np.cumsum(counts)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        if len(self.known) > CACHE:
+            self.forget()
+        if not odd.any():
+            return lists
+        ids, counts = self.whole(texts.filter(pa.array(odd)).to_pylist())
+        ends = np.cumsum(counts)
+        rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends + np.arange(1, len(ends) + 1))), pa.int32()), pa.array(np.insert(ids, ends, self.end[0])))
+        order = np.empty(len(odd), np.int64)
+        order[~odd], order[odd] = np.arange(len(lists)), np.arange(len(lists), len(odd))
+        return pa.concat_arrays([lists, rest]).take(pa.array(order))
 
 
 def worker_encoder(vocabulary: str, end: int) -> Encoder:
@@ -122,11 +179,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | Path, end: int =
             while lo < len(ends):
                 begin = ends[lo - 1] if lo else 0
                 hi = max(lo + 1, int(np.searchsorted(ends, begin + SLICE, "right")))
-                coded = encoder.encode(b.column(2).slice(lo, hi - lo).to_pylist())
-                counts = np.array([len(x) // 4 for x in coded], np.int32)
-                values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(counts), lists], names=schema.names)
+                lists = encoder.encode(b.column(2).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), lists.value_lengths(), lists], names=schema.names)
                 lo = hi
 
     rows = rows.repartitionByRange("id", "th").sortWithinPartitions("id", "th")

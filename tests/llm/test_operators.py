@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -503,7 +505,7 @@ def test_tokens(spark, docs):
     assert tokens.token_table(docs.limit(0), new_path(spark, "test"), path).count() == 0
 
 
-def test_encoder_is_exact(monkeypatch):
+def test_encoder_is_exact(spark, monkeypatch):
     text = open(public_tokenizers.path("byte_bpe_50k.json")).read()
     plain = Tokenizer.from_str(text)
     monkeypatch.setattr(tokens, "CACHE", 50)
@@ -512,9 +514,12 @@ def test_encoder_is_exact(monkeypatch):
     pieces = ["a", "The", "é", "ñ", "1", ".", ",", "!", "'s", "-", " ", "  ", "\n", " \n", "\n\n", "\n\n\n", "\t", "\xa0", "\u3000", "\x1c", "漢", "<|endoftext|>", "🙂", "e\u0301", "_", "\r\n", ". ", ", ", ".\n", "\x01", "\x04"]
     texts = ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(4000)] + ["plain words, and more. Yes.\nNext line, too"]
     for lo in range(0, len(texts), 500):
-        for t, got in zip(texts[lo : lo + 500], encoder.encode(texts[lo : lo + 500])):
-            assert got == np.array(plain.encode(t, add_special_tokens=False).ids + [2], "<i4").tobytes(), repr(t)
-    assert encoder.pieces(texts[-1]) is not None
+        for t, got in zip(texts[lo : lo + 500], encoder.encode(pa.array(texts[lo : lo + 500])).to_pylist()):
+            assert got == plain.encode(t, add_special_tokens=False).ids + [2], repr(t)
+    assert encoder.by_piece and pc.match_substring_regex(pa.array(texts), tokens.ODD).to_pylist()[-1] is False
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text").toPandas()["text"].tolist()
+    want = [c.ids + [2] for c in plain.encode_batch_fast(given, add_special_tokens=False)]
+    assert encoder.encode(pa.array(given)).to_pylist() == want
 
 
 # op10
