@@ -18,7 +18,7 @@ from .quality_rules import CLASS_LIMIT, CLASSES, COMMON, LEAST_CHARS, LEAST_WORD
 from .simhash import near_duplicates
 from .substring import without_repeats
 from .tokens import token_table
-from .urls import judge
+from .urls import judge, sites_named
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,8 +131,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed values of the url contract: host, path, action.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Listed canonical URLs: the roots of sites that carry spam.
-LISTED = [(f"{name}.example.{top}", "/") for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+#: Names of sites that carry spam; the canonical URLs of all pages on them are the list.
+SPAM_SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 @query(
@@ -144,7 +144,9 @@ LISTED = [(f"{name}.example.{top}", "/") for name in ("adult-x", "ads-track", "c
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
       FROM u),
     rules(h, q, action) AS (VALUES {", ".join(map(str, RULES))}),
-    listed(h, q) AS (VALUES {", ".join(map(str, LISTED))}),
+    listed AS (
+      SELECT DISTINCT regexp_replace(host, '^(?:www|m|blog)\.', '') AS h, regexp_replace(path, '(?:/|\.html?)$', '') AS q
+      FROM p WHERE len(list_intersect(string_split(host, '.'), [{", ".join(f"'{x}'" for x in SPAM_SITES)}])) > 0),
     fit AS (
       SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(action, length(h || q)) AS action
       FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id),
@@ -154,9 +156,9 @@ LISTED = [(f"{name}.example.{top}", "/") for name in ("adult-x", "ads-track", "c
     """,
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS t(host, path, action)")
-    blocked = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, LISTED))} AS t(host, path)")
-    found = judge(table(spark, sf_dir, "pages"), rules, blocked)
+    found = judge(pages, rules, sites_named(pages, SPAM_SITES))
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 

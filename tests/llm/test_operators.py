@@ -551,6 +551,24 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), *args).count() == 0
 
 
+def test_long_hosts_and_long_lists(spark):
+    long = "http://" + "a." * 40_000 + "spam7.example.com/p/" + "y" * 20_000
+    urls_given = [long, long.replace("spam7", "clean"), "http://x.spam99.example.com/list/99/a", "http://spam99.example.com/list/98", "http://spam99.example.com", "http://.com/", "http://./"]
+    df = spark.createDataFrame(list(enumerate(urls_given)), "page_id long, url string")
+    blocked = spark.range(100_000).select(F.concat(F.lit("spam"), "id", F.lit(".example.com")).alias("host"), F.when(F.col("id") == 7, "/p").otherwise(F.concat(F.lit("/list/"), "id")).alias("path"))
+    blocked = blocked.unionByName(spark.createDataFrame([(None, "/"), ("x.com", None)], "host string, path string"))
+    rules = spark.createDataFrame([("com", "/", "allow")], "host string, path string, action string")
+    got = {r.id: (r.listed, r.rule, r.verdict) for r in urls.judge(df, rules, blocked).collect()}
+    assert got == {0: (True, "com/", "allow"), 1: (False, "com/", "allow"), 2: (True, "com/", "allow"), 3: (False, "com/", "allow"), 4: (False, None, "allow"), 5: (False, "com/", "allow"), 6: (False, None, "allow")}
+    assert {r.id for r in urls.judge(df, rules.limit(0), blocked).where("verdict = 'block'").collect()} == {0, 2}
+
+
+def test_list_from_pages(spark):
+    given = ["http://www.bad-x.example.com/de/1.html", "http://bad-x.example.com/de/1/", "https://m.bad-x.example.com", "http://good.example.com/de/1", "http://notbad-x.example.com/", None]
+    found = urls.sites_named(spark.createDataFrame(list(enumerate(given)), "page_id long, url string"), ("bad-x",))
+    assert bag((r.host, r.path) for r in found.collect()) == Counter([("bad-x.example.com", "/de/1"), ("bad-x.example.com", "")])
+
+
 def test_bloom_has_no_false_negative(spark):
     keys = spark.range(3000).select(F.concat(F.lit("host"), "id", F.lit("/")).alias("key"))
     bloom = urls.bloom_blocks(keys, 128)
