@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from html import unescape
@@ -26,8 +27,7 @@ LEAST_SHARE = 0.5
 LAYOUT_PAGES = 10
 #: Reference pages, in bytes, that are sent to every task; more of them meet the pages in a shuffled join.
 SENT_BYTES = 16 << 20
-#: Deeper elements hang from this depth. Larger tables of pairs are kept in part and made again; more than the texts of any page.
-DEPTH = 120
+#: Larger tables of pairs are kept in part and made again; more than the texts of any page.
 CELLS = 1 << 20
 TEXTS = 1 << 24
 
@@ -97,8 +97,17 @@ def opened(tag: str, attributes: str) -> Node:
     return node
 
 
+def in_order(root: Node) -> list[Node]:
+    """All nodes of a tree, parents first; their places are their numbers."""
+    out, stack = [], [root]
+    while stack:
+        out.append(n := stack.pop())
+        stack.extend(reversed(n.children))
+    return out
+
+
 def has_heading(n: Node) -> bool:
-    return n.tag == "h1" or any(map(has_heading, n.children))
+    return any(x.tag == "h1" for x in in_order(n))
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -106,10 +115,20 @@ def parse(html: str) -> tuple[Node, list[Node]]:
 
     Inline elements belong to the text around them. A start tag ends what HTML lets it end; an end tag
     without a start is nothing; what is open at the end of the page ends there. Scripts, styles and
-    comments are no text. Character references are decoded; white space becomes single spaces.
+    comments are no text. Character references are decoded; white space becomes single spaces. Elements
+    may be nested to any depth.
     """
     root = Node("#root", "#root")
     stack, leaves, pieces, links, linked = [root], [], [], 0, 0
+    opens: dict[str, list[int]] = {}  # where on the stack each kind of tag is open
+    fences: list[int] = []
+
+    def close(at: int) -> None:
+        for n in reversed(stack[at:]):
+            opens[n.tag].pop()
+        del stack[at:]
+        while fences and fences[-1] >= at:
+            fences.pop()
 
     def flush() -> None:
         nonlocal linked
@@ -147,39 +166,31 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             continue
         flush()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in FENCE and tag not in FENCE:
-                    break
+            if (at_tag := opens.get(tag)) and (tag in FENCE or not fences or fences[-1] < at_tag[-1]):
+                close(at_tag[-1])
             continue
         if tag in CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
+            close(len(stack) - 1)
         if closes := SAME_CLOSES.get(tag):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    del stack[i:]
-                    break
-                if stack[i].tag in FENCE:
-                    break
+            last = max((opens[c][-1] for c in closes if opens.get(c)), default=-1)
+            if last >= max(1, fences[-1] if fences else 0):
+                close(last)
         if tag == "hr":
             continue
         node = opened(tag, m["attributes"])
         stack[-1].children.append(node)
-        if len(stack) < DEPTH:
-            stack.append(node)
+        opens.setdefault(tag, []).append(len(stack))
+        if tag in FENCE:
+            fences.append(len(stack))
+        stack.append(node)
         links = 0
     said(html[at:])
     flush()
 
-    def sized(n: Node) -> int:
-        n.size = 1 + sum(map(sized, n.children))
+    for n in reversed(in_order(root)):
+        n.size = 1 + sum([c.size for c in n.children])
         n.shape = hash((n.kind, *[c.shape for c in n.children]))
         n.full = hash((n.kind, n.text, *[c.full for c in n.children]))
-        return n.size
-
-    sized(root)
     return root, leaves
 
 
@@ -266,11 +277,8 @@ def weights_of(left: list[Node], right: list[Node], known: dict[tuple[int, int],
     return weigh
 
 
-def texts(n: Node) -> Iterator[str]:
-    if n.kind == "#text":
-        yield n.text
-    for c in n.children:
-        yield from texts(c)
+def texts(n: Node) -> set[str]:
+    return {x.text for x in in_order(n) if x.kind == "#text"}
 
 
 def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
@@ -278,45 +286,43 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     kept, and the pairs. Of pairings of children with as many nodes, one with the most texts in common."""
     known: dict[tuple[int, int], int] = {}
     out: list[tuple[Node, Node]] = []
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + 4 * a.size))
 
     def whole(x: Node, y: Node) -> None:
-        out.append((x, y))
-        for p, q in zip(x.children, y.children):
-            whole(p, q)
+        out.extend(zip(in_order(x), in_order(y)))
 
-    def pair(x: Node, y: Node) -> None:
+    stack = [(a, b)] if a.kind == b.kind else []
+    while stack:
+        x, y = stack.pop()
         if x.shape == y.shape:
-            return whole(x, y)
+            whole(x, y)
+            continue
         out.append((x, y))
         front, back = common_ends([c.full for c in x.children], [c.full for c in y.children])
         left, right = x.children[front : len(x.children) - back], y.children[front : len(y.children) - back]
         for p, q in zip(x.children[:front], y.children[:front]):
             whole(p, q)
+        for p, q in zip(x.children[len(x.children) - back :], y.children[len(y.children) - back :]):
+            whole(p, q)
         if len(left) == len(right) == 1:
             if left[0].kind == right[0].kind:
-                pair(left[0], right[0])
+                stack.append((left[0], right[0]))
         elif left and right:
             weigh = weights_of(left, right, known)
             where: dict[str, list[int]] = {}
             for j, q in enumerate(right):
-                for t in set(texts(q)):
+                for t in texts(q):
                     where.setdefault(t, []).append(j)
 
             def with_texts(i: int) -> np.ndarray:
                 nodes = weigh(i)
                 row = nodes * TEXTS
-                for t in set(texts(left[i])):
+                for t in texts(left[i]):
                     if t in where:
                         row[where[t]] += nodes[where[t]] > 0
                 return row
 
-            for i, j in paired(len(left), len(right), with_texts):
-                pair(left[i], right[j])
-        for p, q in zip(x.children[len(x.children) - back :], y.children[len(y.children) - back :]):
-            whole(p, q)
-
-    if a.kind == b.kind:
-        pair(a, b)
+            stack.extend((left[i], right[j]) for i, j in paired(len(left), len(right), with_texts))
     return len(out), out
 
 
@@ -330,28 +336,29 @@ def content(root: Node, template: set[int], slot: Node | None = None) -> str:
     """
     roots: dict[str, list[Node]] = {"slot": [slot] if slot else [], "article": [], "main": [], "#root": [root]}
 
-    def find(n: Node) -> None:
+    stack = [root]
+    while stack:
+        n = stack.pop()
         if n.dropped:
-            return
+            continue
         if n.tag == "article":
             roots["article"].append(n)
-            return
+            continue
         if n.main:
             roots["main"].append(n)
-        for c in n.children:
-            find(c)
-
-    find(root)
+        stack.extend(reversed(n.children))
     blocks: list[str] = []
 
-    def read(n: Node, whole: bool) -> None:
-        if n.dropped or n.header and (whole or not has_heading(n)):
-            return
-        if n.kind == "#text":
-            if n.index not in template and not (whole and 2 * n.linked > len(n.text)):
-                blocks.append(n.text)
-        for c in n.children:
-            read(c, whole)
+    def read(top: Node, whole: bool) -> None:
+        stack = [top]
+        while stack:
+            n = stack.pop()
+            if n.dropped or n.header and (whole or not has_heading(n)):
+                continue
+            if n.kind == "#text":
+                if n.index not in template and not (whole and 2 * n.linked > len(n.text)):
+                    blocks.append(n.text)
+            stack.extend(reversed(n.children))
 
     for kind in roots:
         for n in roots[kind][: None if kind != "main" else 1]:
@@ -363,40 +370,24 @@ def content(root: Node, template: set[int], slot: Node | None = None) -> str:
     return " ".join(blocks)
 
 
-def leaves_below(n: Node) -> Iterator[Node]:
-    if n.kind == "#text":
-        yield n
-    for c in n.children:
-        yield from leaves_below(c)
+def leaves_below(n: Node) -> list[Node]:
+    return [x for x in in_order(n) if x.kind == "#text"]
 
 
 def heading_before(root: Node, slot: Node) -> Node | None:
     """The last h1 before an element, not in an article or a dropped element."""
-    last, found = None, False
-
-    def walk(n: Node) -> None:
-        nonlocal last, found
+    last, stack = None, [root]
+    while stack:
+        n = stack.pop()
         if n is slot:
-            found = True
-        if found or n.dropped or n.tag == "article":
-            return
+            return last
+        if n.dropped or n.tag == "article":
+            continue
         if n.tag == "h1":
             last = n
-            return
-        for c in n.children:
-            walk(c)
-
-    walk(root)
-    return last if found else None
-
-
-def in_order(root: Node) -> list[Node]:
-    """All nodes of a tree, parents first; their places are their numbers."""
-    out, stack = [], [root]
-    while stack:
-        out.append(n := stack.pop())
+            continue
         stack.extend(reversed(n.children))
-    return out
+    return None
 
 
 def varying(page: Node, met: dict[int, tuple[int, bool]]) -> Iterator[tuple[int, Node]]:
@@ -425,7 +416,7 @@ def slot_of(root: Node, weights: dict[int, int]) -> int:
     number = {id(n): i for i, n in enumerate(nodes)}
     sums = [weights.get(i, 0) for i in range(len(nodes))]
     for i in range(len(nodes) - 1, -1, -1):
-        sums[i] += sum(sums[number[id(c)]] for c in nodes[i].children)
+        sums[i] += sum([sums[number[id(c)]] for c in nodes[i].children])
     total, at, way = sums[0], root, []
     if not total:
         return -1
@@ -439,10 +430,14 @@ def slot_of(root: Node, weights: dict[int, int]) -> int:
         if marked:
             return number[id(marked[0])]
 
-    def held(n: Node) -> int:
-        return 0 if n.dropped else sums[number[id(n)]] if n.tag == "article" or n.main else sum(map(held, n.children))
-
-    return -1 if 2 * held(at) >= sums[number[id(at)]] else number[id(at)]
+    held, stack = 0, [at]
+    while stack:
+        n = stack.pop()
+        if n.tag == "article" or n.main:
+            held += 0 if n.dropped else sums[number[id(n)]]
+        elif not n.dropped:
+            stack.extend(n.children)
+    return -1 if 2 * held >= sums[number[id(at)]] else number[id(at)]
 
 
 def layout(html: Column) -> Column:
@@ -501,21 +496,27 @@ def met_nodes(nodes: list[Node], page: Node) -> dict[int, tuple[int, bool]]:
     return {id(y): (number[id(x)], x.kind == "#text" and x.text == y.text) for x, y in matching(nodes[0], page)[1]}
 
 
-def undropped(n: Node) -> Iterator[Node]:
-    if n.kind == "#text" and not n.dropped:
-        yield n
-    for c in n.children if not n.dropped else ():
-        yield from undropped(c)
+def undropped(top: Node) -> Iterator[Node]:
+    stack = [top]
+    while stack:
+        n = stack.pop()
+        if n.kind == "#text" and not n.dropped:
+            yield n
+        if not n.dropped:
+            stack.extend(n.children)
 
 
 def keys(page: Node) -> dict[int, int]:
     """Hashes of the kinds down to each leaf and its text, by number of the leaf."""
-    out, stack = {}, [(page, "")]
+    out, stack = {}, [(page, b"")]
+    digest = lambda above, said: blake2b(above + said.encode("utf-8", "replace"), digest_size=8).digest()
     while stack:
-        n, path = stack.pop()
+        n, above = stack.pop()
         if n.kind == "#text":
-            out[n.index] = int.from_bytes(blake2b(f"{path}\0{n.text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-        stack.extend((c, f"{path}/{n.kind}") for c in n.children)
+            out[n.index] = int.from_bytes(digest(above, n.text), "big", signed=True)
+        elif n.children:
+            here = digest(above, n.kind)
+            stack.extend((c, here) for c in n.children)
     return out
 
 

@@ -154,6 +154,40 @@ def test_wrappers_of_layouts_and_of_few_pages(spark):
     assert got == want | {i: f"T 9 long own text 9 of this page 9 near copy {i}" for i in (95, 96)}
 
 
+def neutral(h):
+    """A page whose elements are all div without classes, paragraphs that the page leaves open closed first."""
+    h = h.replace("<br><p>", "<br></p><p>").replace("<br></article>", "<br></p></article>")
+    return re.sub(r"<(/?)(?:nav|ul|li|article|h1|p|footer|div)\b[^>]*>", r"<\1div>", h)
+
+
+def test_wrapper_alone_finds_the_text(spark, monkeypatch):
+    given = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    hosts = "regexp_extract(url, '://([^/?#]*)', 1) IN ('www.ththin.example.net', 'therat.example.net', 'blog.tionsh.example.com')"
+    rows = [(r.page_id, r.url, r.html) for r in given.where(hosts).collect()]
+    assert len(rows) > 300
+    tagged = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = spark.createDataFrame([(i, u, neutral(h)) for i, u, h in rows], "page_id long, url string, html string")
+    want = {i: " ".join(html.content(html.parse(h[h.index("<article>") : h.index("</article>")] + "</article>")[0], set()).split()) for i, _, h in rows}
+    assert {r.id: r.text for r in html.extract(tagged).collect()} == want
+    assert {r.id: r.text for r in html.extract(plain).collect()} == want
+    none = html.wrappers(html.with_references(plain.limit(0).withColumns({"host": F.lit(""), "layout": F.lit(0).cast("long")}), html.references(plain.limit(0).withColumns({"host": F.lit(""), "layout": F.lit(0).cast("long")}))))
+    monkeypatch.setattr(html, "wrappers", lambda pages: none)
+    without = {r.id: r.text for r in html.extract(plain).collect()}
+    assert not [i for i in want if without[i] == want[i]]
+
+
+def test_deep_and_long_pages(spark):
+    deep = lambda i: page("<div>" * 4000 + f"<h1>T {i}</h1><p>own deep text {i} of page {i}</p>" + f"<p>more {i}</p>" * (i % 3) + "<p>Share this</p>")
+    long = lambda i: page("<div>" + "".join(f"<p>line {k} of page {i}</p>" for k in range(4000 + i)) + "</div>")
+    rows = [(i, "http://deep.example/%d" % i, deep(i)) for i in range(12)] + [(i, "http://long.example/%d" % i, long(i)) for i in range(20, 32)]
+    got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == " ".join([f"T {i} own deep text {i} of page {i}", *[f"more {i}"] * (i % 3)])
+    for i in range(20, 32):
+        assert got[i] == " ".join(f"line {k} of page {i}" for k in range(4000 + i))
+    html.parse("<x>" * 100_000 + "</y>" * 100_000 + "<i>" * 100_000)
+
+
 def test_broken_html():
     for text in ("<", "<p", "<p class='a", "a < b & c &amp", "<!-- open", "<script>x", "</p></div>text", "<p>a<p>b</b>", "<" * 5000, "<div>" * 3000 + "deep"):
         root, _ = html.parse(text)
