@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,19 @@ WINDOW = 35
 SLICE = 1 << 20
 #: Text bytes behind one range of hashes, the unit that is counted at once.
 RANGE_BYTES = 1 << 24
+#: Bits of the hash by which a slice is dealt over tasks: 4,096 rows a slice at most, whatever the input. Beyond, each
+#: task deals what it gets into narrower ranges, without another shuffle.
+MOST_BITS = 12
+#: Bytes of packed windows that a task deals at once.
+DEAL_BYTES = 1 << 25
+#: Longer words are hashed as a whole.
+LONG_WORD = 4096
 
 ship(__name__)
 
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 WORD_BASE = np.array([0xC2B2AE3D27D4EB4F], np.uint64)
+OTHER_BASE = np.array([0xD6E8FEB86659FD93], np.uint64)
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
@@ -44,8 +53,13 @@ POWER = powers(BYTE_BASE, SLICE + 1)
 INVERSE = powers(np.uint64(pow(int(BYTE_BASE), -1, 1 << 64)), SLICE + 1)
 
 
+def long_hash(word: bytes) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), np.uint64)
+
+
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit polynomial hash of every white-space word, and where each begins."""
+    """A 64-bit hash of every white-space word, which depends on the word alone, and where each begins: a
+    polynomial, or for words beyond LONG_WORD bytes a digest. Texts beyond SLICE are cut behind spaces."""
     if len(text) > SLICE:
         hashes, starts, lo = [], [], 0
         while lo < len(text):
@@ -54,7 +68,7 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
                 spaces = np.flatnonzero(SPACE[np.frombuffer(text, np.uint8, hi - lo, lo)])
                 if not len(spaces):  # a word longer than a slice
                     hi = next((i for i in range(hi, len(text)) if SPACE[text[i]]), len(text))
-                    hashes.append(np.frombuffer(hashlib.blake2b(text[lo:hi], digest_size=8).digest(), np.uint64))
+                    hashes.append(long_hash(text[lo:hi]))
                     starts.append(np.array([lo]))
                     lo = hi
                     continue
@@ -68,14 +82,17 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate(([True], SPACE[raw], [True])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * INVERSE[: len(raw)], dtype=np.uint64)))
-    return mixed((sums[end] - sums[start]) * POWER[end]), start
+    hashes = mixed((sums[end] - sums[start]) * POWER[end])
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        hashes[i] = long_hash(text[start[i] : end[i]])[0]
+    return hashes, start
 
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, size: int, base: np.ndarray = WORD_BASE) -> np.ndarray:
     """Rabin-Karp hash of every window of size word hashes, by joining runs of doubling length."""
     if len(words) < size:
         return np.zeros(0, np.uint64)
-    run, length, power = words, 1, WORD_BASE
+    run, length, power = words, 1, base
     total, have = None, 0
     while True:
         if size & length:  # the next length words of each window
@@ -89,17 +106,25 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
         run, power, length = run[:-length] * power + run[length:], power * power, 2 * length
 
 
-def pack(positions: np.ndarray) -> bytes:
-    """Rising numbers as gaps of a byte each; 255 says that the gap goes on."""
+def pack(positions: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of rising numbers as gaps of a byte each; 255 says that the gap goes on. ends: of the rows among the
+    numbers. Returns the bytes and where each row ends among them."""
     gaps = np.diff(positions, prepend=0)
-    out = np.full(len(gaps) + int((gaps // 255).sum()), 255, np.uint8)
-    out[np.cumsum(gaps // 255 + 1) - 1] = gaps % 255
-    return out.tobytes()
+    gaps[starts_of(ends)] = positions[starts_of(ends)]
+    last = np.cumsum(gaps // 255 + 1)
+    out = np.full(int(last[-1]) if len(last) else 0, 255, np.uint8)
+    out[last - 1] = gaps % 255
+    return out, last[ends - 1]
+
 
+def unpack(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all rows. starts: of the rows among the bytes; counts: numbers of each row."""
+    sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(raw, dtype=np.int64)))
+    return sums[1:][raw < 255] - np.repeat(sums[starts], counts)
 
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    return np.cumsum(raw, dtype=np.int64)[raw < 255]
+
+def starts_of(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.int64), ends[:-1]))[: len(ends)]
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,15 +132,70 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-#: One row of the packed exchange. range: of the hashes. part, slice: where the windows come from.
-PACKED = "range long, part long, slice long, at binary, hashes binary, id_hashes binary, text_hashes binary, lengths binary"
-NAMES = [x.split()[0] for x in PACKED.split(", ")]
+#: One row of the packed exchange: windows of one slice (part, slice) in one range of hashes, with the places of the
+#: windows in the slice and the hashes; or, where a task has dealt them on, windows of many slices in one narrower range
+#: (sub), with part, slice and place of each as 32-bit numbers (origins). A row without hashes describes a slice.
+PACKED = "range long, sub long, part long, slice long, at binary, hashes binary, origins binary, id_hashes binary, text_hashes binary, lengths binary"
 INT, BIN = pa.int64(), pa.binary()
-ARROW = pa.schema([("range", INT), ("part", INT), ("slice", INT), ("at", BIN), ("hashes", BIN), ("id_hashes", BIN), ("text_hashes", BIN), ("lengths", BIN)])
+ARROW = pa.schema([(x.split()[0], INT if x.endswith("long") else BIN) for x in PACKED.split(", ")])
+
+
+def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Bytes as an array of rows."""
+    offsets = np.concatenate((np.zeros(1, np.int64), ends)).astype(np.int32)
+    return pa.Array.from_buffers(BIN, len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def packed_rows(n: int, **columns: pa.Array | np.ndarray | int) -> pa.RecordBatch:
+    """n rows of the exchange; columns that are not given are null."""
+
+    def column(f: pa.Field) -> pa.Array:
+        x = columns.get(f.name)
+        if x is None:
+            return pa.nulls(n, f.type)
+        return x if isinstance(x, pa.Array) else pa.array(np.full(n, x) if np.isscalar(x) else x, f.type)
+
+    return pa.RecordBatch.from_arrays([column(f) for f in ARROW], schema=ARROW)
+
+
+def row_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows of a binary column and the ends of its rows among them."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
 
-def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+def wide(tails: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of width bytes each as 64-bit ones."""
+    full = np.zeros((len(tails) // width, 8), np.uint8)
+    full[:, :width] = tails.reshape(-1, width)
+    return full.view("<u8").ravel()
+
+
+def unpacked(rows: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of rows that have hashes: the number of each one's row, its hash, and part, slice and place."""
+    tails, ends = row_bytes(rows.column("hashes"))
+    counts = np.diff(ends, prepend=0) // width
+    row = np.repeat(np.arange(rows.num_rows), counts)
+    if rows.num_rows and rows.column("origins")[0].is_valid:
+        data, _ = row_bytes(rows.column("origins"))
+        origins = data.view("<i4").reshape(-1, 3)
+    else:
+        raw, ends = row_bytes(rows.column("at"))
+        places = unpack(raw, starts_of(ends), counts)
+        origins = np.stack([rows.column("part").to_numpy()[row], rows.column("slice").to_numpy()[row], places], 1).astype(np.int32)
+    return row, wide(tails, width), origins
+
+
+def layout(size: int) -> tuple[int, int, int]:
+    """Of so many bytes of text: the bits of the ranges, those of narrower ranges in each, and bytes of the hash sent."""
+    needed = max(4, (size // RANGE_BYTES).bit_length())
+    return min(needed, MOST_BITS), max(0, needed - MOST_BITS), 7 if needed <= MOST_BITS else 8
+
+
+def chunks(b: pa.RecordBatch, size: int) -> Iterator[tuple[int, int]]:
+    """Parts of a batch's rows of about so many bytes."""
+    step = max(1, int(b.num_rows * size // max(1, b.nbytes)))
+    return ((lo, min(b.num_rows, lo + step)) for lo in range(0, b.num_rows, step))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,12 +207,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     One task packs the window hashes of about SLICE bytes of text by hash range: 7 bytes a window, besides
     the range, and a byte or two for its place, each hash once a slice, so that a passage that fills a third
-    of all documents comes once from each slice. A range is counted at once: its size is RANGE_BYTES of text
-    whatever the input. The places of repeated windows go back to their slices, which turn them into spans.
-
-    The hash has 56 bits and those of the range, whose number follows the input; two different windows are
-    taken for equal with a chance of about 1e-11 each. Input rows must come in the same order when a task is
-    run again, as they do from files.
+    of all documents comes once from each slice. A slice has 2**MOST_BITS rows at most, so the packing holds
+    at any input. A range is counted at once, about RANGE_BYTES of text; of larger inputs, a task deals its
+    windows into narrower ranges and sorts those. The places of repeated windows go back to their slices,
+    which turn them into spans.
+
+    The range comes from one Rabin-Karp hash and the 7 bytes (8 beyond 2**MOST_BITS ranges) from another with
+    its own base, so windows are compared by 56 bits and those of the range, whose number follows the input:
+    two different windows are taken for equal with a chance of about 1e-11 each. Input rows must come in the
+    same order when a task is run again, as they do from files.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -141,7 +224,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     )
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    bits = max(4, (size // RANGE_BYTES).bit_length())
+    bits, sub_bits, width = layout(size)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
         held, n = [], 0
@@ -165,7 +248,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             hashes = window_hashes(words, window)
             last = np.repeat(np.cumsum(counts), counts)[: len(hashes)]
             places = np.flatnonzero(np.arange(len(hashes)) + window <= last)
-            hashes = hashes[places]
+            hashes, others = hashes[places], window_hashes(words, window, OTHER_BASE)[places]
             order = np.argsort(hashes, kind="stable")
             ranked = hashes[order]
             new = np.ones(len(ranked), bool)
@@ -174,61 +257,87 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             twice[1:] = ~new[1:]
             twice[:-1] |= ~new[1:]
             local = np.sort(places[order[twice]])
+            names = [np.array(c, np.int64).view(np.uint8) for c in (*zip(*[(kh, th) for kh, th, _ in docs_held]), counts)]
+            kh, th, lengths = (binary(x, np.array([len(x)])) for x in names)
+            at = binary(*pack(local, np.array([len(local)]))) if len(local) else pa.array([b""], BIN)
+            yield packed_rows(1, range=k * 31 % 2**bits, part=part, slice=k, at=at, id_hashes=kh, text_hashes=th, lengths=lengths)
             first = np.sort(order[new])
-            hashes, places = hashes[first], places[first]
-            kind = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+            kind = (hashes[first] >> np.uint64(64 - bits)).astype(np.int64)
             by = np.argsort(kind, kind="stable")
-            cuts = np.searchsorted(kind[by], np.arange(2**bits + 1))
-            tail = hashes.view(np.uint8).reshape(-1, 8)[:, :7]
-            out = [(k * 31 % 2**bits, part, k, pack(local), None, *(np.array(c).tobytes() for c in zip(*[(kh, th) for kh, th, _ in docs_held])), counts.astype(np.int64).tobytes())]
-            for r in range(2**bits):
-                mine = by[cuts[r] : cuts[r + 1]]
-                if len(mine):
-                    out.append((r, part, k, pack(places[mine]), tail[mine].tobytes(), None, None, None))
-            yield packed_rows(out)
+            kind, first = kind[by], first[by]
+            ends = np.flatnonzero(np.diff(kind, append=-1)) + 1
+            if len(ends):
+                tails = others[first].view(np.uint8).reshape(-1, 8)[:, :width].ravel()
+                yield packed_rows(len(ends), range=kind[ends - 1], part=part, slice=k, at=binary(*pack(places[first], ends)), hashes=binary(tails, ends * width))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of a task's ranges, dealt into narrower ones by bits of the other hash."""
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            row, values, origins = unpacked(rows, width)
+            wanted = rows.column("range").to_numpy()[row]
+            sub = (values >> np.uint64(8 * width - sub_bits)).astype(np.int64)
+            by = np.lexsort((sub, wanted))
+            wanted, sub = wanted[by], sub[by]
+            ends = np.flatnonzero((np.diff(wanted, append=-1) != 0) | (np.diff(sub, append=-1) != 0)) + 1
+            tails = values[by].view(np.uint8).reshape(-1, 8)[:, :width].ravel()
+            yield packed_rows(len(ends), range=wanted[ends - 1], sub=sub[ends - 1], hashes=binary(tails, ends * width), origins=binary(origins[by].view(np.uint8).ravel(), ends * 12))
+
+        for b in batches:
+            plain = b.column("hashes").is_null()
+            yield b.filter(plain)
+            b = b.filter(pc.invert(plain))
+            for lo, hi in chunks(b, DEAL_BYTES):
+                held.append(b.slice(lo, hi - lo))
+                if sum(x.nbytes for x in held) >= DEAL_BYTES:
+                    yield from done()
+        if held:
+            yield from done()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by range; each range's windows are compared at once."""
         now, held = None, []
 
-        def done() -> pa.RecordBatch | None:
+        def done() -> Iterator[pa.RecordBatch]:
             if not held:
-                return None
-            tails = [np.frombuffer(h, np.uint8).reshape(-1, 7) for *_, h in held]
-            full = np.zeros((sum(map(len, tails)), 8), np.uint8)
-            np.concatenate(tails, out=full[:, :7])
-            values = full.view("<u8").ravel()
+                return
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            _, values, origins = unpacked(rows, width)
             ranked = np.sort(values)
             again = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-            out, lo = [], 0
-            for (part, k, at, _), t in zip(held, tails):
-                mine = values[lo : lo + len(t)]
-                lo += len(t)
-                if len(again):
-                    hit = again[np.minimum(np.searchsorted(again, mine), len(again) - 1)] == mine
-                    if hit.any():
-                        out.append((now, part, k, pack(unpack(at)[hit]), None, None, None, None))
-            return packed_rows(out) if out else None
+            if not len(again):
+                return
+            origins = origins[again[np.minimum(np.searchsorted(again, values), len(again) - 1)] == values].astype(np.int64)
+            if sub_bits:
+                origins = origins[np.lexsort((origins[:, 2], origins[:, 1], origins[:, 0]))]
+            ends = np.flatnonzero(np.diff(origins[:, :2], axis=0, append=-1).any(1)) + 1
+            yield packed_rows(len(ends), part=origins[ends - 1, 0], slice=origins[ends - 1, 1], at=binary(*pack(origins[:, 2].copy(), ends)))
 
         for b in batches:
-            for r in b.to_pylist():
-                if r["hashes"] is None:
-                    yield packed_rows([tuple(r[n] for n in NAMES)])
-                    continue
-                if r["range"] != now:
-                    if (out := done()) is not None:
-                        yield out
-                    now, held = r["range"], []
-                held.append((r["part"], r["slice"], r["at"], r["hashes"]))
-        if (out := done()) is not None:
-            yield out
+            plain = b.column("hashes").is_null()
+            yield b.filter(plain)
+            b = b.filter(pc.invert(plain))
+            key = np.stack([b.column("range").to_numpy(), b.column("sub").fill_null(0).to_numpy()], 1)
+            edges = np.flatnonzero(np.diff(key, axis=0).any(1)) + 1
+            for lo, hi in zip([0, *edges], [*edges, b.num_rows]):
+                if hi > lo:
+                    if now != tuple(key[lo]):
+                        yield from done()
+                        now = tuple(key[lo])
+                    held.append(b.slice(lo, hi - lo))
+        yield from done()
 
     def placed(t: pa.Table) -> pa.Table:
         """The places of one slice as spans of its documents."""
         rows = t.to_pylist()
         base = next(r for r in rows if r["lengths"] is not None)
         counts, kh, th = (np.frombuffer(base[c], np.int64) for c in ("lengths", "id_hashes", "text_hashes"))
-        at = np.unique(np.concatenate([unpack(r["at"]) for r in rows]))
+        raw = [np.frombuffer(r["at"], np.uint8) for r in rows]
+        at = np.unique(np.concatenate([unpack(x, np.zeros(1, np.int64), np.array([(x < 255).sum()])) for x in raw]))
         steps = np.zeros(int(counts.sum()) + 1, np.int32)
         steps[at] += 1
         steps[at + window] -= 1
@@ -241,7 +350,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             lo += n
         return pa.table([pa.array([x[k] for x in out], kind) for k, kind in enumerate((INT, INT, pa.list_(pa.list_(pa.int32()))))], names=["kh", "th", "spans"])
 
-    packed = rows.mapInArrow(hashed, PACKED).repartition("range").sortWithinPartitions("range")
+    packed = rows.mapInArrow(hashed, PACKED).repartition(2**bits, "range")
+    packed = packed.mapInArrow(dealt, PACKED).sortWithinPartitions("range", "sub") if sub_bits else packed.sortWithinPartitions("range")
     found = packed.mapInArrow(counted, PACKED)
     spans = found.groupBy("part", "slice").applyInArrow(placed, "kh long, th long, spans array<array<int>>")
     return spans.dropDuplicates(["kh", "th"])

@@ -422,17 +422,37 @@ def test_window_hashes_and_packing():
         base = int(substring.WORD_BASE[0])
         plain = [sum(int(x) * pow(base, size - 1 - k, 1 << 64) for k, x in enumerate(w[i : i + size])) % 2**64 for i in range(200 - size + 1)]
         assert np.array_equal(substring.window_hashes(w, size), substring.mixed(np.array(plain, np.uint64)))
-    places = np.cumsum(rng.integers(1, 2000, 500))
-    assert np.array_equal(substring.unpack(substring.pack(places)), places)
+    places = np.concatenate([np.cumsum(rng.integers(1, 2000, n)) for n in (500, 1, 30)])
+    data, ends = substring.pack(places, np.array([500, 501, 531]))
+    assert np.array_equal(substring.unpack(data, substring.starts_of(ends), np.array([500, 1, 30])), places)
+
+
+def test_narrower_ranges_give_the_same(spark, docs, monkeypatch):
+    for size in (0, 1 << 20, 1 << 30, 1 << 40, 100 << 40):
+        bits, sub_bits, width = substring.layout(size)
+        assert bits <= substring.MOST_BITS and size >> (bits + sub_bits) <= substring.RANGE_BYTES and width == (8 if sub_bits else 7)
+    want = bag(map(tuple, substring.without_repeats(docs, 4).collect()))
+    for most, length, held in ((2, 1 << 8, 1 << 25), (1, 1 << 12, 1)):
+        monkeypatch.setattr(substring, "MOST_BITS", most)
+        monkeypatch.setattr(substring, "RANGE_BYTES", length)
+        monkeypatch.setattr(substring, "DEAL_BYTES", held)
+        monkeypatch.setattr(substring, "SLICE", 5000)
+        assert substring.layout(1 << 15)[1] > 1
+        assert bag(map(tuple, substring.without_repeats(docs, 4).collect())) == want
 
 
 def test_long_texts_hash_alike(monkeypatch):
     text = ("ab cd  efg\n" * 50 + "x" * 300 + " tail").encode()
     whole, starts = substring.word_hashes(text)
-    monkeypatch.setattr(substring, "SLICE", 64)
-    parts, at = substring.word_hashes(text)
-    keep = np.arange(len(whole)) != len(whole) - 2  # the word beyond a slice has a hash of another kind
-    assert np.array_equal(starts, at) and np.array_equal(whole[keep], parts[keep])
+    monkeypatch.setattr(substring, "LONG_WORD", 60)
+    whole, starts = substring.word_hashes(text)
+    for size in (64, 300, 310, 400):
+        monkeypatch.setattr(substring, "SLICE", size)
+        parts, at = substring.word_hashes(text)
+        assert np.array_equal(starts, at) and np.array_equal(whole, parts)
+    word = b"y" * (1 << 20)  # as long as a slice, alone and in a longer text
+    monkeypatch.undo()
+    assert substring.word_hashes(word)[0][0] == substring.word_hashes(b"a " + word + b" b")[0][1]
 
 
 # op7
