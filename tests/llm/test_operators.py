@@ -318,9 +318,28 @@ def test_mix(spark, docs):
     assert all(abs(taken[s] - target[s]) < 1 + 1e-6 for s in order)
     assert bag((r.id, r.th, r.size) for r in rows).total() == docs.count() and size
     assert bag(rows) == bag(mixing.mix(docs.repartition(5)).collect())
-    finish = [r.finish for r in rows if r.finish is not None]
-    assert finish == sorted(finish)
+    assert all((r.taken >= r.size) == (r.finish <= 1) for r in rows if r.finish is not None and r.size)
     assert mixing.mix(docs.limit(0)).count() == 0
+    one_id = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert sum(r.taken for r in mixing.mix(one_id).collect()) == sum(taken.values())
+
+
+def test_budget_ends_by_the_global_order(spark):
+    rng = random.Random(4)
+    for n, times in ((300, 1000), (300, 6), (1, 1)):
+        given = [(rng.randint(1, times) / 7, rng.randint(1, 50)) for _ in range(n)]
+        queue = spark.createDataFrame(given, "finish double, words long").repartition(5)
+        for budget in (0, 10, sum(w for _, w in given) // 3, sum(w for _, w in given) - 1, 10**6):
+            upto = {t: sum(w for x, w in given if x <= t) for t, _ in given}
+            assert mixing.end_of_budget(queue, budget) == max((t for t in upto if upto[t] <= budget), default=None)
+    assert mixing.end_of_budget(queue.limit(0), 5) is None
+
+
+def test_other_finish_times_change_the_mix(spark, docs, monkeypatch):
+    want = bag((r.id, r.th, r.taken) for r in mixing.mix(docs).collect())
+    plain = mixing.packets
+    monkeypatch.setattr(mixing, "packets", lambda most: F.transform(plain(most), lambda x: F.struct((F.lit(2.0) - x["finish"]).alias("finish"), x["words"].alias("words"))))
+    assert bag((r.id, r.th, r.taken) for r in mixing.mix(docs).collect()) != want
 
 
 def test_mixed_rows(spark, docs):
