@@ -74,6 +74,13 @@ class Or:
     parts: tuple
 
 
+@dataclass(frozen=True)
+class Sql:
+    """An SQL expression in the place of a value: for SQL text alone."""
+
+    text: str
+
+
 Predicate = Union[Eq, Neq, In, NotIn, Range, IsNull, NotNull, And, Or]
 KINDS = {c.__name__.lower(): c for c in (Eq, Neq, In, NotIn, Range, IsNull, NotNull, And, Or)}
 
@@ -151,6 +158,8 @@ def compile(p: Predicate, df: DataFrame) -> Column:
 def sql_literal(value: Any) -> str:
     if value is None:
         return "NULL"
+    if isinstance(value, Sql):
+        return value.text
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
     if isinstance(value, (int, float)):

@@ -45,31 +45,36 @@ ASKED = [
 # workloads
 
 
-@query("q01_templates")
+@query("q01_templates", WITH + W.SQL_TABLES + W.registry_sql())
 def registry(spark, sf_dir):
-    """The templates, each with the records that a query of it has in scope."""
-    queries = W.workload(records(spark, sf_dir), 1)
-    return W.registry_table(spark).join(W.workload_table(spark, queries).select("template_id", "query_id"), "template_id", "left")
+    return W.registry(records(spark, sf_dir))
 
 
-def counted(column: str) -> DataFrame:
-    return lambda spark, sf_dir: W.workload_table(spark, W.workload(records(spark, sf_dir))).groupBy(column).agg(F.count("*").alias("n"))
+def counted(column: str):
+    sums = "COUNT(*) AS templates, COUNT_IF(valid) AS valid, CAST(COALESCE(SUM(eligible), 0) AS BIGINT) AS eligible"
 
+    @query(f"q02_by_{column}", WITH + W.SQL_TABLES + f"SELECT {column}, {sums} FROM ({W.registry_sql()}) t GROUP BY {column}")
+    def by(spark, sf_dir):
+        found = W.registry(records(spark, sf_dir)).groupBy(column)
+        return found.agg(F.count("*").alias("templates"), F.count_if("valid").alias("valid"), F.coalesce(F.sum("eligible"), F.lit(0)).alias("eligible"))
 
-query("q02_by_family")(counted("family"))
-query("q02_by_difficulty")(counted("difficulty"))
 
+counted("family")
+counted("difficulty")
 
-def answered(family: str):
-    def f(spark, sf_dir):
-        df = W.with_shares(records(spark, sf_dir))
-        return A.evaluate_batch(df, [q for q in W.workload(records(spark, sf_dir)) if q.tags["family"] == family])
 
-    return f
+def answered(family: str):
+    return lambda spark, sf_dir: W.answers(records(spark, sf_dir), family)
 
 
 for n, family in ((3, "count"), (4, "mean"), (5, "proportion"), (6, "comparison"), (7, "topk"), (8, "trend")):
-    query(f"q{n:02d}_{family}")(answered(family))
+    query(f"q{n:02d}_{family}", WITH + W.SQL_TABLES + W.answers_sql(family))(answered(family))
+
+
+@query("q10_draws", WITH + W.SQL_TABLES + W.draws_sql(3))
+def draws(spark, sf_dir):
+    return W.drawn_values(records(spark, sf_dir), 3)
+
 
 FACTS = """WITH facts AS (SELECT CAST(o_custkey AS STRING) AS cik, o_orderpriority AS form_type, o_orderstatus AS tag, o_totalprice AS value, o_orderdate AS filing_date FROM {orders}) """
 FILING = [A.Query(name, spec, P.Eq(field, value)) for (name, spec, field) in W.FILING for value in [{"form_type": "1-URGENT", "tag": "F"}[field]]]
