@@ -350,7 +350,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             lo += n
         return pa.table([pa.array([x[k] for x in out], kind) for k, kind in enumerate((INT, INT, pa.list_(pa.list_(pa.int32()))))], names=["kh", "th", "spans"])
 
-    packed = rows.mapInArrow(hashed, PACKED).repartition(2**bits, "range")
+    packed = rows.mapInArrow(hashed, PACKED).repartitionById(2**bits, F.col("range").cast("int"))
     packed = packed.mapInArrow(dealt, PACKED).sortWithinPartitions("range", "sub") if sub_bits else packed.sortWithinPartitions("range")
     found = packed.mapInArrow(counted, PACKED)
     spans = found.groupBy("part", "slice").applyInArrow(placed, "kh long, th long, spans array<array<int>>")
