@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,37 +15,57 @@ from .base import query
 
 
 def workspace(spark) -> str:
-    """A new folder that the driver and the executors share; a temporary one where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/{tempfile.mktemp(prefix='sumac-', dir='')}"
+    """A new folder that the driver and the executors share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return f"{root.rstrip('/')}/sumac-{uuid.uuid4().hex}"
+
+
+#: Raw names of categories in the made lines, the last of them unknown, and what they stand for.
+NAMES = ["electronics", "books", "home & kitchen", "home and kitchen", "kitchen", "sports & outdoors", "sports and outdoors", "sports", "clothing", "clothing, shoes & jewelry", "apparel",
+         "toys & games", "toys and games", "toys", "beauty", "beauty & personal care", "automotive", "food & grocery", "grocery", "grocery & gourmet food", "office products", "office", "unheard of"]
+MEANT = ["Electronics", "Books", *["Home & Kitchen"] * 3, *["Sports & Outdoors"] * 3, *["Clothing"] * 3, *["Toys & Games"] * 3, "Beauty", "Beauty", "Automotive", *["Food & Grocery"] * 3, *["Office Products"] * 3]
 
 
 def raw_lines(spark, sf_dir) -> DataFrame:
-    """Each event as a JSON line of a raw review; event_id % 10 picks a fault."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.col("event_id") % 10
-    asin = F.when(k == 1, "").when(k == 2, F.lit("bad id!")).when(k == 3, F.concat(F.lit("E"), (F.col("event_id") - 3).cast("string"))).otherwise(F.concat(F.lit("E"), F.col("event_id").cast("string")))
-    fields = {
+    """Each event as a JSON line of a raw review; event_id % 10 picks a fault, and the rest of the number the category,
+    brand or store, flag, and further fields."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.col("event_id") % 10).withColumn("m", F.floor(F.col("event_id") / 10))
+    i, k, m = F.col("event_id"), F.col("k"), F.col("m")
+    asin = F.when(k == 1, "").when(k == 2, F.lit("bad id!")).when(k == 3, F.concat(F.lit("E"), (i - 3).cast("string"))).otherwise(F.concat(F.lit("E"), i.cast("string")))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (m % len(NAMES)).cast("int") + 1)
+    seconds = F.lit("2023-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), i % 86400)
+    fields = {  # a text that begins with # stands for the bare value behind it
         "asin": asin,
-        "title": F.when(k == 7, None).otherwise(F.concat(F.lit("Event "), F.col("event_id").cast("string"))),
-        "main_category": F.when(k == 8, None).when(k == 9, "KINDLE store ").otherwise("Electronics"),
-        "average_rating": F.when(k == 5, F.lit(6.5)).otherwise(F.lit(1.0) + F.col("event_id") % 9 * 0.5),
-        "rating_number": F.col("event_id") % 7,
-        "price": F.when(k == 6, "$1,234.565").otherwise(F.concat(F.lit("$"), (F.col("event_id") % 50).cast("string"))),
-        "timestamp": F.when(k == 4, "not a date").otherwise(F.date_format(F.lit("2023-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("event_id") % 86400), "yyyy-MM-dd'T'HH:mm:ssXXX")),
-        "extra": F.col("event_id"),
+        "title": F.when(k == 7, None).otherwise(F.concat(F.lit("Event "), i.cast("string"))),
+        "main_category": F.when(k == 8, None).when(k == 9, "nothing").when(m % 2 == 0, F.concat(F.lit(" "), F.upper(name))).otherwise(name),
+        "categories": F.when((k == 8) & (m % 3 == 0), F.array(name, F.lit("x"))).when(k == 9, F.array(F.lit("Books"), F.lit("y"), F.lit("z"))),
+        "brand": F.when(m % 4 == 0, " Acme ").when(m % 4 == 2, ""),
+        "store": F.when(m % 4 == 1, "Shop").when(m % 4 == 2, "Corner"),
+        "verified_purchase": F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ("#true", "no", "YES", "#1", "#false"))), (m % 6).cast("int") + 1),
+        "average_rating": F.when(k == 5, F.lit(6.5)).otherwise(F.lit(1.0) + i % 9 * 0.5),
+        "rating_number": i % 7,
+        "price": F.when(k == 6, "$1,234.565").otherwise(F.concat(F.lit("$"), (i % 50).cast("string"))),
+        "bought_in_last_month": F.when(m % 5 == 0, "1K+"),
+        "timestamp": F.when(k == 4, "not a date").when(k == 6, F.concat(F.lit("#"), F.unix_timestamp(seconds).cast("string"))).otherwise(F.date_format(seconds, "yyyy-MM-dd'T'HH:mm:ssXXX")),
+        "extra": i,
+        "more": F.when(m % 7 == 0, "yes"),
     }
-    line = F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()]))
-    return e.select(F.col("event_id").alias("row_index"), F.when(F.col("event_id") % 100 == 0, "{broken").otherwise(line).alias("line"))
+    line = F.regexp_replace(F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()])), '"#([a-z0-9]+)"', "$1")
+    return e.select(i.alias("row_index"), F.when(i % 100 == 0, "{broken").otherwise(line).alias("line"))
 
 
 def raw(spark, sf_dir) -> DataFrame:
-    return readers.parse_lines(raw_lines(spark, sf_dir))
+    """The lines as stored, each with its number."""
+    folder = workspace(spark)
+    raw_lines(spark, sf_dir).write.parquet(f"{folder}/lines")
+    return readers.parse_lines(spark.read.parquet(f"{folder}/lines"))
 
 
 #: The same faults as SQL over events.
-FAULTS = """WITH e AS (SELECT event_id AS i, event_id % 10 AS k, event_id % 100 = 0 AS broken FROM events),
-r AS (SELECT i, k, CASE WHEN broken THEN 'json_parse_error' WHEN k = 1 THEN 'missing_or_empty_asin' WHEN k = 2 THEN 'invalid_asin_format'
+FAULTS = """WITH e AS (SELECT event_id AS i, event_id % 10 AS k, event_id // 10 AS m, event_id % 100 = 0 AS broken FROM events),
+r AS (SELECT i, k, m, CASE WHEN broken THEN 'json_parse_error' WHEN k = 1 THEN 'missing_or_empty_asin' WHEN k = 2 THEN 'invalid_asin_format'
              WHEN k = 4 THEN 'malformed_timestamp' WHEN k = 5 THEN 'invalid_rating' END AS reason,
              CASE WHEN k = 3 THEN i - 3 ELSE i END AS of FROM e),
 a AS (SELECT * FROM r WHERE reason IS NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY of ORDER BY i) = 1) """
@@ -58,11 +78,13 @@ def json_lines(spark, sf_dir):
     return readers.load_raw(spark, f"{folder}/raw.jsonl").agg(F.count("*").alias("n"), F.count_if("malformed").alias("malformed"))
 
 
-@query("s05_json_gz", "SELECT COUNT(*) AS n, COUNT(*) FILTER (event_id % 100 = 0) AS malformed FROM events")
+@query("s05_json_gz", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, event_id % 100 = 0 AS malformed, CASE WHEN event_id % 100 <> 0 THEN 'Event ' || event_id END AS title FROM events WHERE event_id % 10 <> 7")
 def json_gz(spark, sf_dir):
+    """The lines written in order of the id; their numbers by file and line are the places in that order."""
     folder = workspace(spark)
-    raw_lines(spark, sf_dir).select("line").write.option("compression", "gzip").text(f"{folder}/raw.jsonl.gz")
-    return readers.load_raw(spark, f"{folder}/raw.jsonl.gz").agg(F.count("*").alias("n"), F.count_if("malformed").alias("malformed"))
+    lines = raw_lines(spark, sf_dir).where("row_index % 10 <> 7")
+    lines.repartitionByRange("row_index").sortWithinPartitions("row_index").select("line").write.option("compression", "gzip").text(f"{folder}/raw.jsonl.gz")
+    return readers.load_raw(spark, f"{folder}/raw.jsonl.gz").select("row_index", "malformed", "title")
 
 
 @query("s06_csv", WITH + "SELECT brand, COUNT(*) AS n, ROUND(SUM(rating), 2) AS total FROM records GROUP BY brand")
@@ -167,8 +189,10 @@ def mapping(spark, sf_dir):
     return rows.where(~F.col("title").startswith("[No Title]") & F.col("title").startswith("Event")).agg(F.count("*").alias("n"))
 
 
-CANON = FAULTS + """SELECT i AS row_index, 'E' || of AS product_id, CASE k WHEN 8 THEN 'Office Products' WHEN 9 THEN 'Books' ELSE 'Electronics' END AS category,
-    CASE WHEN k = 7 THEN '[No Title] E' || of ELSE 'Event ' || i END AS title, 'Unknown' AS brand, 1.0 + (i % 9) * 0.5 AS rating, i % 7 AS helpful_votes, TRUE AS verified_purchase,
+CANON = FAULTS + f"""SELECT i AS row_index, 'E' || of AS product_id,
+    CASE WHEN k = 9 THEN 'Books' WHEN k = 8 AND m % 3 <> 0 THEN 'Office Products' ELSE {MEANT}[m % {len(MEANT)} + 1] END AS category,
+    CASE WHEN k = 7 THEN '[No Title] E' || of ELSE 'Event ' || i END AS title, CASE m % 4 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Shop' WHEN 2 THEN 'Corner' ELSE 'Unknown' END AS brand,
+    1.0 + (i % 9) * 0.5 AS rating, i % 7 AS helpful_votes, m % 6 NOT IN (2, 5) AS verified_purchase,
     TIMESTAMP '2023-01-01' + INTERVAL 1 SECOND * (i % 86400) AS event_time, CASE WHEN k = 6 THEN 1234.56 ELSE i % 50 END::DOUBLE AS price,
     'amz_d_E' || of || '_' || lpad(CAST(i AS STRING), CAST(greatest(8, length(CAST(i AS STRING))) AS INT), '0') AS record_id FROM r WHERE reason IS NULL"""
 
@@ -179,9 +203,16 @@ def canonical(spark, sf_dir):
     return rows.select("row_index", "product_id", "category", "title", "brand", "rating", "helpful_votes", "verified_purchase", "event_time", F.col("price").cast("double").alias("price"), "record_id")
 
 
-@query("i11_attributes", FAULTS + "SELECT i AS row_index, '1' AS extra FROM r WHERE reason IS NULL")
+@query(
+    "i11_attributes",
+    FAULTS + f"""SELECT i AS row_index, CASE k WHEN 8 THEN NULL WHEN 9 THEN 'nothing' ELSE CASE WHEN m % 2 = 0 THEN upper({NAMES}[m % {len(NAMES)} + 1]) ELSE {NAMES}[m % {len(NAMES)} + 1] END END AS raw_category,
+    CASE WHEN k = 9 THEN '["Books","y","z"]' WHEN k = 8 AND m % 3 = 0 THEN '["' || {NAMES}[m % {len(NAMES)} + 1] || '","x"]' END AS categories,
+    CASE WHEN m % 5 = 0 THEN '1K+' END AS bought, CASE WHEN m % 7 = 0 THEN '2' ELSE '1' END AS extra FROM r WHERE reason IS NULL""",
+)
 def attributes(spark, sf_dir):
-    return I.canonicalize(raw(spark, sf_dir)).where("reason IS NULL").select("row_index", F.col("attributes")["extra_field_count"].alias("extra"))
+    found = F.col("attributes")
+    named = {"raw_category": "raw_category", "categories": "categories", "bought": "bought_in_last_month", "extra": "extra_field_count"}
+    return I.canonicalize(raw(spark, sf_dir)).where("reason IS NULL").select("row_index", *[found[v].alias(k) for k, v in named.items()])
 
 
 @query("i13_hashes")
@@ -208,8 +239,8 @@ def report(spark, sf_dir):
     return I.ingest(raw(spark, sf_dir))["report"]
 
 
-@query("i17_missingness", FAULTS + """, m AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (k = 7) AS t FROM a) SELECT field, CASE field WHEN 'brand' THEN n WHEN 'title' THEN t ELSE 0 END AS missing,
-    ROUND(CASE field WHEN 'brand' THEN 1.0 WHEN 'title' THEN t / n ELSE 0 END, 4)::DOUBLE AS ratio FROM m, (SELECT unnest(['price', 'brand', 'title', 'category', 'event_time', 'rating']) AS field)""")
+@query("i17_missingness", FAULTS + """, s AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (k = 7) AS t, COUNT(*) FILTER (m % 4 = 3) AS u FROM a) SELECT field, CASE field WHEN 'brand' THEN u WHEN 'title' THEN t ELSE 0 END AS missing,
+    ROUND(CASE field WHEN 'brand' THEN u / n WHEN 'title' THEN t / n ELSE 0 END, 4)::DOUBLE AS ratio FROM s, (SELECT unnest(['price', 'brand', 'title', 'category', 'event_time', 'rating']) AS field)""")
 def missing(spark, sf_dir):
     return I.missingness(I.ingest(raw(spark, sf_dir))["records"])
 

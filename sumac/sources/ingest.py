@@ -11,18 +11,30 @@ from pyspark.sql import functions as F
 
 from .readers import RAW_FIELDS
 
-# Raw category names, lower case, by canonical category.
+# Canonical category of each raw category name, in lower case.
 CATEGORIES = {
-    "Electronics": ["electronics", "all electronics", "cell phones & accessories", "computers"],
-    "Books": ["books", "kindle store"],
-    "Clothing": ["clothing", "clothing, shoes & jewelry", "amazon fashion"],
-    "Home & Kitchen": ["home & kitchen", "amazon home", "appliances"],
-    "Sports & Outdoors": ["sports & outdoors"],
-    "Toys & Games": ["toys & games"],
-    "Beauty": ["beauty", "all beauty", "health & personal care"],
-    "Food & Grocery": ["food & grocery", "grocery & gourmet food"],
-    "Automotive": ["automotive"],
-    "Office Products": ["office products"],
+    "electronics": "Electronics",
+    "books": "Books",
+    "home & kitchen": "Home & Kitchen",
+    "home and kitchen": "Home & Kitchen",
+    "kitchen": "Home & Kitchen",
+    "sports & outdoors": "Sports & Outdoors",
+    "sports and outdoors": "Sports & Outdoors",
+    "sports": "Sports & Outdoors",
+    "clothing": "Clothing",
+    "clothing, shoes & jewelry": "Clothing",
+    "apparel": "Clothing",
+    "toys & games": "Toys & Games",
+    "toys and games": "Toys & Games",
+    "toys": "Toys & Games",
+    "beauty": "Beauty",
+    "beauty & personal care": "Beauty",
+    "automotive": "Automotive",
+    "food & grocery": "Food & Grocery",
+    "grocery": "Food & Grocery",
+    "grocery & gourmet food": "Food & Grocery",
+    "office products": "Office Products",
+    "office": "Office Products",
 }
 FALLBACK = "Office Products"
 TIMES = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
@@ -48,7 +60,7 @@ def text_of(name: str) -> Column:
 
 
 def category(c: Column, first: Column) -> Column:
-    table = F.create_map(*[x for k, v in CATEGORIES.items() for raw in v for x in (F.lit(raw), F.lit(k))])
+    table = F.create_map(*[F.lit(x) for item in CATEGORIES.items() for x in item])
     find = lambda x: F.try_element_at(table, F.lower(F.trim(F.coalesce(x, F.lit("")))))
     return F.coalesce(find(c), find(first), F.lit(FALLBACK))
 
@@ -79,12 +91,12 @@ def votes(raw: Column) -> Column:
 
 
 def numbered(raw: DataFrame) -> DataFrame:
-    """raw with row_index, which rises in file and line order within a run: partition and place in it."""
-    return raw.withColumn("row_index", F.monotonically_increasing_id())
+    """raw with row_index where it has none (tables that come from no file): partition and place in it."""
+    return raw if "row_index" in raw.columns else raw.withColumn("row_index", F.monotonically_increasing_id())
 
 
 def canonicalize(raw: DataFrame, dataset_id: str = "d", mapping: dict[str, str] | None = None) -> DataFrame:
-    """Every raw row (with row_index, see numbered) as a canonical record, with reason: why it is rejected,
+    """Every raw row (with row_index, see readers.in_file_order) as a canonical record, with reason: why it is rejected,
     or null. Rejected rows keep the columns that could be read."""
     rows = renamed(raw, mapping or {})
     asin = F.trim(F.coalesce("asin", F.lit("")))
@@ -133,7 +145,7 @@ def deduplicated(accepted: DataFrame) -> DataFrame:
 
 def ingest(raw: DataFrame, dataset_id: str = "d", mapping: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """records, rejects (row_index, reason, hash of the id: no raw text), report and reasons."""
-    rows = canonicalize(raw if "row_index" in raw.columns else numbered(raw), dataset_id, mapping)
+    rows = canonicalize(numbered(raw), dataset_id, mapping)
     accepted = rows.where("reason IS NULL")
     kept = deduplicated(accepted).drop("reason", "row_index")
     rejects = rows.where("reason IS NOT NULL").select("row_index", "reason", F.substring(F.sha2("source_record_id", 256), 1, 16).alias("id_hash"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,27 @@ def check_size(spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES
         raise TooLarge(f"{path} has {n} bytes; the limit is {max_bytes}")
 
 
+#: Where a row comes from: its file, the start of the split of it, and its place in the scan.
+PLACE = ("__file", "__block", "__m")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows read from files, with their PLACE."""
+    return rows.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__m": F.monotonically_increasing_id()})
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Rows with their PLACE, numbered by file and line: row_index, from 0, the same however files are split.
+
+    The rows of each block of a file are counted first; a block's first number is the running sum of the blocks
+    before it, by file and start, and its rows keep the order in which they are read. There is one row a block.
+    """
+    blocks = rows.groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__m").alias("first"))
+    upto = F.sum("n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    blocks = blocks.select("__file", "__block", "first", F.coalesce(upto, F.lit(0)).alias("before"))
+    return rows.join(blocks, ["__file", "__block"]).withColumn("row_index", F.col("before") + F.col("__m") - F.col("first")).drop(*PLACE, "first", "before")
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """line (text) to row_index order columns, the raw fields as text, and what the raw JSON looked like.
 
@@ -65,36 +86,39 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def plain_rows(df: DataFrame) -> DataFrame:
-    """Rows of CSV or Parquet as parse_lines gives them: every column as text, missing ones null."""
+    """Rows of CSV or Parquet, with row_index, as parse_lines gives them: every other column as text, missing ones null."""
+    names = [c for c in df.columns if c != "row_index"]
     text = lambda f: F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string")
     kinds = dict(df.dtypes)
     listed = kinds.get("categories", "").startswith("array")
-    row: list[Column] = [c if isinstance(c, Column) else F.col(c) for c in ()]
-    row += [F.to_json(F.struct(*df.columns)).alias("line"), F.lit(False).alias("malformed")]
+    row: list[Column] = [F.col("row_index"), F.to_json(F.struct(*names)).alias("line"), F.lit(False).alias("malformed")]
     row += [(F.to_json("categories") if f == "categories" and listed else text(f)).alias(f) for f in RAW_FIELDS]
     row += [F.lit(kinds.get("timestamp", "string") in ("int", "bigint", "double")).alias("number_time")]
     row += [(F.get("categories", F.lit(0)) if listed else text("categories")).alias("first_category")]
     row += [(F.col("categories").cast("array<string>") if listed else F.when(text("categories").isNotNull(), F.array(text("categories")))).alias("category_list")]
-    row += [F.array(*map(F.lit, df.columns)).alias("keys")]
+    row += [F.array(*map(F.lit, names)).alias("keys")]
     return df.select(*row)
 
 
 def load_raw(spark: SparkSession, path: str, fmt: str | None = None, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """Raw rows of a file or folder, by format or else by extension (jsonl, json read as lines, jsonl.gz,
-    csv with a header, parquet); anything else is rejected. A line that is no JSON object stays, malformed."""
+    csv with a header, parquet); anything else is rejected. A line that is no JSON object stays, malformed.
+    row_index is the number of the row by file and line."""
     fmt = fmt or FORMATS.get(path.rstrip("/").rsplit(".", 1)[-1].lower())
     if fmt not in ("json", "csv", "parquet"):
         raise ValueError(f"no reader for {path}")
     check_size(spark, path, max_bytes)
     if fmt == "json":
-        lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("line"))
-        if path.endswith(".gz"):  # gzip files do not split: spread their rows
-            lines = lines.repartition(spark.sparkContext.defaultParallelism)
+        lines = in_file_order(placed(spark.read.text(path))).where(F.trim("value") != "").select("row_index", F.col("value").alias("line"))
+        if path.endswith(".gz"):  # gzip files do not split: spread their numbered rows
+            lines = lines.repartition(spark.sparkContext.defaultParallelism, "row_index")
         return parse_lines(lines)
     if fmt == "csv":
         names = spark.read.option("header", True).csv(path).columns
-        return plain_rows(spark.read.option("header", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(path))
-    return plain_rows(spark.read.parquet(path))
+        rows = spark.read.option("header", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(path)
+    else:
+        rows = spark.read.parquet(path)
+    return plain_rows(in_file_order(placed(rows)))
 
 
 def load_queries(spark: SparkSession, path: str) -> list[dict]:

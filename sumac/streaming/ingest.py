@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.ingest import canonicalize, deduplicated, numbered
-from ..sources.readers import parse_lines
+from ..sources.ingest import canonicalize, deduplicated
+from ..sources.readers import in_file_order, parse_lines
 
 
 def read_lines(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(folder).where(F.trim("value") != "").select(F.col("value").alias("line"))
+    return reader.load(folder).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
 
 
 def write_batch(batch: DataFrame, epoch: int, target: str, dataset_id: str = "d") -> None:
     """One micro-batch: reject, de-duplicate, drop ids that an earlier epoch accepted, and write.
 
-    Each epoch has a folder that it overwrites, so an epoch that runs again leaves the same rows.
+    Rows are numbered by file and line within the batch. Each epoch has a folder that it overwrites, so an epoch
+    that runs again leaves the same rows.
     """
     spark = batch.sparkSession
-    rows = canonicalize(numbered(parse_lines(batch)), dataset_id).persist()
+    lines = in_file_order(batch.withColumn("__m", F.monotonically_increasing_id())).where(F.trim("line") != "")
+    rows = canonicalize(parse_lines(lines), dataset_id).persist()
     new = deduplicated(rows.where("reason IS NULL"))
     before = spark.createDataFrame([], "source_record_id string, epoch long")
     if epoch > 0:
