@@ -45,7 +45,7 @@ def packets(most: int) -> Column:
         start, end = F.col("end") - size + F.lit(k) * F.col("source_size"), F.col("end") + F.lit(k) * F.col("source_size")
         inside = F.greatest(F.lit(0), F.least(size, goal - start))  # words before the target
         both = ((F.when(inside < size, goal).otherwise(end), inside), (end, size - inside))
-        out += [F.struct((at / F.col("target")).alias("finish"), words.cast("long").alias("words")) for at, words in both]
+        out += [F.struct(F.try_divide(at, F.col("target")).alias("finish"), words.cast("long").alias("words")) for at, words in both]
     return F.filter(F.array(*out), lambda x: (x["words"] > 0) & x["finish"].isNotNull())
 
 
@@ -138,11 +138,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
     names = docs.columns
     taken = mix(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
     taken = taken.groupBy("id", "th").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
-    taken = taken.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "taken", "size")
+    key = lambda i, th: F.xxhash64(i, i.isNull(), th)  # one key, so that the steps below share one exchange
+    taken = taken.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "taken", "size", key(F.col("id"), F.col("th")).alias("__tkey"))
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    rows = rows.withColumn("__rth", text_hash(F.col(text))).dropDuplicates([ident, "__rth"])
-    rows = rows.join(taken, F.col(ident).eqNullSafe(F.col("__id")) & (F.col("__rth") == F.col("__th")))
+    rows = rows.withColumn("__rth", text_hash(F.col(text))).withColumn("__key", key(F.col(ident), F.col("__rth")))
+    rows = rows.repartition("__key").dropDuplicates(["__key", ident, "__rth"])
+    rows = rows.join(taken, (F.col("__key") == F.col("__tkey")) & F.col(ident).eqNullSafe(F.col("__id")) & (F.col("__rth") == F.col("__th")))
     turns = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1))
     rows = rows.withColumn("turn", turns).withColumn("served", F.least(F.col("size"), F.col("taken") - F.col("turn") * F.col("size")).cast("int"))
     whole = F.col("served") == F.col("size")

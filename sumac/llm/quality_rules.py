@@ -109,10 +109,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.withColumn("classes", F.array(*known, F.col("n_bytes") - F.col("n_chars"), rest)).drop("counted", "n_bytes")
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def references(rows: DataFrame) -> DataFrame:
-    """Each language's histograms: the shares of all characters and words of its documents. A row for each
-    language of COMMON at most."""
-    rows = rows.where(F.col("lang").isin(*COMMON))
+    """Each language's histograms: the shares of all characters and words of its documents that pass the base. A row for
+    each language of COMMON at most."""
+    rows = rows.where(F.col("lang").isin(*COMMON) & ~base_failed())
     sizes = {"classes": N_CLASSES, "common": len(next(iter(COMMON.values()))) + 1}
     sums = {h: F.array(*[F.sum(F.col(h)[i]) for i in range(n)]) for h, n in sizes.items()}
     return rows.groupBy("lang").agg(*[shares(sums[h]).alias(f"{h}_ref") for h in sizes])
@@ -139,8 +143,9 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document fails the base with fewer than 10 words, or with more than 20% of its words in repeated
     5-word windows. Others are kept unless a distance is over its limit, for texts long enough to judge
-    (least_chars, least_words). The references are the language's totals over all documents; a language
-    without a list of common words, and a null one, has no references, and its documents pass.
+    (least_chars, least_words). The references are the language's totals over all documents that pass the base;
+    a language without a list of common words, and a null one, has no references: its documents are kept if
+    they pass the base.
 
     Returns per row: id, th, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance (null without reference), kept. Null and blank texts have
@@ -150,10 +155,9 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.join(F.broadcast(cut(references(rows))), "lang", "left")  # four rows
     class_distance = js_distance(shares(F.col("classes")), F.col("classes_ref"))
     word_distance = js_distance(shares(F.col("common")), F.col("common_ref"))
-    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.select(
         "id", "th", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), class_distance.alias("class_distance"), word_distance.alias("word_distance"), "n_chars",
+        base_failed().alias("base_failed"), class_distance.alias("class_distance"), word_distance.alias("word_distance"), "n_chars",
     )
     odd = (F.col("n_chars") >= least_chars) & (F.col("class_distance") > class_limit) | (F.col("n_words") >= least_words) & (F.col("word_distance") > word_limit)
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).drop("n_chars")

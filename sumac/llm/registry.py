@@ -216,7 +216,7 @@ def sql_distance(counts: str, ref: str, n: int) -> str:
       FROM f LEFT JOIN rep USING (doc_id) LEFT JOIN found USING (doc_id)),
     sums AS (
       SELECT lang, [{", ".join(f"sum(classes[{i}])" for i in range(1, N_CLASSES + 1))}] AS a, [{", ".join(f"sum(common[{i}])" for i in range(1, BINS + 1))}] AS b
-      FROM h WHERE lang IN ({", ".join(map(sql_text, COMMON))}) GROUP BY lang),
+      FROM h WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lang IN ({", ".join(map(sql_text, COMMON))}) GROUP BY lang),
     refs AS (SELECT lang, list_transform(a, lambda x: x / list_sum(a)) AS ra, list_transform(b, lambda x: x / list_sum(b)) AS rb FROM sums),
     j AS (
       SELECT h.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

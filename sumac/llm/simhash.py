@@ -22,6 +22,8 @@ DISTANCE = 3
 BLOCKS = (13, 13, 13, 13, 12)
 #: Members of a bucket that one task compares at once; a larger bucket is dealt out in tiles of two parts.
 TILE = 4096
+#: Tasks over which the members of one component are dealt.
+SALTS = 16
 #: Shingle hashes counted at once, so a long text needs no more memory than a short one.
 STEP = 1 << 16
 
@@ -126,9 +128,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(fingerprints(docs, id_col, text_col))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
     roots = connected_components(close_links(nodes.select("fp"), distance))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
-    least = nodes.groupBy("group").agg(F.min("least_id").alias("component_id"))
-    classes = cut(nodes.join(least, "group").select("fp", "group", "component_id"))
+    nodes = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
+    alone = nodes.where("root IS NULL").select("fp", F.col("fp").alias("group"), F.col("least_id").alias("component_id"))
+    linked = nodes.where("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    # A large component is met in SALTS tasks: its one row comes in so many copies.
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    linked = linked.join(least, ["root", "salt"]).select("fp", F.col("root").alias("group"), "component_id")
+    classes = cut(alone.unionByName(linked))
     return rows.join(classes, "fp").select("id", "th", "fp", "group", "component_id")
 
 
@@ -138,7 +145,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     classes = near_duplicates(docs, id_col, text_col, distance)
     order = F.struct(F.col("id").isNull(), "id", "th")
     chosen = classes.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"))
-    # A class without ids may share its text hash with no other class, so (id, th) names the row.
-    rows = docs.withColumn("__rth", text_hash(F.col(text_col)))
-    rows = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__rth") == F.col("__th")), "left_semi")
-    return rows.dropDuplicates([id_col, "__rth"]).drop("__rth")
+    # A class without ids may share its text hash with no other class, so (id, th) names the row. One key of both lets the
+    # join and the removal of repeated rows share one exchange.
+    key = lambda i, th: F.xxhash64(i, i.isNull(), th)
+    rows = docs.withColumn("__rth", text_hash(F.col(text_col))).withColumn("__key", key(F.col(id_col), F.col("__rth")))
+    chosen = chosen.withColumn("__key", key(F.col("__id"), F.col("__th")))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__rth") == F.col("__th"))
+    rows = rows.alias("d").join(chosen.alias("k"), (F.col("d.__key") == F.col("k.__key")) & same, "left_semi")
+    return rows.dropDuplicates(["__key", id_col, "__rth"]).drop("__rth", "__key")
