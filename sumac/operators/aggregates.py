@@ -212,8 +212,11 @@ def evaluate_batch(df: DataFrame, queries: list[Query]) -> DataFrame:
         options = F.create_map(*[x for q in qs for x in (F.lit(q.query_id), F.struct(*[F.lit(v).alias(k) for k, v in order_of(q.aggregation).items()]))])
         tall = tall.withColumn("o", options[F.col("query_id")])
         by = F.when(F.col("o.kind") == "trend", F.lit(0.0)).when(F.col("o.down"), -F.col("value")).otherwise(F.col("value"))
-        w = Window.partitionBy("query_id").orderBy("by", "key")
-        ranked = tall.withColumn("by", by).withColumn("rank", F.row_number().over(w)).withColumn("tied", F.rank().over(Window.partitionBy("query_id").orderBy("by")))
+        tied, w = Window.partitionBy("query_id").orderBy("by"), Window.partitionBy("query_id").orderBy("by", "key")
+        ranked = tall.withColumn("by", by).withColumn("tied", F.rank().over(tied))
+        if isinstance(qs[0].aggregation, TopK):  # each task keeps the best of its groups before they meet
+            ranked = ranked.where(F.col("tied") <= max(q.aggregation.k for q in qs))
+        ranked = ranked.withColumn("rank", F.row_number().over(w))
         out.append(ranked.where(F.when(F.col("o.all"), F.col("tied")).otherwise(F.col("rank")) <= F.col("o.k")).select("query_id", "rank", "key", "value"))
     for x in out:
         empty = empty.unionByName(x)
@@ -240,9 +243,8 @@ def evaluate(df: DataFrame, q: Query) -> DataFrame:
         else:
             o = order_of(spec)
             by = F.col("value").desc() if o["down"] else F.col("value").asc()
-            if o["all"]:  # whatever is as good as the k-th
-                last = rows.orderBy(by, "key").limit(o["k"]).agg((F.min if o["down"] else F.max)("value").alias("last"))
-                rows = rows.join(F.broadcast(last), F.col("value") >= F.col("last") if o["down"] else F.col("value") <= F.col("last")).drop("last")
+            if o["all"]:  # whatever is as good as the k-th; each task keeps its best before they meet
+                rows = rows.withColumn("tied", F.rank().over(Window.orderBy(by))).where(F.col("tied") <= o["k"]).drop("tied")
             else:
                 rows = rows.orderBy(by, "key").limit(o["k"])
             ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(by, "key")))
@@ -253,6 +255,67 @@ def evaluate(df: DataFrame, q: Query) -> DataFrame:
     return tall.select("query_id", F.when(F.col("key") == "ratio", 2).otherwise(1).alias("rank"), "key", "value")
 
 
+def batch_sql(queries: list[Query], source: str) -> list[str]:
+    """Many queries as a few SQL statements over a table or view, one for all scalar ones and one for each distinct group:
+    the text's own way to the rows of evaluate_batch."""
+    number = lambda f: f"CAST(CAST({f} AS INT) AS DOUBLE)" if f == "verified_purchase" else f"CAST({f} AS DOUBLE)"
+
+    def folded(measure: str, x: str, where: str) -> str:
+        n = f"COUNT(*) FILTER (WHERE {where})"
+        if measure == "count":
+            return f"CAST(NULLIF({n}, 0) AS DOUBLE)"
+        if measure == "mean":
+            return f"AVG({x}) FILTER (WHERE {where})"
+        return f"CASE WHEN {n} > 0 THEN COALESCE(SUM({x}) FILTER (WHERE {where}), 0.0) END"
+
+    def value_of(spec) -> str:
+        x = number(spec.field)
+        return f"COALESCE({x}, 0.0)" if getattr(spec, "nulls", None) == "as_zero" else x
+
+    def scalar(spec, where: str) -> list[tuple[str, int, str]]:
+        n = f"COUNT(*) FILTER (WHERE {where})"
+        if isinstance(spec, Count):
+            return [("NULL", 1, f"COUNT(DISTINCT {spec.field}) FILTER (WHERE {where})" if spec.field else n)]
+        if isinstance(spec, Sum):
+            return [("NULL", 1, f"COALESCE(SUM({value_of(spec)}) FILTER (WHERE {where}), 0.0)")]
+        if isinstance(spec, Mean):
+            return [("NULL", 1, f"ROUND(AVG({value_of(spec)}) FILTER (WHERE {where}), {spec.places})")]
+        if isinstance(spec, Proportion):
+            return [("NULL", 1, f"ROUND(COUNT(*) FILTER (WHERE {where} AND {P.to_sql(spec.numerator)}) / NULLIF({n}, 0), {spec.places})")]
+        a, b = (folded(spec.measure, number(spec.field), f"{where} AND {P.to_sql(p)}") for p in (spec.a, spec.b))
+        cells = [("'difference'", 1, f"ROUND({a} - {b}, 6)"), ("'ratio'", 2, f"ROUND({a} / NULLIF({b}, 0.0), 6)")]
+        return [c for c in cells if spec.output in (c[0].strip("'"), "both")]
+
+    out, groups = [], defaultdict(list)
+    cells = []
+    for q in queries:
+        if isinstance(q.aggregation, (TopK, Trend)):
+            key, *_ = group_sql(q.aggregation)
+            groups[key, isinstance(q.aggregation, TopK)].append(q)
+        else:
+            cells += [(q.query_id, *c) for c in scalar(q.aggregation, P.to_sql(q.scope))]
+    if cells:
+        wide = ", ".join(f"CAST({c[-1]} AS DOUBLE) AS c{i}" for i, c in enumerate(cells))
+        rows = ", ".join(f"'{q}', {rank}, CAST({key} AS STRING), c{i}" for i, (q, key, rank, _) in enumerate(cells))
+        out.append(f"SELECT stack({len(cells)}, {rows}) AS (query_id, rank, key, value) FROM (SELECT {wide} FROM {source}) w")
+    for (key, top), qs in groups.items():
+        wide = ", ".join(f"ROUND({folded(q.aggregation.measure, value_of(q.aggregation) if q.aggregation.field else '', P.to_sql(q.scope))}, 6) AS c{i}" for i, q in enumerate(qs))
+        rows = ", ".join(f"'{q.query_id}', c{i}" for i, q in enumerate(qs))
+        tall = f"SELECT key, stack({len(qs)}, {rows}) AS (query_id, value) FROM (SELECT {key} AS key, {wide} FROM {source} GROUP BY 1) w WHERE key IS NOT NULL"
+        options = ", ".join(f"('{q.query_id}', {-1 if top and q.aggregation.descending else int(top)}, {top and q.aggregation.ties == 'all'}, {q.aggregation.k if top else 1 << 30})" for q in qs)
+        ranks = f"SELECT *, RANK() OVER (PARTITION BY query_id ORDER BY value * sign) AS tied, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY value * sign, key) AS rank FROM ({tall}) t JOIN (VALUES {options}) AS o(query_id, sign, ties, k) USING (query_id) WHERE value IS NOT NULL"
+        out.append(f"SELECT query_id, CAST(rank AS INT) AS rank, CAST(key AS STRING) AS key, value FROM ({ranks}) r WHERE CASE WHEN ties THEN tied ELSE rank END <= k")
+    return out
+
+
+def group_sql(spec: TopK | Trend) -> tuple[str, str]:
+    """The key of a grouped query, and the field that it comes from, as SQL text."""
+    if isinstance(spec, TopK):
+        return f"CAST({spec.group} AS STRING)", spec.group
+    year = f"CAST(year({spec.time}) AS STRING)"
+    return {"month": f"CONCAT({year}, '-', LPAD(CAST(month({spec.time}) AS STRING), 2, '0'))", "quarter": f"CONCAT({year}, '-Q', CAST(quarter({spec.time}) AS STRING))", "year": year}[spec.bucket], spec.time
+
+
 def to_sql(q: Query, source: str) -> str:
     """The query as SQL text over a table or view."""
     spec, where = q.aggregation, P.to_sql(q.scope)
@@ -283,14 +346,9 @@ def to_sql(q: Query, source: str) -> str:
         parts = [("difference", 1, "ROUND(a - b, 6)"), ("ratio", 2, "ROUND(a / NULLIF(b, 0.0), 6)")]
         return " UNION ALL ".join(f"{head}, {r} AS rank, '{k}' AS key, {e} AS value FROM ({inner}) s" for k, r, e in parts if spec.output in (k, "both"))
     measure = {"count": "CAST(COUNT(*) AS DOUBLE)", "mean": f"ROUND(AVG({x}), 6)", "sum": f"ROUND(COALESCE(SUM({x}), 0.0), 6)"}[spec.measure]
-    if isinstance(spec, TopK):
-        key = f"CAST({spec.group} AS STRING)"
-        down = "DESC" if spec.descending else "ASC"
-    else:
-        t, down = spec.time, "ASC"
-        year = f"CAST(year({t}) AS STRING)"
-        key = {"month": f"CONCAT({year}, '-', LPAD(CAST(month({t}) AS STRING), 2, '0'))", "quarter": f"CONCAT({year}, '-Q', CAST(quarter({t}) AS STRING))", "year": year}[spec.bucket]
-    inner = f"SELECT {key} AS key, {measure} AS value FROM {source} WHERE {where} AND {spec.group if isinstance(spec, TopK) else spec.time} IS NOT NULL GROUP BY {key}"
+    key, field = group_sql(spec)
+    down = "DESC" if isinstance(spec, TopK) and spec.descending else "ASC"
+    inner = f"SELECT {key} AS key, {measure} AS value FROM {source} WHERE {where} AND {field} IS NOT NULL GROUP BY {key}"
     if isinstance(spec, Trend):
         return f"{head}, CAST(ROW_NUMBER() OVER (ORDER BY key) AS INT) AS rank, key, value FROM ({inner}) g WHERE value IS NOT NULL"
     ranks = f"SELECT key, value, CAST(ROW_NUMBER() OVER (ORDER BY value {down}, key) AS INT) AS rank, RANK() OVER (ORDER BY value {down}) AS tied FROM ({inner}) g WHERE value IS NOT NULL"

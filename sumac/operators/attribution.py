@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from . import aggregates as A
 from .faults import PIPELINES, answer_fault, stage_answers
 
@@ -56,7 +57,7 @@ def interventions(df: DataFrame, queries: list[A.Query], pipelines: list[str], s
     aggregation is a change of the tall answers. So the eight interventions of all pipelines cost four
     passes.
     """
-    found = {k: v.persist() for k, v in stage_answers(df, queries, seed).items()}  # a few rows a query
+    found = {k: cut(v) for k, v in stage_answers(df, queries, seed).items()}  # a few rows a query
     gold, kind, out = found[""], kinds_of(queries), []
     for name, subset in product(pipelines, SUBSETS):
         left = [s for s in PIPELINES[name] if subset == "none" or s not in subset]
@@ -103,3 +104,16 @@ def batch_summary(shares: DataFrame) -> DataFrame:
         *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("loss", "phi_r", "phi_e", "phi_a")],
         *[F.count_if(F.col("dominant") == d).alias(f"dominant_{d}") for d in ("scope", "facts", "aggregation", "none")],
     )
+
+
+def losses_sql(answers: str, gold: str, queries: list[A.Query], tolerance: float = 1e-4) -> str:
+    """Rows of losses as SQL over tables of answers and gold."""
+    kinds = ", ".join(f"('{q.query_id}', '{type(q.aggregation).__name__}')" for q in queries)
+    scalar = f"CASE WHEN p IS NULL AND g IS NULL THEN 0.0 WHEN p IS NULL OR g IS NULL THEN 1.0 WHEN abs(p - g) <= {tolerance} THEN 0.0 ELSE least(1.0, abs(p - g) / greatest(abs(g), 1.0)) END"
+    return f"""(WITH want AS (SELECT run_id, query_id, coalesce(key, '') AS key, value AS g, 1 AS in_g FROM (SELECT DISTINCT run_id, query_id FROM {answers}) JOIN {gold} USING (query_id)),
+      have AS (SELECT run_id, query_id, coalesce(key, '') AS key, value AS p, 1 AS in_p FROM {answers}),
+      met AS (SELECT * FROM have FULL JOIN want USING (run_id, query_id, key) JOIN (VALUES {kinds}) AS k(query_id, kind) USING (query_id)),
+      sums AS (SELECT run_id, query_id, kind, AVG({scalar}) AS scalar, 1 - COUNT(*) FILTER (in_p = 1 AND in_g = 1) / COUNT(*) AS jaccard, SUM(abs(coalesce(p, 0.0) - coalesce(g, 0.0))) AS raw,
+        SUM(abs(coalesce(g, 0.0))) AS size, COUNT(p) = 0 AND COUNT(g) > 0 AS silent FROM met GROUP BY ALL)
+      SELECT run_id, query_id, CASE WHEN silent THEN 1.0 WHEN kind = 'TopK' THEN jaccard WHEN kind = 'Trend' THEN least(1.0, raw / greatest(size, 1.0)) ELSE scalar END AS loss, raw AS raw_error,
+        CASE WHEN silent THEN 'abstained' ELSE 'scored' END AS status FROM sums)"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, stored
+
 #: Rows of queries that are sent to every task; beyond them the join is shuffled.
 SENT_ROWS = 10_000
 
@@ -44,41 +46,46 @@ def tokenize(text: Column) -> Column:
 
 def bm25_index(units: DataFrame, id_col: str, text_col: str, metadata: list[str] | None = None) -> dict[str, DataFrame]:
     """Tables of a BM25 index: tf (term, unit, tf), df (term, n, idf) and dl (unit, len). Tokens of the
-    metadata columns count twice. A negative idf becomes a quarter of the mean idf."""
+    metadata columns count twice. A negative idf becomes a quarter of the mean idf.
+
+    Texts are tokenised once: tf is written in order of the term, and df and dl are made from it and written too.
+    """
     tokens = tokenize(F.col(text_col))
     for c in metadata or []:
         tokens = F.concat(tokens, F.flatten(F.array_repeat(tokenize(F.col(c)), 2)))
-    rows = units.select(F.col(id_col).alias("unit"), tokens.alias("tokens"))
-    dl = rows.select("unit", F.size("tokens").alias("len"))
-    tf = rows.select("unit", F.explode("tokens").alias("term")).groupBy("term", "unit").agg(F.count("*").alias("tf"))
-    n_units = units.agg(F.count("*").alias("units"))
-    df = tf.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n_units))  # one row
-    raw = F.log(F.col("units") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
-    df = df.withColumn("raw", raw)
-    mean = df.agg(F.avg("raw").alias("mean"))
-    df = df.crossJoin(F.broadcast(mean)).select("term", "n", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    rows = units.select(F.col(id_col).alias("unit"), F.explode(tokens).alias("term"))
+    tf = stored(rows.groupBy("term", "unit").agg(F.count("*").alias("tf")).repartition("term").sortWithinPartitions("term"))
+    lengths = tf.groupBy("unit").agg(F.sum("tf").alias("len"))
+    dl = stored(units.select(F.col(id_col).alias("unit")).join(lengths, "unit", "left").select("unit", F.coalesce("len", F.lit(0)).alias("len")))
+    n_units = dl.count()
+    raw = F.log(F.lit(n_units) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
+    df = stored(tf.groupBy("term").agg(F.count("*").alias("n")).withColumn("raw", raw))
+    mean = df.agg(F.avg("raw")).first()[0]
+    df = df.select("term", "n", F.when(F.col("raw") < 0, 0.25 * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
     return {"tf": tf, "df": df, "dl": dl}
 
 
 def bm25_top(index: dict[str, DataFrame], queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, units: DataFrame | None = None) -> DataFrame:
     """query_id, unit, score, rank: the k best units of each query. queries: query_id, text.
 
-    Repeated terms of a query count again. Ties go to the lesser unit. Units without a common term score 0
-    and fill up the k. units: the only ones to rank (a filter before the cut).
+    Repeated terms of a query count again. Scores are rounded to nine places before they are ranked, so sums in
+    another order rank alike; ties go to the lesser unit. Units without a common term score 0 and fill up the k.
+    units: the only ones to rank (a filter before the cut).
     """
-    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = cut(queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    asked = few(asked.join(index["df"], "term").select("query_id", "term", "times", "idf"))
     dl = index["dl"] if units is None else index["dl"].join(units, "unit", "left_semi")
-    mean = index["dl"].agg(F.avg("len").alias("mean_len"))
-    hits = index["tf"].join(few(asked), "term").join(index["df"], "term").join(dl, "unit").crossJoin(F.broadcast(mean))  # one row
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    scored = hits.groupBy("query_id", "unit").agg(F.sum(part).alias("score"))
+    mean = index["dl"].agg(F.avg("len")).first()[0]
+    hits = index["tf"].join(asked, "term").join(dl, "unit")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean)))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit")
+    best = hits.groupBy("query_id", "unit").agg(F.round(F.sum(part), 9).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
     # every query's k least units stand in with 0: no more than k of them can be needed beside the scored ones
-    n_scored = scored.groupBy("query_id").agg(F.count("*").alias("scored"))
     spare = dl.select("unit").orderBy("unit").limit(k)
-    zero = queries.select("query_id").distinct().join(n_scored, "query_id", "left").select("query_id").crossJoin(F.broadcast(spare))  # k rows
-    zero = zero.join(scored.select("query_id", "unit"), ["query_id", "unit"], "left_anti").select("query_id", "unit", F.lit(0.0).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit")
-    return scored.unionByName(zero).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    zero = queries.select("query_id").distinct().crossJoin(F.broadcast(spare))  # k rows
+    scored = hits.join(F.broadcast(spare), "unit", "left_semi").select("query_id", "unit")
+    zero = zero.join(scored, ["query_id", "unit"], "left_anti").select("query_id", "unit", F.lit(0.0).alias("score"))
+    return best.unionByName(zero).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def hash_embedding(text: Column, dims: int = 16) -> Column:
@@ -128,9 +135,7 @@ def quality_at(retrieved: DataFrame, relevant: DataFrame, ks: list[int]) -> Data
 def row_numbers(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
     """df with numbers from 0 in the order, without one task seeing all rows: range partitions, their
     sizes, and a count within each."""
-    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    # the partition of a row must not change between the two uses below
-    parts = parts.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else parts.persist()
+    parts = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
@@ -144,6 +149,14 @@ def batch_plan(ids: DataFrame, size: int, tokens_per_row: int = 150, id_col: str
 
 
 def consecutive_edges(records: DataFrame, by: str, id_col: str = "record_id") -> DataFrame:
-    """src, dst: each record and the next of the same group in order of the id."""
-    w = Window.partitionBy(by).orderBy(id_col)
-    return records.select(F.col(id_col).alias("src"), F.lead(id_col).over(w).alias("dst")).where("dst IS NOT NULL")
+    """src, dst: each record and the next of the same group in order of the id. Rows without a group form one.
+
+    Range partitions of group and id, each with its own neighbours; the last id of a group in a partition meets the
+    first in the next partition that has the group. So a large group is many tasks.
+    """
+    rows = records.select(F.col(by).alias("g"), F.col(id_col).alias("src"))
+    parts = cut(rows.repartitionByRange("g", "src").withColumn("p", F.spark_partition_id()))
+    inside = parts.select("src", F.lead("src").over(Window.partitionBy("p", "g").orderBy("src")).alias("dst")).where("dst IS NOT NULL")
+    ends = parts.groupBy("g", "p").agg(F.min("src").alias("first"), F.max("src").alias("last"))  # a row a group and partition
+    across = ends.select(F.col("last").alias("src"), F.lead("first").over(Window.partitionBy("g").orderBy("p")).alias("dst")).where("dst IS NOT NULL")
+    return inside.unionByName(across)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import uniform
+from ..functions.draws import uniform, uniform_sql
+from ..functions.shared import cut
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -67,25 +71,37 @@ def effect(paired: DataFrame) -> DataFrame:
     return rows.select("n", F.round("mean", 6).alias("mean_difference"), F.round(F.coalesce("sd", F.lit(0.0)), 6).alias("sd"), F.round(F.col("mean") / sd, 6).alias("cohens_d"))
 
 
+#: A Poisson(1) count is the number of these that a uniform draw reaches: sums of its probabilities.
+POISSON = list(accumulate(exp(-1) / factorial(k) for k in range(12)))
+
+
 def poisson(u: Column) -> Column:
     """A Poisson(1) count from a uniform draw."""
-    edges, p, total = [], 0.36787944117144233, 0.0
-    for k in range(12):
-        total += p
-        edges.append(total)
-        p /= k + 1
-    return sum((F.when(u >= e, 1).otherwise(0) for e in edges), start=F.lit(0))
+    return sum((F.when(u >= e, 1).otherwise(0) for e in POISSON), start=F.lit(0))
 
 
 def bootstrap_interval(paired: DataFrame, key: list[str], samples: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """One row: mean difference and its percentile interval by a Poisson bootstrap: each row has a drawn
-    weight in each replicate, so rows are never gathered and every replicate is one partial sum."""
-    rows = paired.select(*key, (F.col("a") - F.col("b")).alias("d"))
+    """One row: mean difference and its percentile interval by a Poisson bootstrap of the units that key names (such as
+    queries): each has a drawn weight in each replicate. Rows are added up by unit first, so replicates multiply units
+    and not rows, and every replicate is one partial sum."""
+    rows = paired.groupBy(*key).agg(F.sum(F.col("a") - F.col("b")).alias("d"), F.count(F.col("a") - F.col("b")).alias("n"))
+    rows = cut(rows)
     drawn = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("w", poisson(uniform(seed, *[F.col(k) for k in key], F.col("r"))))
-    means = drawn.where("w > 0").groupBy("r").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
+    means = drawn.where("w > 0").groupBy("r").agg((F.sum(F.col("w") * F.col("d")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
     low, high = (1 - confidence) / 2, (1 + confidence) / 2
     ends = means.agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
-    return rows.agg(F.avg("d").alias("mean_difference")).crossJoin(ends)  # two single rows
+    return rows.agg((F.sum("d") / F.sum("n")).alias("mean_difference")).crossJoin(ends)  # two single rows
+
+
+def bootstrap_sql(paired: str, key: list[str], samples: int = 1000, confidence: float = 0.95, seed: int = 42) -> str:
+    """The interval as SQL over a table with key, a and b."""
+    by, u = ", ".join(key), uniform_sql(f"'{seed}'", *key, "r")
+    low, high = (1 - confidence) / 2, (1 + confidence) / 2
+    edges = " + ".join(f"CASE WHEN u >= {e!r} THEN 1 ELSE 0 END" for e in POISSON)
+    return f"""(WITH units AS (SELECT {by}, SUM(a - b) AS d, COUNT(a - b) AS n FROM {paired} GROUP BY {by}),
+      drawn AS (SELECT d, n, r, {edges} AS w FROM (SELECT *, {u} AS u FROM units, (SELECT unnest(range(1, {samples + 1})) AS r))),
+      means AS (SELECT r, SUM(w * d) / SUM(w * n) AS m FROM drawn WHERE w > 0 GROUP BY r)
+      SELECT (SELECT SUM(d) / SUM(n) FROM units) AS mean_difference, quantile_cont(m, {low}) AS low, quantile_cont(m, {high}) AS high FROM means)"""
 
 
 def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -102,12 +103,33 @@ def pack(spark, sf_dir):
 EDGES = ", x AS (SELECT MIN(brand) AS lo, MAX(brand) AS hi FROM records) "
 
 
-@query("p01_scope_fault")
+def batch(queries: list[A.Query], source: str) -> str:
+    return "(" + " UNION ALL ".join(f"SELECT * FROM ({A.to_sql(q, source)}) x" for q in queries) + ")"
+
+
+def wrong_scopes(queries: list[A.Query]) -> list[A.Query]:
+    """The queries with a wrong scope, for SQL text."""
+    swapped = lambda q: faults.other_value_sql(q) if isinstance(q.scope, P.Eq) and q.scope.field in faults.SWAPPED else None
+    return [replace(q, scope=faults.scope_fault(q.scope, q.query_id, swapped(q))) for q in queries]
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query("p01_scope_fault", WITH + f"SELECT * FROM {batch(wrong_scopes(ASKED), 'records')}")
 def scope_fault(spark, sf_dir):
     found = faults.stage_answers(records(spark, sf_dir), ASKED)
     return found["R"]
 
 
+#: Answers by what is wrong, as tables that continue a WITH clause: a_ and a letter for each wrong stage.
+STAGES = f""", bad AS {faults.fact_fault_sql('records')}, a_ AS {batch(ASKED, 'records')}, a_R AS {batch(wrong_scopes(ASKED), 'records')},
+    a_E AS {batch(ASKED, 'bad')}, a_RE AS {batch(wrong_scopes(ASKED), 'bad')},
+    {", ".join(f"a_{k}A AS {faults.answer_fault_sql(f'a_{k}', ASKED)}" for k in ("", "R", "E", "RE"))} """
+ANSWERS = ", answers AS (" + " UNION ALL ".join(f"SELECT '{name}' AS run_id, * FROM a_{wrong}" for name, wrong in faults.PIPELINES.items()) + ") "
+
+
 @query(
     "p02_fact_fault",
     WITH + EDGES + f"""SELECT record_id, CASE WHEN {uniform_sql("'42'", "record_id", "'verified_purchase'")} < 0.3 THEN NOT verified_purchase ELSE verified_purchase END AS verified_purchase,
@@ -126,14 +148,14 @@ def refiltered(spark, sf_dir):
     return faults.faulty_facts_answer(records(spark, sf_dir), A.Query("n", A.Count(), P.Eq("brand", "Brand#12")), ["brand"])
 
 
-@query("p04_answer_fault")
+@query("p04_answer_fault", WITH + f", a AS {batch(ASKED, 'records')} SELECT query_id, rank, key, ROUND(value, 6) AS value FROM {faults.answer_fault_sql('a', ASKED)}")
 def answer_fault(spark, sf_dir):
-    return faults.answer_fault(A.evaluate_batch(records(spark, sf_dir), ASKED), ASKED)
+    return rounded(faults.answer_fault(A.evaluate_batch(records(spark, sf_dir), ASKED), ASKED), "value")
 
 
-@query("p05_p07_pipelines")
+@query("p05_p07_pipelines", WITH + STAGES + ANSWERS + "SELECT run_id AS pipeline_id, query_id, rank, key, ROUND(value, 6) AS value FROM answers")
 def pipelines(spark, sf_dir):
-    return faults.run_pipelines(records(spark, sf_dir), ASKED)
+    return rounded(faults.run_pipelines(records(spark, sf_dir), ASKED), "value")
 
 
 @query("p06_clean_trace", WITH + f", s AS (SELECT COUNT(*) AS n, COUNT(*) FILTER ({P.to_sql(ASKED[0].scope)}) AS e FROM records) SELECT 'scope' AS stage, n AS rows_in, e AS rows_out FROM s UNION ALL SELECT 'extract', e, e FROM s UNION ALL SELECT 'aggregate', e, 1 FROM s")
@@ -168,16 +190,26 @@ loss_of("l04_trend", WITH + """, t AS (SELECT year(event_time) AS y, COUNT(*) AS
 SELECT 'trend' AS query_id, ROUND(least(1.0, SUM(abs(p - g)) / greatest(SUM(abs(g)), 1.0)), 6)::DOUBLE AS loss, 'scored' AS status FROM t""")
 
 
-@query("l01_l05_run_scores")
+SCORES = L.losses_sql("answers", "a_", ASKED)
+
+
+@query("l01_l05_run_scores", WITH + STAGES + ANSWERS + f"SELECT run_id, query_id, ROUND(loss, 6) AS loss, ROUND(raw_error, 4) AS raw_error, status FROM {SCORES}")
 def run_scores(spark, sf_dir):
     df = records(spark, sf_dir)
     answers = faults.run_pipelines(df, ASKED).withColumnRenamed("pipeline_id", "run_id")
-    return L.losses(answers, A.evaluate_batch(df, ASKED), L.kinds_of(ASKED))
+    return rounded(L.losses(answers, A.evaluate_batch(df, ASKED), L.kinds_of(ASKED)), "loss").withColumn("raw_error", F.round("raw_error", 4))
+
+
+LEFT = [(name, subset, "".join(x for x in wrong if subset == "none" or x not in subset)) for name, wrong in faults.PIPELINES.items() for subset in L.SUBSETS]
 
 
-@query("l06_interventions")
+@query(
+    "l06_interventions",
+    WITH + STAGES + ", answers AS (" + " UNION ALL ".join(f"SELECT '{name}/{subset}' AS run_id, * FROM a_{left}" for name, subset, left in LEFT)
+    + f") SELECT split_part(run_id, '/', 1) AS pipeline_id, query_id, split_part(run_id, '/', 2) AS subset, ROUND(loss, 6) AS loss FROM {SCORES}",
+)
 def interventions(spark, sf_dir):
-    return L.interventions(records(spark, sf_dir), ASKED, list(faults.PIPELINES))
+    return rounded(L.interventions(records(spark, sf_dir), ASKED, list(faults.PIPELINES)), "loss")
 
 
 LOSS = {s: f"CAST(o_orderkey * {31 + 7 * i} % 101 AS DOUBLE) / 100" for i, s in enumerate(L.SUBSETS)}
@@ -211,11 +243,13 @@ def summary(spark, sf_dir):
     return s.select("runs", F.round("mean_loss", 4).alias("loss"), *[F.col(f"dominant_{d}").alias(d) for d in ("scope", "facts", "aggregation", "none")])
 
 
-@query("l12_share_by_scale")
+@query("l12_share_by_scale", SHARES + ", scaled AS (SELECT run % 4 AS scale_n, run % 200 AS asked, phi_r AS a, 0.0 AS b FROM d) " + " UNION ALL ".join(
+    f"SELECT CAST({n} AS INT) AS scale_n, ROUND(mean_difference, 6) AS mean_difference, ROUND(low, 6) AS low, ROUND(high, 6) AS high FROM {stats.bootstrap_sql(f'(SELECT * FROM scaled WHERE scale_n = {n})', ['asked'])}" for n in range(4)))
 def share_by_scale(spark, sf_dir):
-    s = shares(spark, sf_dir).withColumn("scale_n", F.col("run") % 4)
-    parts = [stats.bootstrap_interval(s.where(F.col("scale_n") == n).select("run", F.col("phi_r").alias("a"), F.lit(0.0).alias("b")), ["run"], 100).select(F.lit(n).alias("scale_n"), "*") for n in range(4)]
-    return reduce(DataFrame.unionByName, parts)
+    """The share of the scope by scale, with intervals over 200 queries and 1,000 draws."""
+    s = shares(spark, sf_dir).select((F.col("run") % 4).alias("scale_n"), (F.col("run") % 200).alias("asked"), F.col("phi_r").alias("a"), F.lit(0.0).alias("b"))
+    parts = [stats.bootstrap_interval(s.where(F.col("scale_n") == n), ["asked"]).select(F.lit(n).alias("scale_n"), "*") for n in range(4)]
+    return rounded(reduce(DataFrame.unionByName, parts), "mean_difference", "low", "high")
 
 
 # certificates
@@ -241,12 +275,15 @@ def certified(spark, sf_dir):
     return C.certify(observed(spark, sf_dir), C.policy_table(spark))
 
 
-@query("c01_requirements")
+@query("c01_requirements", WITH + W.SQL_TABLES + " UNION ALL ".join(
+    f"SELECT '{q.query_id}' AS query_id, TRUE AS whole_scope, {t.family != 'count'} AS every_row, {t.family != 'count'} AS every_field, {n} AS eligible" for t, q, n, _ in W.sql_instances()))
 def requirements(spark, sf_dir):
-    """What each query of the workload needs, with its number of records in scope."""
-    queries = W.workload(records(spark, sf_dir), 1)
+    """What the query of each template needs, with its number of records in scope."""
+    df = W.with_shares(records(spark, sf_dir))
+    queries = W.instances(df)
     rows = [(q.query_id, *map(bool, C.requirement(q).values())) for q in queries]
-    return spark.createDataFrame(rows, "query_id string, whole_scope boolean, every_row boolean, every_field boolean")
+    table = spark.createDataFrame(rows, "query_id string, whole_scope boolean, every_row boolean, every_field boolean")
+    return table.join(W.eligible_counts(df, queries), "query_id")
 
 
 @query(
@@ -281,9 +318,13 @@ def policy_quality(spark, sf_dir):
     return C.policy_quality(certified(spark, sf_dir).join(observed(spark, sf_dir).select("run_id", "loss"), "run_id"), wrong_above=0.2)
 
 
-@query("c10_risk_coverage")
+LEVELS = [1.0, 0.9, 0.8, 0.5, 0.0]
+
+
+@query("c10_risk_coverage", CERTIFIED[: CERTIFIED.index("(VALUES")] + "(VALUES " + ", ".join(f"('{t}', {t}, {t}, {t}, {1 - t!r}, 2, FALSE)" for t in LEVELS) + CERTIFIED[CERTIFIED.index("TRUE)),") + 5 :]
+    + QUALITY.replace("loss > 0.2", "loss > 0.0").format(by="threshold").replace("FROM d)", "FROM (SELECT *, policy AS threshold FROM d))"))
 def risk_coverage(spark, sf_dir):
-    return C.risk_coverage(observed(spark, sf_dir), observed(spark, sf_dir).select("run_id", "loss"), [1.0, 0.9, 0.8, 0.5, 0.0])
+    return C.risk_coverage(observed(spark, sf_dir), observed(spark, sf_dir).select("run_id", "loss"), LEVELS)
 
 
 # statistics
@@ -358,9 +399,9 @@ def effect(spark, sf_dir):
     return stats.effect(paired(spark, sf_dir))
 
 
-@query("m08_bootstrap")
+@query("m08_bootstrap", PAIRS + f"SELECT ROUND(mean_difference, 6) AS mean_difference, ROUND(low, 6) AS low, ROUND(high, 6) AS high FROM {stats.bootstrap_sql('p', ['query_id'])}")
 def bootstrap(spark, sf_dir):
-    return stats.bootstrap_interval(paired(spark, sf_dir), ["query_id", "pipeline_id"], 200)
+    return rounded(stats.bootstrap_interval(paired(spark, sf_dir), ["query_id"]), "mean_difference", "low", "high")
 
 
 TESTS = R + ", t AS (SELECT pipeline_id AS test, pow(0.5, COUNT(*) FILTER (is_correct) % 9) * 0.1 AS p FROM runs GROUP BY 1) "
@@ -474,10 +515,10 @@ def to_do(spark, sf_dir):
     return runs.to_do(j, done.unionByName(j.select("job_id", F.lit("failed").alias("status")))).select("job_id")
 
 
-@query("t08_run_matrix")
+@query("t08_run_matrix", WITH + STAGES + ANSWERS + f"SELECT run_id, COUNT(*) AS queries, ROUND(AVG(ROUND(loss, 6)), 5) AS mean_loss FROM {SCORES} GROUP BY run_id")
 def run_matrix(spark, sf_dir):
     """All deterministic pipelines of the matrix on the queries, scored."""
-    return run_scores(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("queries"), F.round(F.avg("loss"), 6).alias("mean_loss"))
+    return run_scores(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("queries"), F.round(F.avg("loss"), 5).alias("mean_loss"))
 
 
 @query("t09_status", R + "SELECT status, COUNT(*) AS n FROM runs GROUP BY status")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import new_folder as workspace
 from ..operators.records import records
 from ..sources import ingest as I
 from ..sources import readers, sinks
@@ -14,14 +13,6 @@ from .answers import WITH
 from .base import query
 
 
-def workspace(spark) -> str:
-    """A new folder that the driver and the executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    return f"{root.rstrip('/')}/sumac-{uuid.uuid4().hex}"
-
-
 #: Raw names of categories in the made lines, the last of them unknown, and what they stand for.
 NAMES = ["electronics", "books", "home & kitchen", "home and kitchen", "kitchen", "sports & outdoors", "sports and outdoors", "sports", "clothing", "clothing, shoes & jewelry", "apparel",
          "toys & games", "toys and games", "toys", "beauty", "beauty & personal care", "automotive", "food & grocery", "grocery", "grocery & gourmet food", "office products", "office", "unheard of"]
@@ -215,7 +206,11 @@ def attributes(spark, sf_dir):
     return I.canonicalize(raw(spark, sf_dir)).where("reason IS NULL").select("row_index", *[found[v].alias(k) for k, v in named.items()])
 
 
-@query("i13_hashes")
+@query(
+    "i13_hashes",
+    CANON.replace("SELECT i AS row_index", ", c AS (SELECT i AS row_index", 1)
+    + ") SELECT COUNT(*) AS payloads, COUNT(DISTINCT (product_id, category, title, brand, rating, helpful_votes, event_time, price)) AS contents, 32 AS digits FROM c",
+)
 def hashes(spark, sf_dir):
     rows = I.canonicalize(raw(spark, sf_dir)).where("reason IS NULL")
     return rows.agg(F.count_distinct("raw_payload_hash").alias("payloads"), F.count_distinct("content_hash").alias("contents"), F.max(F.length("content_hash")).alias("digits"))

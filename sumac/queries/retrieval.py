@@ -50,16 +50,21 @@ def tokenize(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(R.tokenize(F.col("text")), " ").alias("tokens"))
 
 
-BM25 = f"""WITH tok AS (SELECT doc_id AS unit, {TOKENS.format('text')} AS ts FROM documents),
+def bm25_sql(k: int = 10, tokens: str = TOKENS.format("text"), units: str = "documents") -> str:
+    """A WITH clause with idf and top, the k best of the units for each item."""
+    return f"""WITH tok AS (SELECT doc_id AS unit, {tokens} AS ts FROM documents),
 dl AS (SELECT unit, len(ts) AS len FROM tok),
 tf AS (SELECT unit, term, COUNT(*) AS tf FROM (SELECT unit, unnest(ts) AS term FROM tok) GROUP BY unit, term),
 raw AS (SELECT term, COUNT(*) AS n, ln((SELECT COUNT(*) FROM documents) - COUNT(*) + 0.5) - ln(COUNT(*) + 0.5) AS r FROM tf GROUP BY term),
 idf AS (SELECT term, n, CASE WHEN r < 0 THEN 0.25 * (SELECT AVG(r) FROM raw) ELSE r END AS idf FROM raw),
-q AS (SELECT query_id, term, COUNT(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT query_id, term, COUNT(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT query_id, unit, SUM(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT AVG(len) FROM dl)))) AS score
       FROM tf JOIN q USING (term) JOIN idf USING (term) JOIN dl USING (unit) GROUP BY query_id, unit),
-every AS (SELECT item_id AS query_id, doc_id AS unit, coalesce(score, 0.0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN s ON s.query_id = item_id AND s.unit = doc_id),
-top AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit) AS INT) AS rank FROM every QUALIFY rank <= 10) """
+every AS (SELECT item_id AS query_id, doc_id AS unit, coalesce(score, 0.0) AS score FROM benchmark CROSS JOIN (SELECT doc_id FROM {units}) LEFT JOIN s ON s.query_id = item_id AND s.unit = doc_id),
+top AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit) AS INT) AS rank FROM every QUALIFY rank <= {k}) """
+
+
+BM25 = bm25_sql()
 
 
 @query("r05_bm25_index", BM25 + "SELECT term, n, ROUND(idf, 6) AS idf FROM idf")
@@ -67,8 +72,8 @@ def index(spark, sf_dir):
     return R.bm25_index(docs(spark, sf_dir), "doc_id", "text")["df"].select("term", "n", F.round("idf", 6).alias("idf"))
 
 
-def top(spark, sf_dir):
-    return R.bm25_top(R.bm25_index(docs(spark, sf_dir), "doc_id", "text"), asked(spark, sf_dir), 10)
+def top(spark, sf_dir, k=10):
+    return R.bm25_top(R.bm25_index(docs(spark, sf_dir), "doc_id", "text"), asked(spark, sf_dir), k)
 
 
 @query("r06_bm25_top", BM25 + "SELECT query_id, unit, ROUND(score, 5) AS score, rank FROM top")
@@ -76,7 +81,7 @@ def bm25(spark, sf_dir):
     return top(spark, sf_dir).withColumn("score", F.round("score", 5))
 
 
-@query("r07_bm25_filtered")
+@query("r07_bm25_filtered", bm25_sql(10, f"{TOKENS.format('text')} || {TOKENS.format('source')} || {TOKENS.format('source')}", "documents WHERE lang = 'en'") + "SELECT query_id, unit, ROUND(score, 5) AS score, rank FROM top")
 def bm25_filtered(spark, sf_dir):
     d = docs(spark, sf_dir)
     units = d.where("lang = 'en'").select(F.col("doc_id").alias("unit"))
@@ -109,25 +114,49 @@ def candidates(spark, sf_dir):
     return top(spark, sf_dir).join(docs(spark, sf_dir).select(F.col("doc_id").alias("unit"), R.estimate_tokens(F.col("text")).cast("bigint").alias("tokens")), "unit")
 
 
-@query("r10_pack_context")
+PACKED = BM25.replace("WITH tok", "WITH RECURSIVE tok", 1) + """, c AS (SELECT query_id, CAST(rank AS INT) AS rank, unit, greatest(1, length(text) // 4) AS tokens FROM top JOIN documents ON unit = doc_id),
+p(query_id, rank, used, units) AS (SELECT DISTINCT query_id, 0, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM c UNION ALL
+  SELECT c.query_id, c.rank, CASE WHEN used + tokens <= 1500 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 1500 THEN list_append(units, CAST(unit AS VARCHAR)) ELSE units END
+  FROM p JOIN c ON c.query_id = p.query_id AND c.rank = p.rank + 1),
+packed AS (SELECT query_id, rank AS candidates, used AS tokens, array_to_string(units, ',') AS units, CAST(len(units) AS INT) AS selected FROM p QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1) """
+
+
+@query("r10_pack_context", PACKED + "SELECT query_id, units, tokens FROM packed")
 def pack(spark, sf_dir):
     return R.pack_context(candidates(spark, sf_dir), 1500).select("query_id", "units", "tokens")
 
 
-@query("r11_context_manifest")
+@query(
+    "r11_context_manifest",
+    PACKED + "SELECT query_id, candidates, selected, candidates - selected AS dropped, tokens, CASE WHEN candidates = selected THEN 'all_fit' ELSE 'budget_exceeded' END AS reason, substr(sha256(units), 1, 32) AS manifest_hash FROM packed",
+)
 def context_manifest(spark, sf_dir):
     return R.pack_context(candidates(spark, sf_dir), 1500).drop("units")
 
 
 
-@query("r12_retrieval_quality")
+KS = [5, 10, 20, 50]
+GRAMS = "SELECT DISTINCT {0} AS id, array_to_string(ts[i : i + 4], ' ') AS g FROM (SELECT {0}, ts, unnest(range(1, len(ts) - 3)) AS i FROM (SELECT {0}, " + TOKENS.format("text") + " AS ts FROM {1}) WHERE len(ts) >= 5)"
+
+
+@query(
+    "r12_retrieval_quality",
+    bm25_sql(max(KS)) + f""", rel AS (SELECT DISTINCT i.id AS query_id, d.id AS unit FROM ({GRAMS.format('item_id', 'benchmark')}) i JOIN ({GRAMS.format('doc_id', 'documents')}) d USING (g)),
+    n AS (SELECT query_id, COUNT(*) AS relevant FROM rel GROUP BY query_id), h AS (SELECT query_id, rank FROM top JOIN rel USING (query_id, unit))
+    SELECT query_id, k, ROUND(hits / relevant, 6) AS recall, ROUND(hits / k, 6) AS precision
+    FROM (SELECT n.query_id, relevant, CAST(k AS INT) AS k, (SELECT COUNT(*) FROM h WHERE h.query_id = n.query_id AND rank <= k) AS hits FROM n, (SELECT unnest({KS}) AS k))""",
+)
 def quality(spark, sf_dir):
-    """A document is relevant to an item whose first five words stand in it."""
-    items, d = asked(spark, sf_dir), docs(spark, sf_dir)
-    start = F.array_join(F.slice(R.tokenize(F.col("text")), 1, 5), " ")
-    grams = d.select(F.col("doc_id").alias("unit"), R.tokenize(F.col("text")).alias("t")).select("unit", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - 4)), lambda i: F.array_join(F.slice("t", i, 5), " "))).alias("g"))
-    relevant = grams.join(items.select("query_id", start.alias("g")), "g").select("query_id", "unit").distinct()
-    return R.quality_at(top(spark, sf_dir), relevant, [5, 10])
+    """A document is relevant to an item if it has five tokens in a row of it, anywhere in either."""
+
+    def grams(rows, name):
+        t = rows.select(F.col(name).alias("id"), R.tokenize(F.col("text")).alias("t")).where("size(t) >= 5")
+        each = F.transform(F.sequence(F.lit(1), F.size("t") - 4), lambda i: F.array_join(F.slice("t", i, 5), " "))
+        return t.select("id", F.explode(F.array_distinct(each)).alias("g"))
+
+    wanted = R.few(grams(asked(spark, sf_dir), "query_id").withColumnRenamed("id", "query_id"))
+    relevant = grams(docs(spark, sf_dir), "doc_id").withColumnRenamed("id", "unit").join(wanted, "g").select("query_id", "unit").distinct()
+    return R.quality_at(top(spark, sf_dir, max(KS)), relevant, KS)
 
 
 @query(
