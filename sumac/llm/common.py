@@ -59,6 +59,18 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text, text.isNull())
 
 
+def row_key(ident: Column, th: Column) -> Column:
+    """One number for an id and the hash of a text."""
+    return F.xxhash64(ident, ident.isNull(), th)
+
+
+def same_row(ident: Column, th: Column, other: Column, other_th: Column) -> Column:
+    """Whether id and text hash are the same, null ids too. Written so that Spark takes none of it for a join key: a join
+    on row_key alone shares its exchange with an aggregate on row_key and more."""
+    differs = lambda a, b: a.isNull().cast("int").bitwiseXOR(b.isNull().cast("int"))
+    return (th.bitwiseXOR(other_th) == 0) & F.nullif(ident, other).isNull() & (differs(ident, other) == 0)
+
+
 def words(text: Column) -> Column:
     """White-space words of a text, in order; null and blank texts have none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))

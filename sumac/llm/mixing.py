@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, cut, text_hash, words
+from .common import count_words, cut, row_key, same_row, text_hash, words
 
 
 def source_key(source: Column) -> Column:
@@ -138,13 +138,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
     names = docs.columns
     taken = mix(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
     taken = taken.groupBy("id", "th").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
-    key = lambda i, th: F.xxhash64(i, i.isNull(), th)  # one key, so that the steps below share one exchange
-    taken = taken.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "taken", "size", key(F.col("id"), F.col("th")).alias("__tkey"))
+    taken = taken.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "taken", "size", row_key(F.col("id"), F.col("th")).alias("__tkey"))
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    rows = rows.withColumn("__rth", text_hash(F.col(text))).withColumn("__key", key(F.col(ident), F.col("__rth")))
-    rows = rows.repartition("__key").dropDuplicates(["__key", ident, "__rth"])
-    rows = rows.join(taken, (F.col("__key") == F.col("__tkey")) & F.col(ident).eqNullSafe(F.col("__id")) & (F.col("__rth") == F.col("__th")))
+    rows = rows.withColumn("__rth", text_hash(F.col(text))).withColumn("__key", row_key(F.col(ident), F.col("__rth")))
+    same = same_row(F.col(ident), F.col("__rth"), F.col("__id"), F.col("__th"))
+    rows = rows.join(taken, (F.col("__key") == F.col("__tkey")) & same).dropDuplicates(["__key", ident, "__rth"])
     turns = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1))
     rows = rows.withColumn("turn", turns).withColumn("served", F.least(F.col("size"), F.col("taken") - F.col("turn") * F.col("size")).cast("int"))
     whole = F.col("served") == F.col("size")

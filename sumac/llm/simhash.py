@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, ship, text_hash
+from .common import connected_components, cut, row_key, same_row, ship, text_hash
 
 SHINGLE = 3
 SEED = 42
@@ -145,11 +145,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     classes = near_duplicates(docs, id_col, text_col, distance)
     order = F.struct(F.col("id").isNull(), "id", "th")
     chosen = classes.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"))
-    # A class without ids may share its text hash with no other class, so (id, th) names the row. One key of both lets the
-    # join and the removal of repeated rows share one exchange.
-    key = lambda i, th: F.xxhash64(i, i.isNull(), th)
-    rows = docs.withColumn("__rth", text_hash(F.col(text_col))).withColumn("__key", key(F.col(id_col), F.col("__rth")))
-    chosen = chosen.withColumn("__key", key(F.col("__id"), F.col("__th")))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__rth") == F.col("__th"))
-    rows = rows.alias("d").join(chosen.alias("k"), (F.col("d.__key") == F.col("k.__key")) & same, "left_semi")
+    # A class without ids may share its text hash with no other class, so (id, th) names the row.
+    rows = docs.withColumn("__rth", text_hash(F.col(text_col))).withColumn("__key", row_key(F.col(id_col), F.col("__rth"))).alias("d")
+    chosen = chosen.withColumn("__ckey", row_key(F.col("__id"), F.col("__th")))
+    same = same_row(F.col(f"d.{id_col}"), F.col("__rth"), F.col("__id"), F.col("__th"))
+    rows = rows.join(chosen, (F.col("__key") == F.col("__ckey")) & same, "left_semi")
     return rows.dropDuplicates(["__key", id_col, "__rth"]).drop("__rth", "__key")
