@@ -57,6 +57,31 @@ def boxes(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(*[F.percentile_approx(value, q, F.lit(10000)).alias(n) for q, n in ((0.0, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1.0, "high"))])
 
 
+def mean_shares(runs: DataFrame, by: str) -> DataFrame:
+    """Mean shares of the loss by stage of completed runs: by, attributed, mean_phi_r, mean_phi_e, mean_phi_a."""
+    done = runs.where("status = 'completed' AND phi_r IS NOT NULL")
+    return done.groupBy(by).agg(F.count("*").alias("attributed"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("phi_r", "phi_e", "phi_a")])
+
+
+def by_coverage(rows: DataFrame, by: str) -> DataFrame:
+    """Mean loss by tenth of the least coverage ratio. rows: by, the ratios of certificates, loss."""
+    tenth = F.floor(F.least("scope_ratio", "extraction_ratio", "field_ratio") * 10).cast("int")
+    return rows.groupBy(by, tenth.alias("tenth")).agg(F.count("*").alias("runs"), F.round(F.avg("loss"), 6).alias("mean_loss"))
+
+
+def by_latency(runs: DataFrame, by: str, step: float) -> DataFrame:
+    """Accuracy and mean loss of completed runs by steps of latency."""
+    done = runs.where("status = 'completed'").groupBy(by, F.floor(F.col("latency_ms") / step).cast("int").alias("step"))
+    return done.agg(F.count("*").alias("runs"), F.round(F.avg(F.col("is_correct").cast("int")), 6).alias("accuracy"), F.round(F.avg("loss"), 6).alias("mean_loss"))
+
+
+def repair_benefit(rows: DataFrame, by: str) -> DataFrame:
+    """Certified rate and mean loss by number of repairs, and the loss against runs without one. rows: by, repairs, decision, loss."""
+    out = rows.groupBy(by, "repairs").agg(F.count("*").alias("runs"), F.round(F.avg((F.col("decision") == "certified").cast("int")), 6).alias("certified_rate"), F.avg("loss").alias("mean"))
+    none = out.where("repairs = 0").select(by, F.col("mean").alias("none"))
+    return out.join(none, by, "left").select(by, "repairs", "runs", "certified_rate", F.round("mean", 6).alias("mean_loss"), F.round(F.col("mean") - F.col("none"), 6).alias("loss_against_none"))
+
+
 def pairs(a: DataFrame, b: DataFrame, value: str = "loss") -> DataFrame:
     """query_id, pipeline_id, a, b of two experiments' completed runs; several runs of a cell are averaged."""
     one = lambda df, n: df.where("status = 'completed'").groupBy("query_id", "pipeline_id").agg(F.avg(value).alias(n))

@@ -77,6 +77,45 @@ spec("a08_topk_brand_mean_ties_all", A.TopK("helpful_votes", 2, "mean", "rating"
 spec("a08_topk_category_sum_ascending", A.TopK("category", 3, "sum", "helpful_votes", descending=False))
 spec("a08_topk_random_stable", A.TopK("brand", 7, ties="random_stable"), steel)
 
+#: Predicates by name, some of which no check lets through: an unknown field, no plain name, and values without a literal.
+CHECKED = {
+    "known": P.Eq("brand", "Brand#11"), "unknown": P.Eq("colour", "red"), "injected": P.Eq("brand = brand OR brand", "x"), "quoted": P.Neq("title", "it's; --"), "time": recent,
+    "number": P.Eq("rating", 4), "boolean": P.Neq("verified_purchase", False), "null": P.Eq("price", None), "set": P.Eq("brand", {"x"}), "null_in_list": P.In("brand", ("x", None)), "one_operand": P.And((verified,)),
+}
+PASSED = {"known", "quoted", "time", "number", "boolean", "null"}
+
+
+@query("f08_f09_checks", WITH + " UNION ALL ".join(f"SELECT '{k}' AS name, {k in PASSED} AS valid, " + (f"(SELECT COUNT(*) FROM records WHERE {P.to_sql(p)})" if k in PASSED else "NULL") + " AS eligible" for k, p in CHECKED.items()))
+def checks(spark, sf_dir):
+    """Which predicates pass the check of fields and literals, and the records of those that do."""
+    df = records(spark, sf_dir)
+
+    def valid(p: P.Predicate) -> bool:
+        try:
+            P.check(p, df.columns)
+        except P.InvalidPredicate:
+            return False
+        return True
+
+    passed = {k: valid(p) for k, p in CHECKED.items()}
+    counts = evidence.eligible_counts(df, [A.Query(k, A.Count(), CHECKED[k]) for k, ok in passed.items() if ok])
+    table = spark.createDataFrame(list(passed.items()), "name string, valid boolean")
+    return table.join(counts.withColumnRenamed("query_id", "name"), "name", "left")
+
+
+DISPATCHED = {"count": A.Count(), "distinct": A.Count("brand"), "sum": A.Sum("rating"), "mean": A.Mean("price", places=2), "proportion": A.Proportion(verified), "comparison": A.Comparison(brand11, brand12), "topk": A.TopK("brand", 2), "trend": A.Trend("year")}
+
+
+@query("a09_dispatch", WITH + " UNION ALL ".join(f"SELECT kind, rank, key, value FROM (SELECT '{type(x).__name__}' AS kind, * FROM ({A.to_sql(A.Query(k, x), 'records')}) q)" for k, x in DISPATCHED.items()))
+def dispatch(spark, sf_dir):
+    """Each kind of specification by the one way in, under the name of its kind."""
+    df = records(spark, sf_dir)
+    first, *rest = [A.evaluate(df, A.Query(k, x)).select(F.lit(type(x).__name__).alias("kind"), "rank", "key", "value") for k, x in DISPATCHED.items()]
+    for x in rest:
+        first = first.unionByName(x)
+    return first
+
+
 FLAGSHIP = A.Query("top_brands", A.TopK("brand", 5, "mean", "rating", ties="all"), verified)
 query("flagship", WITH + A.to_sql(FLAGSHIP, "records"))(lambda spark, sf_dir: A.evaluate(records(spark, sf_dir), FLAGSHIP))
 

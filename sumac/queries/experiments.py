@@ -380,6 +380,44 @@ def dominant_by_scale(spark, sf_dir):
     return shares(spark, sf_dir).groupBy((F.col("run") % 4).alias("scale_n"), "dominant").agg(F.count("*").alias("n"))
 
 
+#: Runs beside their shares of the loss by stage.
+SHARED = SHARES.rstrip() + f", runs AS ({RUNS.format(orders='orders')}), both_rows AS (SELECT runs.*, phi_r, phi_e, phi_a, dominant FROM runs JOIN d ON runs.run_id = CAST(d.run AS STRING)) "
+
+
+def runs_with_shares(spark, sf_dir):
+    s = shares(spark, sf_dir).select(F.col("run").cast("string").alias("run_id"), "phi_r", "phi_e", "phi_a", "dominant")
+    return all_runs(spark, sf_dir).join(s, "run_id")
+
+
+@query("m01_mean_shares", SHARED + "SELECT pipeline_id, COUNT(*) AS attributed, ROUND(AVG(phi_r), 6) AS mean_phi_r, ROUND(AVG(phi_e), 6) AS mean_phi_e, ROUND(AVG(phi_a), 6) AS mean_phi_a FROM both_rows WHERE status = 'completed' GROUP BY pipeline_id")
+def mean_shares(spark, sf_dir):
+    return stats.mean_shares(runs_with_shares(spark, sf_dir), "pipeline_id")
+
+
+@query("m05_share_boxes", SHARED + "SELECT stage, " + ", ".join(f"quantile_disc(phi, {q}) AS {n}" for n, q in (("low", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1)))
+    + " FROM (SELECT unnest(['r', 'e', 'a']) AS stage, unnest([phi_r, phi_e, phi_a]) AS phi FROM both_rows) GROUP BY stage")
+def share_boxes(spark, sf_dir):
+    cells = F.array(*[F.struct(F.lit(x).alias("stage"), F.col(f"phi_{x}").alias("phi")) for x in "rea"])
+    return stats.boxes(runs_with_shares(spark, sf_dir).select(F.explode(cells).alias("c")).select("c.*"), "stage", "phi")
+
+
+@query("m05_coverage_against_error", CERTIFIED + "SELECT policy, CAST(floor(least(sr, er, fr) * 10) AS INT) AS tenth, COUNT(*) AS runs, ROUND(AVG(loss), 6) AS mean_loss FROM d GROUP BY ALL")
+def coverage_against_error(spark, sf_dir):
+    rows = certified(spark, sf_dir).join(observed(spark, sf_dir).select("run_id", "loss"), "run_id")
+    return stats.by_coverage(rows, "policy")
+
+
+@query("m05_latency_against_accuracy", R + "SELECT pipeline_id, CAST(floor(latency_ms / 10) AS INT) AS step, COUNT(*) AS runs, ROUND(AVG(is_correct::INT), 6) AS accuracy, ROUND(AVG(loss), 6) AS mean_loss FROM runs WHERE status = 'completed' GROUP BY ALL")
+def latency_against_accuracy(spark, sf_dir):
+    return stats.by_latency(all_runs(spark, sf_dir), "pipeline_id", 10.0)
+
+
+@query("m05_repair_benefit", CERTIFIED + "SELECT policy, repairs, COUNT(*) AS runs, ROUND(AVG((decision = 'certified')::INT), 6) AS certified_rate, ROUND(AVG(loss), 6) AS mean_loss, ROUND(AVG(loss) - (SELECT AVG(loss) FROM o WHERE repairs = 0), 6) + 0.0 AS loss_against_none FROM d GROUP BY policy, repairs")
+def repair_benefit(spark, sf_dir):
+    rows = certified(spark, sf_dir).join(observed(spark, sf_dir).select("run_id", "loss", "repairs"), "run_id")
+    return stats.repair_benefit(rows, "policy")
+
+
 PAIRS = R + """, a AS (SELECT query_id, pipeline_id, AVG(loss) AS a FROM runs WHERE seed = 0 AND status = 'completed' GROUP BY ALL), b AS (SELECT query_id, pipeline_id, AVG(loss) AS b FROM runs WHERE seed = 1 AND status = 'completed' GROUP BY ALL),
     p AS (SELECT query_id, pipeline_id, a, b FROM a JOIN b USING (query_id, pipeline_id)) """
 

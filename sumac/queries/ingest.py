@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import new_folder as workspace
-from ..operators.records import records
+from ..operators import aggregates as A
+from ..operators import evidence
+from ..operators import predicates as P
+from ..operators.records import RECORDS_SQL, records
 from ..sources import ingest as I
 from ..sources import readers, sinks
 from .answers import WITH
@@ -108,6 +113,63 @@ def parquet_raw(spark, sf_dir):
     return readers.load_raw(spark, f"{folder}/raw.parquet").agg(F.count("*").alias("n"), F.count("price").alias("priced"))
 
 
+@query("s08_reader_by_extension", "SELECT f.*, COUNT(*) AS n, COUNT(*) FILTER (event_id % 7 = 0) AS sevens FROM events, (SELECT unnest(['rows.jsonl', 'rows.json', 'rows.csv', 'rows.parquet']) AS name) f GROUP BY ALL UNION ALL SELECT 'rows.xml', NULL, NULL")
+def by_extension(spark, sf_dir):
+    """The same rows in each format, read by the name of the folder; another name has no reader."""
+    folder = workspace(spark)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("asin"), (F.col("event_id") % 7).alias("rating_number"))
+    rows.write.json(f"{folder}/rows.jsonl")
+    rows.write.json(f"{folder}/rows.json")
+    rows.write.option("header", True).csv(f"{folder}/rows.csv")
+    rows.write.parquet(f"{folder}/rows.parquet")
+    sums = [F.count("*").alias("n"), F.count_if(F.col("rating_number") == "0").alias("sevens")]
+    first, *rest = [readers.load_raw(spark, f"{folder}/{name}").agg(*sums).select(F.lit(name).alias("name"), "*") for name in ("rows.jsonl", "rows.json", "rows.csv", "rows.parquet")]
+    for x in rest:
+        first = first.unionByName(x)
+    try:
+        readers.load_raw(spark, f"{folder}/rows.xml")
+    except ValueError:
+        return first.unionByName(spark.sql("SELECT 'rows.xml' AS name, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS sevens"))
+    return first
+
+
+@query("s09_size_limit", "SELECT SUM(length(CAST(event_id AS STRING)) + 1)::BIGINT AS bytes, TRUE AS at_limit, FALSE AS beyond FROM events")
+def size_limit(spark, sf_dir):
+    """Bytes of the input from the file list, and whether it is read at a limit of so many and of one less."""
+    path = f"{workspace(spark)}/rows.jsonl"
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string")).write.text(path)
+    size = readers.input_bytes(spark, path)
+
+    def allowed(limit: int) -> bool:
+        try:
+            readers.load_raw(spark, path, max_bytes=limit)
+        except readers.TooLarge:
+            return False
+        return True
+
+    return spark.createDataFrame([(size, allowed(size), allowed(size - 1))], "bytes long, at_limit boolean, beyond boolean")
+
+
+STORED = {"all": None, "brand": P.Eq("brand", "Brand#11"), "both": P.And((P.Range("rating", low=2.0, high=3.5, high_open=True), P.In("brand", ("Brand#11", "Brand#12")))), "text": P.Neq("title", "it's \"quoted\"")}
+
+
+@query("s10_query_specs", WITH + " UNION ALL ".join(f"SELECT '{k}' AS query_id, COUNT(*) AS eligible FROM records WHERE {P.to_sql(p)}" for k, p in STORED.items()))
+def query_specs(spark, sf_dir):
+    """Specifications written as JSON lines, read back and counted."""
+    path = f"{workspace(spark)}/queries.jsonl"
+    spark.createDataFrame([(json.dumps({"query_id": k, "scope": P.to_dict(p)}),) for k, p in STORED.items()], "value string").write.text(path)
+    specs = readers.load_queries(spark, path)
+    return evidence.eligible_counts(records(spark, sf_dir), [A.Query(q["query_id"], A.Count(), q["scope"]) for q in specs])
+
+
+@query("s11_worlds", WITH + "SELECT concat('world_s7_n', n) AS world_id, n AS scale_n, CAST(7 AS BIGINT) AS seed, 'nested' AS policy, least(n, (SELECT COUNT(*) FROM records)) AS rows FROM (SELECT unnest([10, 500, 100000000])::BIGINT AS n)")
+def worlds_config(spark, sf_dir):
+    """The samples that a config lists, with the rows that each has."""
+    worlds = readers.load_worlds(spark, {"scales": [10, 500, 100_000_000], "seed": 7})
+    total = records(spark, sf_dir).agg(F.count("*").alias("n"))
+    return worlds.crossJoin(total).withColumn("rows", F.least("scale_n", "n")).drop("n")  # three rows and one
+
+
 @query("k01_k02_partitioned_write", WITH + "SELECT category, CAST(year(event_time) AS INT) AS year, COUNT(*) AS n FROM records GROUP BY ALL")
 def partitioned(spark, sf_dir):
     folder = workspace(spark)
@@ -138,13 +200,32 @@ def stages(spark, sf_dir):
     return spark.read.parquet(f"{folder}/scope_rows").groupBy("run_id").agg(F.count("*").alias("n"))
 
 
-@query("k06_k07_bundle", "SELECT 'ok' AS state, TRUE AS present")
-def bundle(spark, sf_dir):
+@query("k06_export", WITH + "SELECT brand, COUNT(*) AS parquet_n, COUNT(*) AS csv_n FROM records GROUP BY brand")
+def export(spark, sf_dir):
+    """The export in both formats, read back."""
     folder = workspace(spark)
-    rows = records(spark, sf_dir).groupBy("brand").agg(F.count("*").alias("n"))
-    sinks.export(rows, f"{folder}/x")
-    sinks.write_bundle(rows, f"{folder}/b")
-    return sinks.verify_bundle(spark, f"{folder}/b").groupBy("state").agg((F.count("*") > 0).alias("present"))
+    sinks.export(records(spark, sf_dir).groupBy("brand").agg(F.count("*").alias("n")), f"{folder}/x")
+    p = spark.read.parquet(f"{folder}/x/batch.parquet").select("brand", F.col("n").alias("parquet_n"))
+    c = spark.read.schema("brand string, n long").option("header", True).csv(f"{folder}/x/batch.csv").select("brand", F.col("n").alias("csv_n"))
+    return p.join(c, "brand")
+
+
+@query("k06_k07_bundle", """SELECT * FROM (VALUES ('as_written', 'ok'), ('rewritten', 'missing'), ('rewritten', 'unlisted'), ('other_sums', 'changed')) AS t("case", state), (SELECT COUNT(DISTINCT brand) AS lines FROM (""" + RECORDS_SQL + "))")
+def bundle(spark, sf_dir):
+    """A bundle as written, one whose file was written again, and one whose file has another checksum; lines: of the metrics."""
+    rows = records(spark, sf_dir).groupBy("brand").agg(F.count("*").alias("n")).coalesce(1)
+    out = []
+    for case in ("as_written", "rewritten", "other_sums"):
+        folder = f"{workspace(spark)}/b"
+        sinks.write_bundle(rows, folder)
+        if case == "rewritten":
+            rows.write.mode("overwrite").option("header", True).csv(f"{folder}/metrics")
+        if case == "other_sums":
+            sums = sinks.file_checksums(spark, f"{folder}/metrics").withColumn("sha256", F.reverse("sha256"))
+            sums.write.mode("overwrite").parquet(f"{folder}/checksums")
+        lines = spark.read.option("header", True).csv(f"{folder}/metrics").count()
+        out.append(sinks.verify_bundle(spark, folder).select(F.lit(case).alias("case"), "state", F.lit(lines).alias("lines")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def registry(spark, sf_dir):
@@ -161,10 +242,19 @@ def snapshots(spark, sf_dir):
     return sinks.list_snapshots(registry(spark, sf_dir)[0]).select("snapshot_id", "rows", "path")
 
 
-@query("k11_validate", "SELECT unnest(['registered', 'exists', 'has_rows', 'same_content', 'rejects_known']) AS check, TRUE AS ok".replace(" AS check", ' AS "check"'))
+@query("k11_validate", """SELECT * FROM (VALUES ('same', 'registered', TRUE), ('same', 'exists', TRUE), ('same', 'has_rows', TRUE), ('same', 'same_content', TRUE), ('same', 'rejects_known', TRUE),
+    ('other', 'registered', TRUE), ('other', 'exists', TRUE), ('other', 'has_rows', TRUE), ('other', 'same_content', FALSE), ('other', 'rejects_known', TRUE),
+    ('unknown', 'registered', FALSE), ('unknown', 'exists', TRUE), ('unknown', 'has_rows', TRUE), ('unknown', 'same_content', FALSE), ('unknown', 'rejects_known', FALSE),
+    ('gone', 'registered', TRUE), ('gone', 'exists', FALSE)) AS t("case", "check", ok)""")
 def validate(spark, sf_dir):
+    """The snapshot with its records, with other ones, an id that is not registered, and data that are not there."""
     table, df = registry(spark, sf_dir)
-    return sinks.validate_snapshot(table, "s1", df.where("brand = 'Brand#12'"))
+    own, other = df.where("brand = 'Brand#12'"), df.where("brand = 'Brand#12' AND rating <> 3.0")
+    cases = {"same": ("s1", own), "other": ("s1", other), "unknown": ("s9", own), "gone": ("s1", None)}
+    first, *rest = [sinks.validate_snapshot(table, name, rows).withColumn("case", F.lit(case)) for case, (name, rows) in cases.items()]
+    for x in rest:
+        first = first.unionByName(x)
+    return first
 
 
 @query("k12_snapshot_id", WITH + "SELECT DISTINCT brand, substr(sha256(brand || ':' || 'source' || ':' || 'config'), 1, 16) AS id FROM records")
