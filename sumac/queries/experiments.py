@@ -13,11 +13,13 @@ from ..operators import aggregates as A
 from ..operators import attribution as L
 from ..operators import coverage as C
 from ..operators import faults, runs, stats
+from ..operators import pipelines as PL
 from ..operators import predicates as P
 from ..operators.records import records
 from ..plans import workload as W
 from .answers import WITH
 from .base import query
+from .retrieval import bm25_sql
 
 #: Orders as runs of pipelines: a text that Spark and other engines read alike.
 RUNS = """SELECT CAST(o_orderkey AS STRING) AS run_id, concat('q', CAST(o_custkey % 200 AS STRING)) AS query_id, concat('p', CAST(o_orderkey % 5 AS STRING)) AS pipeline_id,
@@ -158,6 +160,42 @@ def pipelines(spark, sf_dir):
     return rounded(faults.run_pipelines(records(spark, sf_dir), ASKED), "value")
 
 
+#: ASKED in words, for the pipelines that retrieve.
+WORDS = {
+    "n": "How many verified reviews are there of Brand: Brand#11?", "mean": "What is the average price of Brand#11, Brand#12 and Brand#13?", "share": "Which share of reviews with a rating of 2.0 to 4.0 is verified?",
+    "compare": "Is the rating of Brand#11 or Brand#12 higher?", "top": "Which five brands have the most reviews in the category PROMO?", "trend": "How does the rating of Brand#12 change by year?",
+}
+ASKED_IN_WORDS = [replace(q, tags={"question": WORDS[q.query_id]}) for q in ASKED]
+RENDERED = """, rendered AS (SELECT record_id, concat_ws(chr(10), 'ID: ' || record_id, 'Title: ' || title, 'Category: ' || category, 'Brand: ' || brand, 'Rating: ' || CAST(rating AS STRING),
+    'Verified: ' || CAST(verified_purchase AS STRING), 'Votes: ' || CAST(helpful_votes AS STRING), 'Price: ' || coalesce(CAST(price AS STRING), 'n/a')) AS text FROM records) """
+ITEMS = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in WORDS.items()) + ") AS items(item_id, text)"
+
+
+def over_retrieved(again: bool, table: str) -> str:
+    return batch([PL.own(q, again) for q in ASKED_IN_WORDS], table)
+
+
+CATALOGUE = (
+    WITH + RENDERED + f", items AS (SELECT * FROM {ITEMS}) "
+    + bm25_sql(50, units="rendered", source="rendered", asked="items", unit="record_id").replace("WITH tok", ", tok", 1)
+    + """, vec AS (SELECT record_id, v FROM (SELECT record_id, list_transform(range(0, 16), lambda i: CAST('0x' || substr(sha256(text), CAST(2 * i + 1 AS BIGINT), 2) AS INT) / 255.0) AS v FROM rendered)),
+    qvec AS (SELECT item_id AS query_id, list_transform(range(0, 16), lambda i: CAST('0x' || substr(sha256(text), CAST(2 * i + 1 AS BIGINT), 2) AS INT) / 255.0) AS w FROM items),
+    unit AS (SELECT query_id, record_id, round(list_sum(list_transform(range(1, 17), lambda i: v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x))) * (w[i] / sqrt(list_sum(list_transform(w, lambda x: x * x)))))), 9) AS score FROM vec, qvec),
+    dense AS (SELECT query_id, record_id FROM unit QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) <= 20), """
+    + f"""r20 AS (SELECT records.*, query_id AS asked_by FROM records JOIN top ON unit = record_id AND rank <= 20), r50 AS (SELECT records.*, query_id AS asked_by FROM records JOIN top ON unit = record_id),
+    rd AS (SELECT records.*, query_id AS asked_by FROM records JOIN dense USING (record_id)),
+    got AS (SELECT * FROM records WHERE {" OR ".join(f"{uniform_sql(repr('42'), 'product_id', repr(str(k)), repr('extract'))} < {PL.GOOD}" for k in range(PL.ATTEMPTS))}),
+    shown(query_id) AS ({" UNION ALL ".join(f"SELECT '{q.query_id}' WHERE (SELECT COUNT(*) FROM got WHERE {P.to_sql(q.scope)}) >= 0.9 * (SELECT COUNT(*) FROM records WHERE {P.to_sql(q.scope)})" for q in ASKED)})
+    SELECT 'direct_bm25' AS pipeline_id, * FROM {over_retrieved(False, 'r20')} UNION ALL SELECT 'direct_dense', * FROM {over_retrieved(False, 'rd')} UNION ALL SELECT 'extract_aggregate', * FROM {over_retrieved(True, 'r50')}
+    UNION ALL SELECT 'full_scope', * FROM {batch(ASKED, 'records')} UNION ALL SELECT 'certified_repair', * FROM {batch(ASKED, 'got')} WHERE query_id IN (SELECT query_id FROM shown)"""
+)
+
+
+@query("p07_catalogue", CATALOGUE)
+def catalogue(spark, sf_dir):
+    return PL.run_catalogue(records(spark, sf_dir), ASKED_IN_WORDS)
+
+
 @query("p06_clean_trace", WITH + f", s AS (SELECT COUNT(*) AS n, COUNT(*) FILTER ({P.to_sql(ASKED[0].scope)}) AS e FROM records) SELECT 'scope' AS stage, n AS rows_in, e AS rows_out FROM s UNION ALL SELECT 'extract', e, e FROM s UNION ALL SELECT 'aggregate', e, 1 FROM s")
 def clean_trace(spark, sf_dir):
     return faults.trace(records(spark, sf_dir), ASKED[0], "r").select("stage", "rows_in", "rows_out")

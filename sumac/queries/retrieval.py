@@ -50,17 +50,17 @@ def tokenize(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(R.tokenize(F.col("text")), " ").alias("tokens"))
 
 
-def bm25_sql(k: int = 10, tokens: str = TOKENS.format("text"), units: str = "documents") -> str:
+def bm25_sql(k: int = 10, tokens: str = TOKENS.format("text"), units: str = "documents", source: str = "documents", asked: str = "benchmark", unit: str = "doc_id") -> str:
     """A WITH clause with idf and top, the k best of the units for each item."""
-    return f"""WITH tok AS (SELECT doc_id AS unit, {tokens} AS ts FROM documents),
+    return f"""WITH tok AS (SELECT {unit} AS unit, {tokens} AS ts FROM {source}),
 dl AS (SELECT unit, len(ts) AS len FROM tok),
 tf AS (SELECT unit, term, COUNT(*) AS tf FROM (SELECT unit, unnest(ts) AS term FROM tok) GROUP BY unit, term),
-raw AS (SELECT term, COUNT(*) AS n, ln((SELECT COUNT(*) FROM documents) - COUNT(*) + 0.5) - ln(COUNT(*) + 0.5) AS r FROM tf GROUP BY term),
+raw AS (SELECT term, COUNT(*) AS n, ln((SELECT COUNT(*) FROM {source}) - COUNT(*) + 0.5) - ln(COUNT(*) + 0.5) AS r FROM tf GROUP BY term),
 idf AS (SELECT term, n, CASE WHEN r < 0 THEN 0.25 * (SELECT AVG(r) FROM raw) ELSE r END AS idf FROM raw),
-q AS (SELECT query_id, term, COUNT(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT query_id, term, COUNT(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM {asked}) GROUP BY ALL),
 s AS (SELECT query_id, unit, SUM(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT AVG(len) FROM dl)))) AS score
       FROM tf JOIN q USING (term) JOIN idf USING (term) JOIN dl USING (unit) GROUP BY query_id, unit),
-every AS (SELECT item_id AS query_id, doc_id AS unit, coalesce(score, 0.0) AS score FROM benchmark CROSS JOIN (SELECT doc_id FROM {units}) LEFT JOIN s ON s.query_id = item_id AND s.unit = doc_id),
+every AS (SELECT item_id AS query_id, {unit} AS unit, coalesce(score, 0.0) AS score FROM {asked} CROSS JOIN (SELECT {unit} FROM {units}) LEFT JOIN s ON s.query_id = item_id AND s.unit = {unit}),
 top AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit) AS INT) AS rank FROM every QUALIFY rank <= {k}) """
 
 
