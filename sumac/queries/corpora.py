@@ -106,12 +106,17 @@ def nesting(spark, sf_dir):
     return corpus.verify_nesting([("s100", corpus.nested_sample(df, 100)), ("s1000", corpus.nested_sample(df, 1000)), ("all", df)])
 
 
-@query("h13_synthetic")
+@query(
+    "h13_synthetic",
+    WITH + f""", m AS (SELECT 5 - floor(pow({uniform_sql("'42'", "id", "'rating'")}, 2.0) * 9) * 0.5 AS rating FROM (SELECT unnest(range((SELECT COUNT(*) FROM records))) AS id)),
+    a AS (SELECT rating, COUNT(*) AS made FROM m GROUP BY rating), b AS (SELECT rating, COUNT(*) AS given FROM records GROUP BY rating)
+    SELECT rating, coalesce(made, 0) AS made, coalesce(given, 0) AS given FROM a FULL JOIN b USING (rating)""",
+)
 def synthetic(spark, sf_dir):
-    """As many synthetic records as the table has, compared by category with the real ones."""
+    """As many synthetic records as the table has, by rating beside the real ones."""
     df = records(spark, sf_dir)
-    made = corpus.synthetic(spark, df.count())
-    return made.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("rating"), 2).alias("mean_rating"), F.round(F.avg(F.col("price").isNull().cast("int")), 2).alias("missing_price"))
+    count = lambda rows, name: rows.groupBy("rating").agg(F.count("*").alias(name))
+    return count(corpus.synthetic(spark, df.count()), "made").join(count(df, "given"), "rating", "full_outer").fillna(0, ["made", "given"])
 
 
 @query("h14_manifest")

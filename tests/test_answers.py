@@ -112,6 +112,15 @@ def test_batch_is_one_pass_a_group(df):
     assert plan.count("InMemoryRelation") == 2
 
 
+def test_sql_text_is_one_statement_a_group(df, spark):
+    specs = [A.Query(f"s{i}", A.Mean("rating"), P.Range("rating", low=float(i % 5))) for i in range(12)] + [A.Query(f"t{i}", A.TopK("brand", i + 1, ties=("first", "all")[i % 2])) for i in range(5)]
+    specs += [A.Query("c", A.Comparison(P.Eq("brand", "b0"), P.Eq("brand", "b1"), "mean", "rating")), A.Query("y", A.Trend("year", "sum", "helpful_votes"))]
+    df.createOrReplaceTempView("asked_by_text")
+    assert len(A.batch_sql(specs, "asked_by_text")) == 3
+    text = agree.evaluate_text(spark, specs, "asked_by_text")
+    assert {r.status for r in agree.status(agree.compare(A.evaluate_batch(df, specs), text)).collect()} == {"agreed"}
+
+
 def test_spec_hash_ignores_names():
     q = A.Query("a", A.Count(), P.Eq("brand", "x"))
     assert A.spec_hash(q) == A.spec_hash(A.Query("b", A.Count(), P.Eq("brand", "x"), tags={"t": 1}))

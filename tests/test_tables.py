@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from sumac.operators import aggregates as A
 from sumac.operators import attribution, corpus, coverage, extraction, faults, retrieval, runs, stats
 from sumac.operators import predicates as P
-from sumac.plans import workload
+from sumac.plans import templates, workload
 from sumac.sources import ingest, readers, sinks
 from sumac.streaming import ingest as stream
 
@@ -80,6 +81,31 @@ def test_readers(spark, tmp_path):
     assert readers.load_queries(spark, str(tmp_path / "q.jsonl"))[0]["scope"] == P.Eq("brand", "x")
 
 
+@pytest.mark.parametrize("size", ["64b", "1mb"])
+def test_rows_are_numbered_by_file_and_line(spark, tmp_path, size):
+    """However the files are split."""
+    given = [[f'{{"asin": "{f}{k}"}}' for k in range(40)] for f in "abc"]
+    for f, rows in zip("abc", given):
+        (tmp_path / f"{f}.jsonl").write_text("\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = {r.row_index: r.asin for r in readers.load_raw(spark, str(tmp_path), "json").collect()}
+        plain = readers.load_raw(spark, str(tmp_path), "csv").agg(F.count("*"), F.count_distinct("row_index"), F.max("row_index")).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {k: json.loads(line)["asin"] for k, line in enumerate(sum(given, []))}
+    assert plain[0] == plain[1] == plain[2] + 1
+
+
+def test_edges_join_neighbours_of_a_group(spark):
+    rng = random.Random(5)
+    rows = [(f"r{i:04d}", rng.choice(["hot", "hot", "hot", "b", None])) for i in range(500)]
+    want = {g: sorted(i for i, x in rows if x == g) for g in ("hot", "b", None)}
+    got = retrieval.consecutive_edges(spark.createDataFrame(rows, "record_id string, g string").repartition(7), "g").collect()
+    assert Counter(map(tuple, got)) == Counter(p for ids in want.values() for p in zip(ids, ids[1:]))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
@@ -165,10 +191,12 @@ def test_faults_repeat(spark, made):
     assert bad.columns == made.columns and bad.where("rating < 1 OR rating > 5 OR price < 0").count() == 0
     both = made.select("record_id", "verified_purchase").join(bad.select("record_id", F.col("verified_purchase").alias("v")), "record_id")
     assert 0.2 < both.where("v <> verified_purchase").count() / 600 < 0.4
-    others = {"category": ["Books", "Sports"], "brand": []}
-    assert faults.scope_fault(P.And((P.Eq("brand", "a"), P.IsNull("price"))), "q", others) == P.Eq("brand", "a")
-    assert faults.scope_fault(P.Eq("category", "Books"), "q", others) == P.Eq("category", "Sports")
-    assert len(faults.scope_fault(P.In("brand", ("a", "b", "c")), "q", others).values) == 2
+    assert bad.where("price IS NULL").count() == made.where("price IS NULL").count()
+    assert faults.scope_fault(P.And((P.Eq("brand", "a"), P.IsNull("price"))), "q", "b") == P.Eq("brand", "a")
+    assert faults.scope_fault(P.Eq("category", "Books"), "q", "Sports") == P.Eq("category", "Sports")
+    assert len(faults.scope_fault(P.In("brand", ("a", "b", "c")), "q").values) == 2
+    drawn = [faults.other_values(made, [A.Query(f"q{i}", A.Count(), P.Eq("category", "Books"))])[f"q{i}"] for i in range(12)]
+    assert "Books" not in drawn and len(set(drawn)) > 2
     scores = attribution.interventions(made, q, ["clean", "wrong_scope", "wrong_aggregation"])
     for r in attribution.shapley(scores, ["pipeline_id", "query_id"]).collect():
         assert r.phi_r + r.phi_e + r.phi_a + r.interaction == pytest.approx(r.recoverable, abs=1e-4)
@@ -230,8 +258,9 @@ def test_runs(spark):
 
 
 def test_workload(spark, made):
-    ts = workload.templates()
-    assert len(ts) == 100 == len({t.template_id for t in ts})
+    ts = templates.TEMPLATES
+    assert len(ts) == 100 == len({t.template_id for t in ts}) and {t.template_id for t in ts} == set(templates.MAKERS)
+    assert Counter(t.family for t in ts) == {"count": 20, "mean": 15, "proportion": 20, "comparison": 15, "topk": 15, "trend": 15}
     queries = workload.workload(made)
     assert len({A.spec_hash(q) for q in queries}) == len(queries) > 100
     assert {q.query_id for q in workload.workload(made.repartition(3))} == {q.query_id for q in queries}
@@ -239,3 +268,9 @@ def test_workload(spark, made):
     df = workload.with_shares(made)
     some = queries[::9]
     assert {r.query_id for r in A.evaluate_batch(df, some).collect()} <= {q.query_id for q in some}
+    assert all("{" not in q.tags["question"] for q in queries)
+    text = templates.Draws("cmp_q1_q2_count", 0, 42, {"category": ("Books", "Sports"), "year": ("2021", "2022")})
+    spec, scope = templates.MAKERS["cmp_q1_q2_count"](text)
+    assert spec.a == P.Range("event_time", "2021-01-01T00:00:00Z", "2021-04-01T00:00:00Z", high_open=True) and scope.parts[0] == P.Eq("category", "Books")
+    assert workload.build(templates.TEMPLATES[1], templates.Draws("cnt_cat_verified", 0, 42, {})) is None
+    assert workload.workload(made.limit(0)) and not [q for q in workload.workload(made.limit(0)) if q.tags["template_id"] != "cnt_empty_scope"]
