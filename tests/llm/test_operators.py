@@ -224,6 +224,47 @@ def test_quality_classifier(spark):
     assert {r.good for r in quality.score(odd, one).collect()} == {1.0}
 
 
+def plain_probabilities(score, cuts):
+    """P(grade = k) of a cumulative-link model."""
+    below = [0.0] + [1 / (1 + np.exp(score - c)) for c in cuts] + [1.0]
+    return [b - a for a, b in zip(below, below[1:])]
+
+
+def test_scores_are_those_of_the_plain_model(spark):
+    rng = np.random.default_rng(2)
+    weights = np.zeros(quality.BUCKETS)
+    texts = ["good plain words here", "BAD bad*** bad*** text", "one", "", None, "a b c d e f g " * 200]
+    for t in texts:
+        weights[quality.features((t or "").encode())] = rng.normal(size=len(quality.features((t or "").encode())))
+    model = quality.Model([0, 1, 2], np.array([-0.7, 0.4]), weights)
+    rated = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in rated:
+        p = plain_probabilities(sum(np.float32(weights[b]) for b in quality.features((r.text or "").encode())), model.cuts)
+        assert r.good == pytest.approx(p[2], abs=1e-5) and r.expected_grade == pytest.approx(p[1] + 2 * p[2], abs=1e-5)
+    kept = {r.doc_id for r in quality.select_good(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert kept == {r.doc_id for r in rated if r.good >= 0.5}
+
+
+def test_fit_reaches_the_plain_likelihood():
+    rng = np.random.default_rng(5)
+    x = rng.random((900, 6)) < 0.4
+    true = np.array([2.0, -1.5, 1.0, 0.0, -0.5, 0.8])
+    y = np.digitize(x @ true + rng.logistic(size=900), [-0.3, 1.2])  # three grades of about one size, so all weigh the same
+
+    def mean_log(weights, cuts):
+        return float(np.mean([np.log(plain_probabilities(s, cuts)[k]) for s, k in zip(x @ weights, y)]))
+
+    # the plain likelihood, climbed by numeric gradients
+    at = np.concatenate((np.zeros(6), [-0.5, 0.5]))
+    value = lambda v: mean_log(v[:6], v[6:])
+    for _ in range(60):
+        slope = np.array([(value(at + e) - value(at - e)) / 2e-4 for e in np.eye(8) * 1e-4])
+        at = at + 4 * slope
+    model = quality.fit([np.flatnonzero(r) for r in x], y, buckets=6, shrink=0.0)
+    assert mean_log(model.weights, model.cuts) > value(at) - 0.01
+    assert np.abs(model.weights - at[:6]).max() < 0.3 and np.abs(model.cuts - at[6:]).max() < 0.3
+
+
 # op3
 
 
