@@ -46,11 +46,19 @@ def exact_hash(ids: Column) -> Column:
 
 def fingerprint(*columns: Column) -> list[Column]:
     """Aggregates of constant size that tell two sets of rows apart, whatever their order: n, the xor and
-    the sum of 64-bit hashes."""
-    h = F.xxhash64(*columns)
+    the sum of 60-bit hashes, which are the first 15 digits of the MD5 of the columns as texts."""
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns])
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
     return [F.count("*").alias("n"), F.bit_xor(h).alias("hash_xor"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum")]
 
 
+def fingerprint_sql(*columns: str) -> str:
+    """The aggregates as SQL for DuckDB, the sum as text."""
+    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in columns) + ")"
+    h = f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+    return f"COUNT(*) AS n, bit_xor({h}) AS hash_xor, CAST(SUM({h}) AS VARCHAR) AS hash_sum"
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """One row that names the content of a whole table."""
     return df.agg(*fingerprint(*[F.col(c) for c in sorted(df.columns)]))

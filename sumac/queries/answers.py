@@ -200,9 +200,9 @@ def exact(spark, sf_dir):
     return all_evidence(spark, sf_dir).groupBy("query_id").agg(evidence.exact_hash(F.col("record_id")).alias("evidence_hash"))
 
 
-@query("e05_fingerprint")
+@query("e05_fingerprint", IDS + f"SELECT query_id, {evidence.fingerprint_sql('record_id')} FROM e GROUP BY query_id")
 def fingerprint(spark, sf_dir):
-    return all_evidence(spark, sf_dir).groupBy("query_id").agg(*evidence.fingerprint(F.col("record_id")))
+    return all_evidence(spark, sf_dir).groupBy("query_id").agg(*evidence.fingerprint(F.col("record_id"))).withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
 EVERY = " UNION ALL ".join(f"SELECT * FROM ({A.to_sql(q, 'records')}) x" for q in SPECS.values())
@@ -214,9 +214,12 @@ def answer_hash(spark, sf_dir):
     return evidence.answer_hashes(batch(spark, sf_dir))
 
 
-@query("e07_table_hash")
+COLUMNS = ["brand", "category", "event_time", "helpful_votes", "price", "product_id", "rating", "record_id", "title", "verified_purchase"]
+
+
+@query("e07_table_hash", WITH + f"SELECT {evidence.fingerprint_sql(*COLUMNS)} FROM records")
 def table_hash(spark, sf_dir):
-    return evidence.table_fingerprint(records(spark, sf_dir))
+    return evidence.table_fingerprint(records(spark, sf_dir)).withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
 PATHS = [q for q in SPECS.values() if not q.query_id.startswith("f")]

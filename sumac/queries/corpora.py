@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import uniform_sql
 from ..operators import corpus
+from ..operators.evidence import fingerprint_sql
 from ..operators.records import records
-from .answers import WITH
+from .answers import COLUMNS, WITH
 from .base import query
 
 H = "sha256('42|' || record_id)"
@@ -63,9 +64,10 @@ def near(spark, sf_dir):
     return corpus.near_equal(records(spark, sf_dir)).select("record_id", "category")
 
 
-@query("h09_checksum")
+@query("h09_checksum", WITH + f"SELECT {fingerprint_sql(*COLUMNS)} FROM (SELECT * FROM records ORDER BY {H}, record_id LIMIT 5000)")
 def checksum(spark, sf_dir):
-    return corpus.checksum(records(spark, sf_dir))
+    """The checksum of a sample of 5,000 records."""
+    return corpus.checksum(corpus.nested_sample(records(spark, sf_dir), 5000)).withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
 @query(
@@ -119,7 +121,11 @@ def synthetic(spark, sf_dir):
     return count(corpus.synthetic(spark, df.count()), "made").join(count(df, "given"), "rating", "full_outer").fillna(0, ["made", "given"])
 
 
-@query("h14_manifest")
+ROW = "SELECT '{0}' AS world_id, {1} AS parent, CAST(42 AS INT) AS seed, " + fingerprint_sql("record_id") + " FROM "
+
+
+@query("h14_manifest", WITH + ROW.format("s1000", "'all'") + f"(SELECT * FROM records ORDER BY {H}, record_id LIMIT 1000) UNION ALL " + ROW.format("all", "NULL") + "records")
 def manifest(spark, sf_dir):
     df = records(spark, sf_dir)
-    return corpus.manifest(spark, "s1000", corpus.nested_sample(df, 1000), None, 42).unionByName(corpus.manifest(spark, "all", df, None, 42))
+    rows = corpus.manifest(spark, "s1000", corpus.nested_sample(df, 1000), "all", 42).unionByName(corpus.manifest(spark, "all", df, None, 42))
+    return rows.withColumn("hash_sum", F.col("hash_sum").cast("string"))
