@@ -19,9 +19,9 @@ from tokenizers import Tokenizer
 from .common import ship, text_hash, worker_state
 
 #: Pieces that a Python worker keeps with their ids (about 60 bytes each): beyond, the half that was used last stays.
-CACHE = 500_000
+CACHE = 300_000
 #: Text bytes that make one batch of the output.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Layout of the files. Token ids repeat, so they are dictionary-coded; the rising document ids and offsets
 #: overflow their dictionary and are delta-coded by version 2 of the format. Pages hold few rows, and the
 #: page index lets a reader skip to the ones that it wants.
@@ -41,8 +41,9 @@ ODD = r"^[ \n]|[ \n]$|  | \n|\n |\n\n\n|<\||[\x01-\x05\t\r\x0b\x0c\x1c-\x1f\x{85
 #: A point or comma before white space that may belong to a longer piece.
 LOOSE = r"(?:^|[^A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])[.,][ \n]"
 POINT, COMMA, FIRST, END = "\x01", "\x02", "\x04", "\x05"
-#: Words that go through the tokenizer as one text.
+#: Words that go through the tokenizer as one text, and texts at once.
 TOGETHER = 500
+BATCH = 16
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -75,8 +76,10 @@ class Encoder:
         self.turn = 0
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of some texts, and how many each has."""
-        coded = [array("i", c.ids) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """All ids of some texts, and how many each has. Few texts at once: the tokenizer's own results are large."""
+        coded = []
+        for lo in range(0, len(texts), BATCH):
+            coded += [array("i", c.ids) for c in self.tokenizer.encode_batch_fast(texts[lo : lo + BATCH], add_special_tokens=False)]
         return np.frombuffer(b"".join(coded), np.int32), np.fromiter(map(len, coded), np.int64, len(coded))
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +185,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | Path, end: int =
                 lists = encoder.encode(b.column(2).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), lists.value_lengths(), lists], names=schema.names)
                 lo = hi
+        pa.default_memory_pool().release_unused()
 
     rows = rows.repartitionByRange("id", "th").sortWithinPartitions("id", "th")
     coded = rows.mapInArrow(task, schema).withColumn("shard", F.spark_partition_id())
