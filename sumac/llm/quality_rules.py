@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_hash
@@ -13,22 +13,24 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
-#: The most common words of each language that has references.
-COMMON = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "on", "with", "as", "be", "this", "from"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"],
-}
+#: Words of letters alone, in lower case: no ASCII character but a to z.
+LETTERS = "^[^\\x00-\\x60\\x7B-\\x7F]+$"
+#: Common words of each language, and its documents that pass the base, at least, to have references.
+COMMON = 100
+LEAST_DOCS = 30
+#: Parts by hash of the list of common words, so that a word meets one or two of them.
+PARTS = 64
+#: Languages whose lists are sent to every task; with more of them the join is shuffled.
+SENT_LANGUAGES = 1000
 #: Character classes of the histogram, besides white space, SYMBOLS, the bytes beyond the first of each
 #: character, and all other characters.
-CLASSES = ["[A-Z]", "[0-9]", "[.,;:'\"?()-]", "!"]
+CLASSES = ["\\p{Lu}", "\\p{Nd}", "[.,;:'\"?()-]", "!"]
 N_CLASSES = len(CLASSES) + 4
 
 #: Limits of the method: Jensen-Shannon distance (base 2) to the language's character classes and common
 #: words, judged from so many characters and words on.
 CLASS_LIMIT = 0.3
-WORD_LIMIT = 0.31
+WORD_LIMIT = 0.395
 LEAST_CHARS = 300
 LEAST_WORDS = 100
 
@@ -74,22 +76,41 @@ def repeat_words(words: Column) -> Column:
     return let(F.array(hashes), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
 
-def common_counts(words: Column, lang: Column) -> Column:
-    """Counts of the language's common words, and of all other words."""
-    table = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    bins = len(next(iter(COMMON.values())))
-    own = F.coalesce(table[F.coalesce(lang, F.lit(""))], F.array().cast("array<string>"))
-    short = F.filter(words, lambda w: F.length(w) <= max(len(x) for v in COMMON.values() for x in v))
-    places = let(F.array(own), lambda c: F.filter(F.transform(short, lambda w: F.array_position(c, F.lower(w))), lambda p: p > 0))
-    counted = lambda p: F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda k: F.size(F.filter(p, lambda x: x == k)).cast("long"))
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = COMMON) -> DataFrame:
+    """The most common words of each language over all its documents: lang, longest (characters), and parts, the words
+    with their ranks from 1, by hash. Ties go to the lesser word. Words are counted in each task before the shuffle."""
+    words = docs.select(F.col(lang_col).alias("lang"), F.explode(split_words(F.coalesce(F.col(text_col), F.lit("")))).alias("w")).where("lang IS NOT NULL")
+    words = words.groupBy("lang", "w").agg(F.count("*").alias("n")).select("lang", F.lower("w").alias("w"), "n").where(F.col("w").rlike(LETTERS))
+    words = words.groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    ranked = words.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("i") <= top)
+    lists = ranked.groupBy("lang").agg(F.max(F.length("w")).alias("longest"), F.collect_list(F.struct("w", "i")).alias("list"))  # top words each
+    part = lambda k: F.filter("list", lambda x: F.pmod(F.xxhash64(x["w"]), F.lit(PARTS)) == k)
+    return lists.select("lang", "longest", F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), part).alias("parts"))
+
+
+def common_counts(words: Column, parts: Column, longest: Column) -> Column:
+    """Counts of the language's common words, and of all other words. Without a list, all are others."""
+
+    def rank(w: Column) -> Column:
+        same = F.filter(F.get(parts, F.pmod(F.xxhash64(w), F.lit(PARTS)).cast("int")), lambda x: x["w"] == w)
+        return F.coalesce(F.get(same, F.lit(0))["i"], F.lit(0))
+
+    short = F.filter(words, lambda w: F.length(w) <= F.coalesce(longest, F.lit(0)))
+    places = F.filter(F.transform(F.transform(short, lambda w: F.lower(w)), rank), lambda p: p > 0)
+    counted = lambda p: F.transform(F.sequence(F.lit(1), F.lit(COMMON)), lambda k: F.size(F.filter(p, lambda x: x == k)).cast("long"))
     return let(F.array(places), lambda p: F.concat(counted(p), F.array((F.size(words) - F.size(p)).cast("long"))))
 
 
+def sent(languages: DataFrame) -> DataFrame:
+    """A table of a row a language, with a broadcast hint if it is checked to be small."""
+    return F.broadcast(languages) if languages.count() <= SENT_LANGUAGES else languages
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, th, lang, the base counts, and the histograms classes and common."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"), F.col(lang_col).alias("lang"), text.alias("text"))
-    rows = rows.withColumn("words", split_words(F.col("text")))
+    rows = rows.join(sent(cut(common_words(docs, text_col, lang_col))), "lang", "left").withColumn("words", split_words(F.col("text")))
     rows = rows.select(
         "id",
         "th",
@@ -102,7 +123,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.length("text").cast("long").alias("n_chars"),
         F.octet_length("text").cast("long").alias("n_bytes"),
         F.array(*[F.regexp_count("text", F.lit(c)).cast("long") for c in CLASSES]).alias("counted"),
-        common_counts(F.col("words"), F.col("lang")).alias("common"),
+        common_counts(F.col("words"), F.col("parts"), F.col("longest")).alias("common"),
     )
     known = [F.col("n_chars") - F.col("word_chars"), F.col("n_symbols"), *[F.col("counted")[i] for i in range(len(CLASSES))]]
     rest = F.col("n_chars") - sum(known, start=F.lit(0).cast("long"))
@@ -114,12 +135,12 @@ def base_failed() -> Column:
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """Each language's histograms: the shares of all characters and words of its documents that pass the base. A row for
-    each language of COMMON at most."""
-    rows = rows.where(F.col("lang").isin(*COMMON) & ~base_failed())
-    sizes = {"classes": N_CLASSES, "common": len(next(iter(COMMON.values()))) + 1}
+    """Each language's histograms: the shares of all characters and words of its documents that pass the base, if they
+    are LEAST_DOCS or more."""
+    rows = rows.where(F.col("lang").isNotNull() & ~base_failed())
+    sizes = {"classes": N_CLASSES, "common": COMMON + 1}
     sums = {h: F.array(*[F.sum(F.col(h)[i]) for i in range(n)]) for h, n in sizes.items()}
-    return rows.groupBy("lang").agg(*[shares(sums[h]).alias(f"{h}_ref") for h in sizes])
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), *[shares(sums[h]).alias(f"{h}_ref") for h in sizes]).where(F.col("n") >= LEAST_DOCS).drop("n")
 
 
 def shares(counts: Column) -> Column:
@@ -135,7 +156,8 @@ def js_distance(p: Column, q: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
 
     terms = F.zip_with(p, q, lambda a, b: (part(a, b) + part(b, a)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+    distance = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+    return F.when(p.isNotNull() & q.isNotNull(), distance)
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -143,16 +165,16 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document fails the base with fewer than 10 words, or with more than 20% of its words in repeated
     5-word windows. Others are kept unless a distance is over its limit, for texts long enough to judge
-    (least_chars, least_words). The references are the language's totals over all documents that pass the base;
-    a language without a list of common words, and a null one, has no references: its documents are kept if
-    they pass the base.
+    (least_chars, least_words). The common words of a language are its COMMON most frequent words of letters, and its
+    references the totals over its documents that pass the base. Any language has them that has LEAST_DOCS such
+    documents; those of a rarer language, and without one, are kept if they pass the base.
 
     Returns per row: id, th, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance (null without reference), kept. Null and blank texts have
     zero counts and fail the base.
     """
     rows = cut(features(docs, id_col, text_col, lang_col))
-    rows = rows.join(F.broadcast(cut(references(rows))), "lang", "left")  # four rows
+    rows = rows.join(sent(cut(references(rows))), "lang", "left")
     class_distance = js_distance(shares(F.col("classes")), F.col("classes_ref"))
     word_distance = js_distance(shares(F.col("common")), F.col("common_ref"))
     rows = rows.select(

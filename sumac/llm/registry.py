@@ -14,7 +14,7 @@ from .html import extract
 from .lines import drop_later_runs
 from .mixing import mix
 from .quality import LEAST_GOOD, score, train
-from .quality_rules import CLASS_LIMIT, CLASSES, COMMON, LEAST_CHARS, LEAST_WORDS, N_CLASSES, SYMBOLS, WORD_LIMIT, judge_quality
+from .quality_rules import CLASS_LIMIT, CLASSES, COMMON, LEAST_CHARS, LEAST_DOCS, LEAST_WORDS, LETTERS, N_CLASSES, SYMBOLS, WORD_LIMIT, judge_quality
 from .simhash import near_duplicates
 from .substring import without_repeats
 from .tokens import token_table
@@ -180,11 +180,8 @@ def sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-BINS = len(COMMON["en"]) + 1
+BINS = COMMON + 1
 CLASS_COUNTS = ", ".join(f"len(regexp_extract_all(t, {sql_text(c)}))" for c in CLASSES)
-COMMON_ROWS = ", ".join(f"({sql_text(k)}, {i + 1}, {sql_text(w)})" for k, ws in COMMON.items() for i, w in enumerate(ws))
-
-
 def sql_distance(counts: str, ref: str, n: int) -> str:
     """Jensen-Shannon distance of a list of counts and a list of reference shares, as SQL."""
     p, q = f"({counts}[i] / list_sum({counts}))", f"{ref}[i]"
@@ -205,9 +202,9 @@ def sql_distance(counts: str, ref: str, n: int) -> str:
       SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, {sql_text(SYMBOLS)})) AS n_symbols,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, length(t) AS n_chars, strlen(t) AS n_bytes, [{CLASS_COUNTS}] AS k
       FROM d),
-    fixed(lang, i, word) AS (VALUES {COMMON_ROWS}),
-    hits AS (
-      SELECT doc_id, i, count(*) AS n FROM (SELECT doc_id, lang, lower(unnest(w)) AS word FROM d) JOIN fixed USING (lang, word) GROUP BY doc_id, i),
+    said AS (SELECT doc_id, lang, lower(unnest(w)) AS word FROM d WHERE lang IS NOT NULL),
+    often AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS i FROM said WHERE regexp_matches(word, {sql_text(LETTERS)}) GROUP BY lang, word QUALIFY i <= {COMMON}),
+    hits AS (SELECT doc_id, i, count(*) AS n FROM said JOIN often USING (lang, word) GROUP BY doc_id, i),
     found AS (SELECT doc_id, map(list(i), list(n)) AS m, sum(n) AS n FROM hits GROUP BY doc_id),
     h AS (
       SELECT f.*, coalesce(rep.n, 0) AS n_repeat_words, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
@@ -216,7 +213,7 @@ def sql_distance(counts: str, ref: str, n: int) -> str:
       FROM f LEFT JOIN rep USING (doc_id) LEFT JOIN found USING (doc_id)),
     sums AS (
       SELECT lang, [{", ".join(f"sum(classes[{i}])" for i in range(1, N_CLASSES + 1))}] AS a, [{", ".join(f"sum(common[{i}])" for i in range(1, BINS + 1))}] AS b
-      FROM h WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lang IN ({", ".join(map(sql_text, COMMON))}) GROUP BY lang),
+      FROM h WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LEAST_DOCS}),
     refs AS (SELECT lang, list_transform(a, lambda x: x / list_sum(a)) AS ra, list_transform(b, lambda x: x / list_sum(b)) AS rb FROM sums),
     j AS (
       SELECT h.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
