@@ -278,6 +278,8 @@ def weights_of(left: list[Node], right: list[Node], known: dict[tuple[int, int],
 
 
 def texts(n: Node) -> set[str]:
+    if not n.children:
+        return {n.text} if n.kind == "#text" else set()
     return {x.text for x in in_order(n) if x.kind == "#text"}
 
 
@@ -289,7 +291,10 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + 4 * a.size))
 
     def whole(x: Node, y: Node) -> None:
-        out.extend(zip(in_order(x), in_order(y)))
+        if x.children:
+            out.extend(zip(in_order(x), in_order(y)))
+        else:
+            out.append((x, y))
 
     stack = [(a, b)] if a.kind == b.kind else []
     while stack:
