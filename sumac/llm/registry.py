@@ -13,12 +13,15 @@ from .decontaminate import contamination, hit_words
 from .html import extract
 from .lines import drop_later_runs
 from .mixing import mix
+from .mtree import search
+from .phrases import collocations
 from .quality import LEAST_GOOD, score, train
 from .quality_rules import CLASS_LIMIT, CLASSES, COMMON, LEAST_CHARS, LEAST_WORDS, N_CLASSES, SYMBOLS, WORD_LIMIT, judge_quality
 from .simhash import near_duplicates
 from .substring import without_repeats
 from .tokens import token_table
 from .urls import judge, sites_named
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -259,3 +262,51 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drop_later_runs(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query(
+    "op11_exact_top_k",
+    """
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(range(1, len(e.x) + 1), lambda i: e.x[i] * q.x[i]))::BIGINT AS score
+          FROM e JOIN e q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
+    SELECT query_id, rank::INT AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query(
+    "op13_phrase_collocations",
+    r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]') AS ps FROM documents),
+    pieces AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM (SELECT lang, unnest(ps) AS p FROM d)),
+    total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+    grams AS (
+      SELECT lang, m, array_to_string(w[j : j + m - 1], ' ') AS g
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS j FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+    f AS (SELECT lang, m, g, count(*)::HUGEINT AS a FROM grams GROUP BY lang, m, g HAVING count(*) >= 100),
+    c AS (SELECT lang, m, g, a, string_split(g, ' ') AS w FROM f WHERE m > 1),
+    cuts AS (SELECT lang, m, g, a, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 : m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+    s AS (SELECT cuts.*, l.a AS l, r.a AS r, n, (1000 * cuts.a * n) // (l.a * r.a) AS score
+          FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = x JOIN f r ON r.lang = cuts.lang AND r.g = y JOIN total ON total.lang = cuts.lang),
+    low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM s) WHERE o = 1),
+    inside AS (SELECT DISTINCT lang, array_to_string(w[j : j + q - 1], ' ') AS g, a
+               FROM (SELECT lang, m, w, a, q, unnest(range(1, m - q + 2)) AS j FROM c, (SELECT unnest(range(2, 5)) AS q) WHERE q < m)),
+    kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = low.lang AND i.g = low.g AND i.a >= low.a))
+    SELECT lang, rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM kept) WHERE rank <= 2000
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
