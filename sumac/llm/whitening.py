@@ -45,36 +45,36 @@ def products(d: np.ndarray) -> np.ndarray:
     return total
 
 
+def added(parts: DataFrame, k: int, n: int) -> np.ndarray:
+    """Rows 0 to k of numbered parts (i, s: n + 1 numbers), those with one number added up."""
+    total = parts.groupBy("i").agg(*[F.sum(F.get("s", F.lit(j))).alias(f"s{j}") for j in range(n + 1)])
+    out = np.zeros((k + 1, n + 1), object)
+    for r in total.toLocalIterator():  # k + 1 rows
+        out[r["i"]] = r[1:]
+    return out
+
+
 def sums(rows: DataFrame, n: int, centre: list[int], squares: bool) -> tuple[int, list[int], np.ndarray]:
     """Number of rows, exact sums of x - centre by dimension, and of their outer products if asked for.
 
-    Each task gives its sums once and Spark adds them up; the driver gets one number for each pair of dimensions.
+    A task gives a row of sums for each dimension, once, and Spark adds them up; the driver gets one number for each pair of dimensions.
     """
     c = np.array(centre, np.int64)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, first = 0, np.zeros(n, object)
-        second = np.zeros((n, n), object)
+        s = np.zeros((n + 1 if squares else 1, n + 1), object)
         for b in batches:
             d = matrix(b.column(0), n) - c
-            count += len(d)
-            first += d.sum(0, dtype=object) if np.abs(d).max(initial=0) >> 40 else d.sum(0).astype(object)
+            s[0, 0] += len(d)
+            s[0, 1:] += d.sum(0, dtype=object) if np.abs(d).max(initial=0) >> 40 else d.sum(0).astype(object)
             if squares:
-                second += products(d)
-        cells = [(-1, -1, count), *((-1, j, first[j]) for j in range(n))]
-        if squares:
-            cells += [(i, j, second[i, j]) for i in range(n) for j in range(i, n)]
-        i, j, s = zip(*cells)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array([Decimal(int(x)) for x in s], pa.decimal128(38, 0))], names=["i", "j", "s"])
-
-    parts = rows.select("x").mapInArrow(task, "i int, j int, s decimal(38,0)")
-    found = {(r["i"], r["j"]): int(r["s"]) for r in parts.groupBy("i", "j").agg(F.sum("s").alias("s")).toLocalIterator()}
-    second = np.zeros((n, n), object)
-    if squares:
-        for (i, j), s in found.items():
-            if i >= 0:
-                second[i, j] = second[j, i] = s
-    return found.get((-1, -1), 0), [found.get((-1, j), 0) for j in range(n)], second
+                s[1:, 1:] += products(d)
+        numbers = pa.array([[Decimal(int(x)) for x in row] for row in s], pa.list_(pa.decimal128(38, 0)))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(s)), pa.int32()), numbers], names=["i", "s"])
+
+    total = added(rows.select("x").mapInArrow(task, "i int, s array<decimal(38,0)>"), n if squares else 0, n)
+    whole = np.array([[int(x) for x in row] for row in total], object)
+    return whole[0, 0], whole[0, 1:].tolist(), whole[1:, 1:]
 
 
 def groups_of(values: np.ndarray, width: float) -> list[np.ndarray]:
@@ -184,17 +184,11 @@ def identity_error(distinct: DataFrame, n: int, model: Model) -> float:
             w = model.project(matrix(b.column(0), n) - np.array(model.centre, np.int64))
             first += w.sum(0)
             second += w.T @ w
-        i, j = np.divmod(np.arange(k * k), k)
-        i, j = np.concatenate([np.full(k, -1), i]), np.concatenate([np.arange(k), j])
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(np.concatenate([first, second.ravel()]))], names=["i", "j", "s"])
-
-    parts = distinct.select("x").mapInArrow(task, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    mean, cov = np.zeros(k), np.zeros((k, k))
-    for r in parts.toLocalIterator():
-        if r["i"] < 0:
-            mean[r["j"]] = r["s"] / model.n
-        else:
-            cov[r["i"], r["j"]] = r["s"] / model.n
+        s = np.vstack([np.append(0.0, first), np.column_stack([np.zeros(k), second])])
+        yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array(s.tolist(), pa.list_(pa.float64()))], names=["i", "s"])
+
+    total = added(distinct.select("x").mapInArrow(task, "i int, s array<double>"), k, k).astype(float) / model.n
+    mean, cov = total[0, 1:], total[1:, 1:]
     return float(np.abs(cov - np.outer(mean, mean) - np.eye(k)).max())  # the rows are centred; mean holds what rounding left
 
 
