@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +20,17 @@ LONGEST = 5
 LEAST = 100
 BEST = 2000
 #: Bytes of text that make one shard: its n-grams are counted, sorted and put into one automaton for each range of prefixes.
-SHARD = 24 << 20
+SHARD = 16 << 20
 #: Buckets of the counting filter: one for so many bytes of text, as a power of two between these.
 BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 256, 16, 28
+#: Up to so many bits a task adds up its counts in a table of all buckets; beyond, it sorts those that a shard has.
+TABLE_BITS = 22
 #: Buckets of a slice of the filter: a place in it is two bytes.
 SLICE = 1 << 16
 #: Bytes of text for which there is one range of prefixes at least.
 BYTES_A_RANGE = 256 << 20
+#: Widths of n-grams that the filters count: the first two in one pass, the last in another.
+WIDTHS = (1, 2, 3)
 #: Parts over which the first rows of a language are chosen before they meet.
 SALTS = 64
 
@@ -63,6 +69,22 @@ class Words:
         """Whether a word and the next are in one piece."""
         return self.piece[:-1] == self.piece[1:]
 
+    def links(self, filters: list[Filter]) -> list[np.ndarray]:
+        """Where a word, a pair of words, a triple starts that may be frequent: by the filters so far, and the places that the next one is to judge. A filter's
+        hash of n words is made from that of n - 1, and n words can only be frequent if both n - 1 in them are."""
+        h = self.hashes[self.ids]
+        at, out = np.ones(len(h), bool), []
+        for n in range(1, WIDTHS[-1] + 1):
+            if n > 1:
+                h = mixed(h[: len(h) - 1], self.hashes[self.ids[n - 1 :]])
+                at = at[:-1] & at[1:] & (self.pairs() if n == 2 else True)
+            done = next((f for f in filters if n in f.widths), None)
+            if done is not None:
+                at = at.copy()
+                at[at] = done.passes(h[at])
+            out.append((h, at))
+        return out
+
 
 def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """A hash of pairs of hashes."""
@@ -90,44 +112,67 @@ def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
     yield from held.items()
 
 
+class Filter(NamedTuple):
+    """A bitmap of the buckets in which n-grams of these widths may be frequent."""
+
+    bits: int
+    widths: tuple[int, ...]
+    bitmap: np.ndarray
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        at = bucket(h, self.bits)
+        return (self.bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def packed(buckets: np.ndarray, counts: np.ndarray) -> bytes:
     """Counts of a slice, 255 at most, as whichever is shorter: one byte for each bucket, or place and count of those that have any."""
     c = np.minimum(counts, 255).astype(np.uint8)
     if 3 * len(c) < SLICE:
-        return buckets.astype(np.uint16).tobytes() + c.tobytes()
+        return zlib.compress(buckets.astype(np.uint16).tobytes() + c.tobytes(), 1)
     dense = np.zeros(SLICE, np.uint8)
     dense[buckets] = c
-    return dense.tobytes()
+    return zlib.compress(dense.tobytes(), 1)
 
 
-def counting_filter(rows: DataFrame, bits: int, least: int) -> tuple[dict[str, int], np.ndarray]:
-    """Words of each language, and a bitmap of the buckets whose words and pairs of words come least times or more together.
+def counting_filter(rows: DataFrame, bits: int, least: int, widths: tuple[int, ...], before: list[Filter]) -> tuple[dict[str, int], Filter]:
+    """Words of each language, and the filter of the buckets whose n-grams come least times or more together.
 
-    No word or pair that comes least times can lie in another bucket, so what the bitmap turns down is no part of a candidate; what it lets pass is
+    No n-gram that comes least times can lie in another bucket, so what the bitmap turns down is no part of a candidate; what it lets pass is
     counted exactly later. The bitmap has 2**bits bits (32 MB at MOST_BITS) at any input, which bounds what the driver holds and sends.
     """
-    n_slices = max(1, (1 << bits) // SLICE)
+    least = min(least, 255)  # where counts stop
+    n_slices = (1 << bits) // SLICE
+    schema = "slice int, n long, data binary"
+
+    def row(k: int, n: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["slice", "n", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, np.uint8) if bits <= TABLE_BITS else None
+        words: dict[str, int] = defaultdict(int)
         for lang, texts in shards(batches):
             w = Words(lang, texts)
-            h = w.hashes[w.ids]
-            both = mixed(h[:-1], h[1:])[w.pairs()] if len(h) > 1 else h[:0]
-            found, counts = np.unique(np.concatenate([bucket(h, bits), bucket(both, bits)]), return_counts=True)
-            ends = np.searchsorted(found, np.arange(n_slices + 1) * SLICE)
-            every = [(k, packed(found[a:b] - k * SLICE, counts[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
-            slices, data = zip((-1, lang.encode("utf-8", "surrogatepass")), *every)
-            n = np.zeros(len(slices), np.int64)
-            n[0] = len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(n), pa.array(data, pa.binary())], names=["slice", "n", "data"])
+            words[lang] += len(w.ids)
+            links = w.links(before)
+            of = np.concatenate([bucket(links[n - 1][0][links[n - 1][1]], bits) for n in widths])
+            if table is not None:
+                table[:] = np.minimum(np.bincount(of, minlength=1 << bits) + table, 255)
+            else:
+                found, counts = np.unique(of, return_counts=True)
+                ends = np.searchsorted(found, np.arange(n_slices + 1) * SLICE)
+                yield from (row(k, 0, packed(found[a:b] - k * SLICE, counts[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a)
+        if table is not None:
+            for k in range(n_slices):
+                part = table[k * SLICE : (k + 1) * SLICE]
+                at = np.flatnonzero(part)
+                if len(at):
+                    yield row(k, 0, packed(at, part[at]))
+        for lang, n in words.items():
+            yield row(-1, n, lang.encode("utf-8", "surrogatepass"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(SLICE, np.int32)
         words: dict[bytes, int] = defaultdict(int)
-
-        def row(k: int, n: int, data: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["slice", "n", "data"])
-
         for b in batches:
             for k, n, data in zip(*(c.to_pylist() for c in b.columns)):
                 if k < 0:
@@ -137,6 +182,7 @@ def counting_filter(rows: DataFrame, bits: int, least: int) -> tuple[dict[str, i
                     if now is not None:
                         yield row(now, 0, np.packbits(total >= least).tobytes())
                     now, total = k, np.zeros(SLICE, np.int32)
+                data = zlib.decompress(data)
                 if len(data) == SLICE:
                     total += np.frombuffer(data, np.uint8)
                 else:
@@ -148,7 +194,6 @@ def counting_filter(rows: DataFrame, bits: int, least: int) -> tuple[dict[str, i
         for data, n in words.items():
             yield row(-1, n, data)
 
-    schema = "slice int, n long, data binary"
     parts = rows.mapInArrow(count, schema).repartition(partitions(rows, n_slices), "slice").sortWithinPartitions("slice")
     bitmap = np.zeros((n_slices, SLICE // 8), np.uint8)
     n_words: dict[str, int] = defaultdict(int)
@@ -157,44 +202,37 @@ def counting_filter(rows: DataFrame, bits: int, least: int) -> tuple[dict[str, i
             n_words[bytes(r["data"]).decode("utf-8", "surrogatepass")] += r["n"]
         else:
             bitmap[r["slice"]] = np.frombuffer(bytes(r["data"]), np.uint8)
-    return dict(n_words), bitmap.ravel()
+    return dict(n_words), Filter(bits, widths, bitmap.ravel())
 
 
 def partitions(df: DataFrame, most: int) -> int:
     return min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def passes(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
-
-def grams(w: Words, bitmap: np.ndarray, bits: int, longest: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Sorted labels, and the n-grams of 1 to longest words of which every word and pair passes the filter: rows of places in the labels (-1 behind the
-    end), with their counts."""
-    fine = passes(bitmap, bucket(w.hashes, bits))
-    order = sorted(np.flatnonzero(fine).tolist(), key=w.words.__getitem__)
+def grams(w: Words, filters: list[Filter], longest: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Sorted labels, and the n-grams of 1 to longest words of which every word, pair and triple passes the filters: rows of places in the labels (-1 behind
+    the end), with their counts."""
+    links = [at for _, at in w.links(filters)]
+    order = sorted(np.unique(w.ids[links[0]]).tolist(), key=w.words.__getitem__)
     labels = [w.words[i] for i in order]
     rank = np.full(len(w.words), -1, np.int64)
     rank[order] = np.arange(len(order))
     ids = rank[w.ids]
-    good = ids >= 0
-    found = [(u[:, None], c) for u, c in [np.unique(ids[good], return_counts=True)]]
-    if len(ids) > 1:
-        at = np.flatnonzero(w.pairs() & good[:-1] & good[1:])
-        h = w.hashes[w.ids]
-        at = at[passes(bitmap, bucket(mixed(h[at], h[at + 1]), bits))]
-        linked = np.zeros(len(ids), bool)  # a word and the next are a pair that may be frequent
-        linked[at] = True
-        key = ids.copy()  # of the n-gram that starts here
-        for n in range(2, longest + 1):
-            at = at[linked[at + n - 2]] if n > 2 else at
-            if not len(at):
-                break
-            u, first, inverse, c = np.unique(key[at] * len(labels) + ids[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
-            found.append((ids[at[first][:, None] + np.arange(n)], c))
-            key[at] = inverse
-    size = sum(len(c) for _, c in found)
-    table, counts = np.full((size, longest), -1, np.int64), np.concatenate([c for _, c in found])
+    u, c = np.unique(ids[links[0]], return_counts=True)
+    found = [(u[:, None], c)]
+    key = ids.copy()  # of the n-gram that starts here
+    at = np.flatnonzero(links[0])
+    for n in range(2, longest + 1):
+        last = links[min(n, len(links)) - 1]  # what the end of an n-gram has to pass
+        start = at + n - min(n, len(links))
+        fits = start < len(last)
+        at = at[fits][last[start[fits]]]
+        if not len(at):
+            break
+        u, first, inverse, c = np.unique(key[at] * len(labels) + ids[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
+        found.append((ids[at[first][:, None] + np.arange(n)], c))
+        key[at] = inverse
+    table, counts = np.full((sum(len(c) for _, c in found), longest), -1, np.int64), np.concatenate([c for _, c in found])
     start = 0
     for t, c in found:
         table[start : start + len(c), : t.shape[1]] = t
@@ -215,13 +253,13 @@ def range_of(lang: str, words: tuple[bytes, ...], n_ranges: int) -> int:
     return int(prefix_range(hashes, np.array([[0, 1 if len(words) > 1 else -1]]), n_ranges)[0])
 
 
-def shard_automata(rows: DataFrame, bitmap: np.ndarray, bits: int, n_ranges: int, longest: int) -> DataFrame:
+def shard_automata(rows: DataFrame, filters: list[Filter], n_ranges: int, longest: int) -> DataFrame:
     """range, lang, data: of each shard an automaton for each range of prefixes and language, built from the shard's sorted n-grams."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in shards(batches):
             w = Words(lang, texts)
-            labels, table, counts = grams(w, bitmap, bits, longest)
+            labels, table, counts = grams(w, filters, longest)
             if not len(counts):
                 continue
             by_word = dict(zip(w.words, w.hashes.tolist()))
@@ -329,7 +367,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     Words, pieces, counts, cuts and ties are those of the result contract (README). A null text is empty and a null language `und`; a language without a
     candidate has no row, and an empty table none. Rows that repeat count again. Counts are exact and of any size; texts are never cut.
 
-    1. Hashed counts of words and pairs of words, added up over all rows, tell which cannot come `least` times.
+    1. Hashed counts of words and pairs of words, added up over all rows, tell which cannot come `least` times; then those of three words whose pairs may.
     2. Each shard counts its n-grams of what is left, sorts them and builds an automaton for each range of prefixes (written once).
     3. Each range unites its automata and keeps the n-grams that come `least` times or more: candidates, and all parts that any can have.
     4. Ranges ask one another for the counts of parts, as automata that are composed with the counts.
@@ -339,14 +377,15 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_BUCKET).bit_length()))
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BYTES_A_RANGE)
-    n_words, bitmap = counting_filter(rows, bits, least)
+    n_words, single = counting_filter(rows, bits, least, WIDTHS[:2], [])
+    _, triple = counting_filter(rows, bits, least, WIDTHS[2:], [single])
 
     def written(df: DataFrame, name: str) -> DataFrame:
         path = new_path(spark, name)
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    parts = written(shard_automata(rows, bitmap, bits, n_ranges, longest), "grams")
+    parts = written(shard_automata(rows, [single, triple], n_ranges, longest), "grams")
     counts = written(united(parts, n_ranges, least), "counts")
     answers = parts_counted(parts_asked(counts, n_ranges), counts)
     every = written(scored(counts, answers, n_words), "phrases")

@@ -198,14 +198,15 @@ def plain_phrases(rows, least, best, longest=5):
     return Counter(result)
 
 
-@pytest.mark.parametrize("shard, bits", [(24 << 20, 16), (2000, 16), (2000, 17)])
-def test_collocations(spark, monkeypatch, shard, bits):
-    """One shard a task and many; a filter of one slice and of two."""
+@pytest.mark.parametrize("shard, bits, table", [(24 << 20, 16, 22), (2000, 17, 22), (2000, 17, 16)])
+def test_collocations(spark, monkeypatch, shard, bits, table):
+    """One shard a task and many; a filter of one slice and of two, added up in tables or sorted."""
+    monkeypatch.setattr(phrases, "TABLE_BITS", table)
     monkeypatch.setattr(phrases, "SHARD", shard)
     monkeypatch.setattr(phrases, "LEAST_BITS", bits)
     rows = made_texts()
     frame = spark.createDataFrame([(t, lang, i, "c", "c", "c", "c") for i, (lang, t) in enumerate(rows)], "text string, lang string, n int, phrase string, a string, score string, range string").repartition(4)
-    for least, best in ((20, 2000), (5, 7)):
+    for least, best in ((20, 2000), (5, 7), (300, 50)):
         got = Counter(map(tuple, collocations(frame, least=least, best=best).collect()))
         assert got == plain_phrases(rows, least, best) and got
 
@@ -217,13 +218,15 @@ def test_collocations_of_nothing(spark):
 
 
 def test_filter_turns_down_nothing_frequent():
-    """Whatever the buckets: n-grams that come often are all counted, exactly."""
+    """Whatever the buckets: n-grams whose words, pairs and triples pass are all counted, exactly."""
     w = phrases.Words("en", [b"a b c. a b c! a b d", b"x a b c"])
-    full = np.full(1 << 13, 255, np.uint8)
-    labels, table, counts = phrases.grams(w, full, 16, 5)
-    got = {tuple(labels[i] for i in row if i >= 0): c for row, c in zip(table.tolist(), counts.tolist())}
-    assert got[(b"a", b"b", b"c")] == 3 and got[(b"x", b"a", b"b", b"c")] == 1 and (b"c", b"a") not in got
-    assert phrases.grams(w, np.zeros(1 << 13, np.uint8), 16, 5)[2].size == 0
+    full, none = np.full(1 << 13, 255, np.uint8), np.zeros(1 << 13, np.uint8)
+    filters = lambda a, b: [phrases.Filter(16, (1, 2), a), phrases.Filter(16, (3,), b)]
+    counted = lambda fs: {tuple(labels[i] for i in row if i >= 0): c for labels, table, counts in [phrases.grams(w, fs, 5)] for row, c in zip(table.tolist(), counts.tolist())}
+    got = counted(filters(full, full))
+    assert got[(b"a", b"b", b"c")] == 3 and got[(b"x", b"a", b"b", b"c")] == 1 and (b"c", b"a") not in got and len(got) == 13
+    assert max(map(len, counted(filters(full, none)))) == 2
+    assert not counted(filters(none, none))
 
 
 def test_automata():
