@@ -19,7 +19,7 @@ SCALE = 256
 #: Distinct vectors of a tree, about: a cell with more is dealt into several by hash.
 TREE = 4096
 #: Entries of a leaf page, and of an inner one.
-LEAF, FAN = 64, 16
+LEAF, FAN = 256, 16
 #: Cells into which all vectors are dealt, by the nearest of as many sampled ones: what the driver sends of cells is bounded by it.
 CELLS = 4096
 #: Queries that one task asks one tree at once.
@@ -278,7 +278,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     least = F.when(F.size("best") > k, F.element_at("best", -1)["score"])
     more = routed(queries.join(first.select("q", least.alias("least")), "q"), cells, pivots, space, n)
     more = more.withColumn("i", F.explode(F.sequence(F.lit(0), n_trees - 1))).withColumn("to", tree_of(F.col("i"))).where(F.col("to") != F.col("tree"))
-    rest = asked(pages, more.select(F.col("to").alias("tree"), "q", "x", "least", F.lit(False).alias("home")), count, task)
+    rest = cut(asked(pages, more.select(F.col("to").alias("tree"), "q", "x", "least", F.lit(False).alias("home")), count, task))
     found = first.unionByName(rest)
     spent = found.groupBy("q").agg(F.sum("computed").alias("computed"))
     entries = found.select("q", F.explode("best").alias("e")).select("q", "e.*")
