@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(module: str) -> None:
+    """Send a module's functions to the executors by value, so they need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Without one, a local session gets a temporary folder (tests), and a cluster an error."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -37,3 +44,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, by: str, order: str) -> str:
+    """The name of a table with df's rows, dealt into buckets by one column and sorted in each by it and another: groups of the column
+    meet without an exchange. Long columns of whole numbers are delta-coded by the file format."""
+    spark = df.sparkSession
+    name = f"sumac_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, by).sortBy(by, order).option("path", new_folder(spark)).option("parquet.writer.version", "v2").format("parquet").saveAsTable(name)
+    return name

@@ -18,6 +18,7 @@ from ..functions.shared import cut
 from . import aggregates as A
 from . import coverage as C
 from . import extraction as X
+from . import lexical as L
 from . import predicates as P
 from . import retrieval as R
 from .evidence import eligible_counts
@@ -44,7 +45,7 @@ def from_retrieved(df: DataFrame, queries: list[A.Query], top: DataFrame, again:
 
 
 def lexical(df: DataFrame, queries: list[A.Query], k: int) -> DataFrame:
-    return R.bm25_top(R.bm25_index(R.render(df), "record_id", "text"), questions(df, queries), k)
+    return L.bm25_top(L.bm25_index(R.render(df), "record_id", "text"), questions(df, queries), k)
 
 
 def direct_bm25(df: DataFrame, queries: list[A.Query], k: int = 20, top: DataFrame | None = None) -> DataFrame:

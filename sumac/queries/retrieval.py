@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extraction as X
+from ..operators import lexical as L
 from ..operators import retrieval as R
 from ..operators.records import records
 from .answers import WITH
@@ -69,11 +70,11 @@ BM25 = bm25_sql()
 
 @query("r05_bm25_index", BM25 + "SELECT term, n, ROUND(idf, 6) AS idf FROM idf")
 def index(spark, sf_dir):
-    return R.bm25_index(docs(spark, sf_dir), "doc_id", "text")["df"].select("term", "n", F.round("idf", 6).alias("idf"))
+    return L.bm25_index(docs(spark, sf_dir), "doc_id", "text").df.select("term", "n", F.round("idf", 6).alias("idf"))
 
 
 def top(spark, sf_dir, k=10):
-    return R.bm25_top(R.bm25_index(docs(spark, sf_dir), "doc_id", "text"), asked(spark, sf_dir), k)
+    return L.bm25_top(L.bm25_index(docs(spark, sf_dir), "doc_id", "text"), asked(spark, sf_dir), k)
 
 
 @query("r06_bm25_top", BM25 + "SELECT query_id, unit, ROUND(score, 5) AS score, rank FROM top")
@@ -85,7 +86,7 @@ def bm25(spark, sf_dir):
 def bm25_filtered(spark, sf_dir):
     d = docs(spark, sf_dir)
     units = d.where("lang = 'en'").select(F.col("doc_id").alias("unit"))
-    return R.bm25_top(R.bm25_index(d, "doc_id", "text", ["source"]), asked(spark, sf_dir), 10, units=units).withColumn("score", F.round("score", 5))
+    return L.bm25_top(L.bm25_index(d, "doc_id", "text", ["source"]), asked(spark, sf_dir), 10, units=units).withColumn("score", F.round("score", 5))
 
 
 @query(

@@ -3,13 +3,14 @@
 import json
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from sumac.operators import aggregates as A
-from sumac.operators import attribution, corpus, coverage, extraction, faults, retrieval, runs, stats
+from sumac.operators import attribution, corpus, coverage, extraction, faults, lexical, retrieval, runs, stats
 from sumac.operators import predicates as P
 from sumac.plans import templates, workload
 from sumac.sources import ingest, readers, sinks
@@ -158,7 +159,7 @@ def test_samples(spark, made):
 def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "red apple"), (2, "red red car"), (3, "blue car"), (4, ""), (5, None)], "doc long, text string")
     asked = spark.createDataFrame([(1, "red apple"), (2, ""), (3, "nothing here")], "query_id long, text string")
-    top = retrieval.bm25_top(retrieval.bm25_index(docs, "doc", "text"), asked, 3).collect()
+    top = lexical.bm25_top(lexical.bm25_index(docs, "doc", "text"), asked, 3).collect()
     by = {q: [(r.unit, r.score) for r in sorted(top, key=lambda r: r.rank) if r.query_id == q] for q in (1, 2, 3)}
     assert by[1][0][0] == 1 and by[1][0][1] > by[1][1][1] and [u for u, _ in by[2]] == [1, 2, 3] and {s for _, s in by[3]} == {0.0}
     cand = spark.createDataFrame([(1, "a", 1, 60), (1, "b", 2, 50), (1, "c", 3, 40), (1, "d", 4, 1)], "query_id long, unit string, rank int, tokens long")
@@ -174,6 +175,66 @@ def test_retrieval(spark):
     assert sum(x * x for x in vec) == pytest.approx(1) and len(vec) == 16
 
 
+def plain_bm25(units, asked, k, allowed=None):
+    """Every unit scored for every query, by the formula."""
+    tokens = lambda t: [x for x in re.split("[^a-z0-9]+", (t or "").lower()) if len(x) > 1]
+    docs: dict = {}
+    for u, t in units:
+        docs.setdefault(u, Counter()).update(tokens(t))
+    n, mean = len(docs), sum(c.total() for c in docs.values()) / len(docs)
+    df = Counter(t for c in docs.values() for t in c)
+    raw = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
+    low = 0.25 * sum(raw.values()) / len(raw)
+    out = {}
+    for q, text in asked:
+        scores = []
+        for u, c in docs.items():
+            if allowed is None or u in allowed:
+                s = sum(times * (low if raw[t] < 0 else raw[t]) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * c.total() / mean)) for t, times in Counter(tokens(text)).items() if c[t])
+                scores.append((-round(s, 9), u))
+        out[q] = [(u, -s) for s, u in sorted(scores)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("size, common", [(4096, 0.0), (16, 0.0), (16, 0.9)])
+def test_bm25_is_that_of_all_pairs(spark, monkeypatch, size, common):
+    """One range and many, ties, repeated units, a filter; with words in most units the mean idf is negative and so are scores."""
+    monkeypatch.setattr(lexical, "RANGE", size)
+    rng = random.Random(4)
+    vocabulary = ["w%d" % i for i in range(300)] if not common else ["aa", "bb", "cc"]
+    line = lambda: " ".join(vocabulary[min(int(rng.expovariate(0.02)), len(vocabulary) - 1)] for _ in range(rng.randint(1, 40)) if not common or rng.random() < common)
+    units = [(i, line()) for i in range(200)] + [(5, "again w1 w2"), (300, None), (301, ""), (302, "w1 w2 w3"), (303, "w1 w2 w3")]
+    asked = [(1, "w1 w2 w3 w3"), (2, "w250 aa"), (3, ""), (4, None), (5, "nothing like it"), (6, line()), (7, "W100 w5! bb")]
+    frame = spark.createDataFrame(units, "unit long, text string").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    index = lexical.bm25_index(frame, "unit", "text")
+    for allowed in (None, set(range(0, 400, 3))):
+        only = None if allowed is None else spark.createDataFrame([(u,) for u in allowed], "unit long")
+        got = {}
+        for r in sorted(lexical.bm25_top(index, queries, 7, units=only).collect(), key=lambda r: r.rank):
+            got.setdefault(r.query_id, []).append((r.unit, round(r.score, 9) + 0.0))
+        want = plain_bm25(units, asked, 7, allowed)
+        assert {q: [(u, round(s, 7)) for u, s in v] for q, v in got.items()} == {q: [(u, round(s, 7) + 0.0) for u, s in v] for q, v in want.items()}
+
+
+def test_bm25_spares_postings(spark, monkeypatch):
+    """Of queries with rare and very common terms less than a third of the postings are scored, and the lists are not exchanged."""
+    monkeypatch.setattr(lexical, "RANGE", 500)
+    rng = random.Random(8)
+    word = lambda: "w%d" % int(1.2 ** rng.uniform(0, 45))
+    units = spark.createDataFrame([(i, f"r{i % 97} " + " ".join(word() for _ in range(30))) for i in range(3000)], "unit long, text string")
+    asked = [(q, f"r{q} r{q + 40} w1 w2 w3 {word()}") for q in range(20)]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    index = lexical.bm25_index(units, "unit", "text")
+    found = lexical.bm25_found(index, queries, 3)
+    scored = found.agg(F.sum("scored")).first()[0]
+    terms = queries.select("query_id", F.explode(retrieval.tokenize(F.col("text"))).alias("term")).distinct()
+    every = index.lists.join(terms, "term").agg(F.sum("n")).first()[0]
+    assert 0 < 3 * scored < every
+    plan = index.lists.groupBy("range").cogroup(index.dl.groupBy("range")).applyInArrow(lambda k, a, b: a, "range int")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_extraction(spark):
     attempts = spark.createDataFrame([("a", 0, False, "x"), ("a", 1, True, "y"), ("b", 0, True, "z"), ("c", 0, False, "n"), ("c", 3, True, "late")], "batch string, attempt int, ok boolean, result string")
     got = {r.batch: (r.result, r.repairs, r.failed) for r in extraction.first_good(attempts).collect()}
