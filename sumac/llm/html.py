@@ -106,8 +106,13 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-def has_heading(n: Node) -> bool:
-    return any(x.tag == "h1" for x in in_order(n))
+def headed(root: Node) -> set[int]:
+    """Which nodes have a heading, by id: one pass over the tree, from below."""
+    found: set[int] = set()
+    for n in reversed(in_order(root)):
+        if n.tag == "h1" or any(id(c) in found for c in n.children):
+            found.add(id(n))
+    return found
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -283,6 +288,15 @@ def texts(n: Node) -> set[str]:
     return {x.text for x in in_order(n) if x.kind == "#text"}
 
 
+def only_pairs(left: list[str], right: list[str]) -> list[tuple[int, int]] | None:
+    """All pairs of one kind, if no kind comes twice on a side and the kinds of both come in one order: then no other pairing has as many nodes, and
+    neither nodes nor texts below need be counted. None otherwise."""
+    where = {k: j for j, k in enumerate(right)}
+    pairs = [(i, where[k]) for i, k in enumerate(left) if k in where]
+    alone = len(set(left)) == len(left) and len(where) == len(right)
+    return pairs if alone and all(p[1] < q[1] for p, q in zip(pairs, pairs[1:])) else None
+
+
 def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the most nodes of two trees that pair up with their kinds, order and parents
     kept, and the pairs. Of pairings of children with as many nodes, one with the most texts in common."""
@@ -312,6 +326,8 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
         if len(left) == len(right) == 1:
             if left[0].kind == right[0].kind:
                 stack.append((left[0], right[0]))
+        elif (only := only_pairs([c.kind for c in left], [c.kind for c in right])) is not None:
+            stack.extend((left[i], right[j]) for i, j in only)
         elif left and right:
             weigh = weights_of(left, right, known)
             where: dict[str, list[int]] = {}
@@ -339,6 +355,7 @@ def content(root: Node, template: set[int], slot: Node | None = None) -> str:
     outermost element that is marked as the content, else the whole page without blocks that are mostly
     links. A header inside the article stays if it has the heading.
     """
+    with_heading = headed(root)
     roots: dict[str, list[Node]] = {"slot": [slot] if slot else [], "article": [], "main": [], "#root": [root]}
 
     stack = [root]
@@ -358,7 +375,7 @@ def content(root: Node, template: set[int], slot: Node | None = None) -> str:
         stack = [top]
         while stack:
             n = stack.pop()
-            if n.dropped or n.header and (whole or not has_heading(n)):
+            if n.dropped or n.header and (whole or id(n) not in with_heading):
                 continue
             if n.kind == "#text":
                 if n.index not in template and not (whole and 2 * n.linked > len(n.text)):
@@ -369,7 +386,7 @@ def content(root: Node, template: set[int], slot: Node | None = None) -> str:
         for n in roots[kind][: None if kind != "main" else 1]:
             read(n, kind == "#root" or kind == "slot" and not (n.main or n.tag == "article"))
         if blocks:
-            if kind == "slot" and not has_heading(slot) and (h := heading_before(root, slot)):
+            if kind == "slot" and id(slot) not in with_heading and (h := heading_before(root, slot)):
                 blocks[:0] = [t.text for t in leaves_below(h) if t.index not in template]
             break
     return " ".join(blocks)

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -188,6 +189,22 @@ def test_deep_and_long_pages(spark):
     html.parse("<x>" * 100_000 + "</y>" * 100_000 + "<i>" * 100_000)
 
 
+def test_nested_pages_take_time_in_proportion(spark):
+    """40,000 headers in one another, and 4,000 unclosed levels of two children each that differ at the bottom: quadratic walks took minutes."""
+    headers = lambda i: page("<article>" + "<header>" * 40_000 + f"<h1>T {i}</h1><p>text {i}</p>")
+    levels = lambda i: page("".join(f"<div><p>level {k}" for k in range(4000)) + f"<div><p>bottom {i}")
+    start = time.perf_counter()
+    root, _ = html.parse(headers(1))
+    assert html.content(root, set()) == "T 1 text 1"
+    a, b = html.parse(levels(1))[0], html.parse(levels(2))[0]
+    n, pairs = html.matching(a, b)
+    assert n == len(pairs) == len(html.in_order(a))
+    assert time.perf_counter() - start < 10
+    rows = [(i, "http://head.example/%d" % i, headers(i)) for i in range(4)] + [(i, "http://levels.example/%d" % i, levels(i)) for i in range(10, 14)]
+    got = {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].endswith(f"text {i}") for i in range(4)) and all(got[i].endswith(f"bottom {i}") for i in range(10, 14))
+
+
 def test_broken_html():
     for text in ("<", "<p", "<p class='a", "a < b & c &amp", "<!-- open", "<script>x", "</p></div>text", "<p>a<p>b</b>", "<" * 5000, "<div>" * 3000 + "deep"):
         root, _ = html.parse(text)
