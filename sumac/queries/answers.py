@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import agree, evidence
 from ..operators import predicates as P
+from ..operators import sketches as S
 from ..operators.records import RECORDS_SQL, records
 from .base import query
 
@@ -267,3 +268,13 @@ def oracles(spark, sf_dir):
     r = o["R"].agg(F.count("*").alias("r"))
     e = o["E"].agg(F.count("price").alias("e"))
     return r.crossJoin(e).crossJoin(o["A"].select(F.col("value").alias("a")))  # single rows
+
+
+@query("a02_distinct_sketches", WITH + "SELECT brand, COUNT(DISTINCT record_id) AS exact, COUNT(DISTINCT date_trunc('month', event_time)) AS parts, TRUE AS close FROM records GROUP BY brand")
+def distinct_sketches(spark, sf_dir):
+    """Sketches by brand and month, united by brand: how many, and whether the estimate is within the stated error of the exact count."""
+    df = records(spark, sf_dir)
+    fine = S.distinct_sketches(df, {"brand": F.col("brand"), "month": F.date_trunc("month", F.col("event_time"))}, "record_id")
+    coarse = S.merged(fine, ["brand"]).join(fine.groupBy("brand").agg(F.count("*").alias("parts")), "brand")
+    exact = df.groupBy("brand").agg(F.count_distinct("record_id").alias("exact"))
+    return coarse.join(exact, "brand").select("brand", "exact", "parts", (F.abs(F.col("estimate") - F.col("exact")) <= S.ERROR * F.col("exact")).alias("close"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sumac.operators import aggregates as A
-from sumac.operators import attribution, corpus, coverage, extraction, faults, lexical, retrieval, runs, stats
+from sumac.operators import attribution, corpus, coverage, extraction, faults, lexical, retrieval, runs, sketches, stats
 from sumac.operators import predicates as P
 from sumac.plans import templates, workload
 from sumac.sources import ingest, readers, sinks
@@ -156,6 +156,20 @@ def test_samples(spark, made):
         assert ids(f(made)) <= ids(made), name
 
 
+def test_distinct_sketches_merge(spark):
+    """Within three standard errors; sketches by day, by week and of all rows at once unite to the same estimate; nulls do not count."""
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 70).alias("day"), F.when(F.col("id") % 5 > 0, F.col("id") % 20_000).alias("v"))
+    exact = {r.g: r.n for r in rows.groupBy("g").agg(F.count_distinct("v").alias("n")).collect()}
+    by_day = sketches.distinct_sketches(rows, {"g": F.col("g"), "day": F.col("day")}, "v")
+    by_week = sketches.merged(by_day.withColumn("week", F.floor(F.col("day") / 7)), ["g", "week"]).drop("estimate")
+    whole = sketches.distinct_sketches(rows, {"g": F.col("g")}, "v")
+    got = [{r.g: r.estimate for r in sketches.merged(x, ["g"]).collect()} for x in (by_day, by_week, whole)]
+    assert got[0] == got[1] == got[2]
+    assert all(abs(x[g] - n) <= sketches.ERROR * n for x in got for g, n in exact.items())
+    few = sketches.merged(sketches.distinct_sketches(rows.where("v < 20"), {"g": F.col("g")}, "v"), ["g"])
+    assert {r.estimate for r in few.collect()} == {16}
+
+
 def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "red apple"), (2, "red red car"), (3, "blue car"), (4, ""), (5, None)], "doc long, text string")
     asked = spark.createDataFrame([(1, "red apple"), (2, ""), (3, "nothing here")], "query_id long, text string")
