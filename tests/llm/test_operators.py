@@ -713,5 +713,5 @@ def test_bloom_has_no_false_negative(spark):
 def test_digests(spark, docs):
     from sumac.llm.registry import QUERIES
 
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert hashlib.sha256(b"").hexdigest() and json
