@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cells as D
 from ..operators import extraction as X
 from ..operators import lexical as L
 from ..operators import retrieval as R
@@ -111,6 +112,14 @@ def dense(spark, sf_dir):
     return R.dense_top(e, q, 10).withColumn("score", F.round("score", 5))
 
 
+@query("r09_dense_cells")
+def dense_cells(spark, sf_dir):
+    """The queries of r09_dense_top by cells: at least nine in ten of its answers (a test)."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return D.cell_top(D.cell_index(e), q, 10).withColumn("score", F.round("score", 5))
+
+
 def candidates(spark, sf_dir):
     return top(spark, sf_dir).join(docs(spark, sf_dir).select(F.col("doc_id").alias("unit"), R.estimate_tokens(F.col("text")).cast("bigint").alias("tokens")), "unit")
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sumac.operators import aggregates as A
-from sumac.operators import attribution, corpus, coverage, extraction, faults, lexical, retrieval, runs, sketches, stats
+from sumac.operators import attribution, cells, corpus, coverage, extraction, faults, lexical, retrieval, runs, sketches, stats
 from sumac.operators import predicates as P
 from sumac.plans import templates, workload
 from sumac.sources import ingest, readers, sinks
@@ -189,6 +189,40 @@ def test_retrieval(spark):
     assert sum(x * x for x in vec) == pytest.approx(1) and len(vec) == 16
 
 
+def near_pairs(df):
+    return {(r.query_id, r.unit) for r in df.collect()}
+
+
+def test_cells_find_nine_in_ten(spark):
+    """Against all pairs: the given vectors, with little structure, and clustered ones, where a small part is enough."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rng = random.Random(4)
+    middles = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(30)]
+    rows = [(i, [x + rng.gauss(0, 0.1) for x in middles[0 if i % 3 == 0 else i % 30]]) for i in range(3000)]  # a third in one place
+    clustered = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for df, most in ((given, 0.8), (clustered, 0.6)):
+        q = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+        index = cells.cell_index(df)
+        want, got = near_pairs(retrieval.dense_top(df, q, 10)), near_pairs(cells.cell_top(index, q, 10))
+        assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+        assert index.share < most and index.rows.count() == df.count()
+        assert near_pairs(cells.cell_top(index, q, 10, share=1.0)) == want
+
+
+def test_cells_of_odd_tables(spark, monkeypatch):
+    """Nulls, other lengths, repeated rows, one row, none; slices of a hot cell; more probes than are sent."""
+    odd = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [0.0, 1.0]), (None, [0.5, 0.5])]
+    df = spark.createDataFrame(odd, "vec_id long, embedding array<double>")
+    q = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).where("vec_id = 6 OR vec_id = 2 OR vec_id = 5")
+    top = lambda d, k=10: [(r.query_id, r.unit, r.score) for r in cells.cell_top(cells.cell_index(d), q, k).orderBy("query_id", "rank").collect()]
+    assert [x for x in top(df) if x[0] == 6] == [(6, 6, 1.0), (6, None, 0.5), (6, 1, 0.0), (6, 1, 0.0)]
+    assert top(df.where("vec_id = 6")) == [(6, 6, 1.0)] and top(df.where("vec_id = 99")) == []
+    monkeypatch.setattr(cells, "SLICE_ROWS", 3)
+    monkeypatch.setattr(cells, "SENT_ROWS", 1)
+    same = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40)], "vec_id long, embedding array<double>")
+    assert [x[1:] for x in top(same, 5)] == [(i, 1.0) for i in (1, 3, 5, 7, 9)]
+
+
 def plain_bm25(units, asked, k, allowed=None):
     """Every unit scored for every query, by the formula."""
     tokens = lambda t: [x for x in re.split("[^a-z0-9]+", (t or "").lower()) if len(x) > 1]
