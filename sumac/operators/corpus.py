@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import normal, uniform
+from ..functions.shared import stored
 from .evidence import fingerprint, table_fingerprint
+from .retrieval import few
+
+#: Samples up to this size are a top-n; larger ones are cut off at a hash that is found by counting.
+TOP_ROWS = 1000
+#: Hex digits by which a round of counting narrows at most, to one of 4,096 parts.
+DIGITS = 3
+#: Rows of a part that are few enough to be sorted by one task.
+PART_ROWS = 10_000
 
 
 def order_key(seed: int, id_col: str = "record_id"):
@@ -16,8 +26,49 @@ def order_key(seed: int, id_col: str = "record_id"):
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(id_col)), 256)
 
 
+def last_kept(keys: DataFrame, wanted: Callable[[Column], Column]) -> DataFrame:
+    """s, h, id: the key of the last row to keep in each stratum, in order of h and id. keys: s, h (hex), id; wanted gives the number
+    to keep from a stratum's count.
+
+    Selection by counting: rows are counted by their hash's next digits, the part that holds the wanted row is counted by further
+    digits, and so on until it is small. No task sees a whole stratum. A null is a stratum; nothing is kept where none is wanted.
+    """
+    keys = stored(keys)
+    part = keys.groupBy("s").agg(F.count("*").alias("m"))
+    part = part.select("s", F.lit("").alias("prefix"), F.least(wanted(F.col("m")), F.col("m")).cast("long").alias("n"), "m").where("n > 0")
+    digits = F.greatest(F.lit(0 if PART_ROWS >= 1024 else 1), F.least(F.lit(DIGITS), F.ceil(F.log(F.col("m") / 1024) / F.log(F.lit(16.0)))))
+
+    def inside(part: DataFrame) -> DataFrame:
+        p = few(part.withColumnRenamed("s", "t"))
+        return keys.join(p, F.col("s").eqNullSafe(F.col("t")) & F.col("h").startswith(F.col("prefix"))).drop("t")
+
+    key, one = F.struct("h", "id"), F.col("lo").eqNullSafe(F.col("hi"))
+    while True:
+        p = F.substr("h", F.lit(1), (F.length("prefix") + digits).cast("int"))
+        counts = inside(part).groupBy("s", "n", p.alias("p")).agg(F.count("*").alias("m"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        w = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows a stratum at most
+        counts = counts.withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
+        part = stored(counts.where("before < n AND n <= before + m").select("s", F.col("p").alias("prefix"), (F.col("n") - F.col("before")).alias("n"), "m", "lo", "hi"))
+        if part.where((F.col("m") > PART_ROWS) & ~one).isEmpty():
+            break
+    keyed = F.sort_array(F.collect_list(key))  # PART_ROWS at most
+    several = inside(part.where(~one)).groupBy("s", "n").agg(keyed.alias("k")).select("s", F.col("k")[F.col("n").cast("int") - 1].alias("k"))
+    return several.unionByName(part.where(one).select("s", F.col("hi").alias("k"))).select("s", "k.*")
+
+
+def up_to(df: DataFrame, by: Column, wanted: Callable[[Column], Column], seed: int, id_col: str = "record_id") -> DataFrame:
+    """df's rows up to the last one kept of their stratum. Rows that share an id are kept together."""
+    keyed = df.withColumns({"__s": by, "__h": order_key(seed, id_col)})
+    cut = few(last_kept(keyed.select(F.col("__s").alias("s"), F.col("__h").alias("h"), F.col(id_col).alias("id")), wanted).toDF("__t", "__last_h", "__last_id"))
+    kept = (F.col("__h") < F.col("__last_h")) | ((F.col("__h") == F.col("__last_h")) & (F.coalesce(F.col(id_col) <= F.col("__last_id"), F.lit(True))))
+    return keyed.join(cut, F.col("__s").eqNullSafe(F.col("__t"))).where(kept).select(*df.columns)
+
+
 def nested_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """The first n records of the seeded shuffle. Samples of the same seed nest. A bounded top-n, no full sort."""
+    """The first n records of the seeded shuffle. Samples of the same seed nest. A bounded top-n, or, for more than TOP_ROWS, all up
+    to a hash found by counting: neither sorts the table."""
+    if n > TOP_ROWS:
+        return up_to(df, F.lit(0), lambda m: F.lit(n), seed)
     return df.withColumn("__h", order_key(seed)).orderBy("__h", "record_id").limit(n).drop("__h")
 
 
@@ -32,15 +83,8 @@ def holdout(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, fraction: float, by: str = "category", seed: int = 42) -> DataFrame:
-    """ceil(fraction * n) records of every stratum. Only a hash band above the fraction is ranked, so a
-    stratum that holds most records costs about its share of the sample."""
-    n = df.groupBy(by).agg(F.count("*").alias("__n"))
-    keyed = df.join(F.broadcast(n) if by == "category" else n, by).withColumn("__h", order_key(seed))
-    # a record whose draw lies this far above the fraction is not among the first ceil(fraction * n)
-    band = fraction + 6 * F.sqrt(F.lit(fraction) / F.col("__n")) + 40 / F.col("__n")
-    near = keyed.where(F.conv(F.substring("__h", 1, 13), 16, 10).cast("double") / float(16**13) <= band)
-    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("__h", "record_id")))
-    return ranked.where(F.col("__r") <= F.ceil(fraction * F.col("__n"))).select(*df.columns)
+    """ceil(fraction * n) records of every stratum, null included: those up to a hash found by counting, however large a stratum is."""
+    return up_to(df, F.col(by), lambda m: F.ceil(fraction * m), seed)
 
 
 def null_heavy(df: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:

@@ -1,5 +1,6 @@
 """Ingest, samples, retrieval, faults, attribution, certificates, statistics and runs on small tables."""
 
+import hashlib
 import json
 import math
 import random
@@ -156,6 +157,32 @@ def test_samples(spark, made):
         assert ids(f(made)) <= ids(made), name
 
 
+@pytest.mark.parametrize("part", [10_000, 3])
+def test_samples_by_counting(spark, monkeypatch, part):
+    """Against a plain sort: a hot stratum, a null one, strata of one row; few rounds and many; more wanted than there are; none."""
+    monkeypatch.setattr(corpus, "PART_ROWS", part)
+    monkeypatch.setattr(corpus, "TOP_ROWS", 10)
+    rows = [(f"r{i}", "hot" if i % 10 else (None if i % 20 else f"c{i % 7}")) for i in range(4000)] + [("alone", "one")]
+    df = spark.createDataFrame(rows, "record_id string, category string").repartition(5).persist()
+    key = lambda x: (hashlib.sha256(f"42|{x[0]}".encode()).hexdigest(), x[0])
+    order = sorted(rows, key=key)
+    assert sorted(map(tuple, corpus.nested_sample(df, 700).collect())) == sorted(order[:700])
+    assert corpus.nested_sample(df, 9999).count() == 4001 and corpus.nested_sample(df.where("FALSE"), 50).count() == 0
+    want = [x for g in {c for _, c in rows} for s in [[x for x in order if x[1] == g]] for x in s[: math.ceil(0.05 * len(s))]]
+    sample = corpus.stratified_sample(df, 0.05)
+    assert Counter(map(tuple, sample.collect())) == Counter(want)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+    assert corpus.stratified_sample(df, 0.0).count() == 0
+
+
+def test_rows_of_one_id_stay_together(spark, monkeypatch):
+    """Also where the part cannot become small because all its rows have one id."""
+    monkeypatch.setattr(corpus, "PART_ROWS", 3)
+    df = spark.createDataFrame([("same", "a")] * 20 + [("other", "a")], "record_id string, category string")
+    assert corpus.stratified_sample(df, 0.01).groupBy("record_id").count().collect() in ([("same", 20)], [("other", 1)])
+
+
 def test_distinct_sketches_merge(spark):
     """Within three standard errors; sketches by day, by week and of all rows at once unite to the same estimate; nulls do not count."""
     rows = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 70).alias("day"), F.when(F.col("id") % 5 > 0, F.col("id") % 20_000).alias("v"))
