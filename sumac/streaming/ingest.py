@@ -1,14 +1,24 @@
-"""Incremental ingest: a file stream of raw lines into canonical tables."""
+"""Incremental ingest: a file stream of raw lines into canonical tables, with the accepted ids as keyed state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.shared import ship
 from ..sources.ingest import canonicalize, deduplicated
 from ..sources.readers import in_file_order, parse_lines
 
+#: What the state sees of a row.
+KEY = "source_record_id string, epoch long, row_index long"
+#: Keeps state on disk, so that ids need not fit in memory.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def read_lines(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.format("text")
@@ -17,30 +27,59 @@ def read_lines(spark: SparkSession, folder: str, files_per_trigger: int | None =
     return reader.load(folder).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
 
 
-def write_batch(batch: DataFrame, epoch: int, target: str, dataset_id: str = "d") -> None:
-    """One micro-batch: reject, de-duplicate, drop ids that an earlier epoch accepted, and write.
+def stage_batch(batch: DataFrame, epoch: int, target: str, dataset_id: str = "d") -> None:
+    """One micro-batch of lines: reject, and keep the first row of each id of the batch.
 
     Rows are numbered by file and line within the batch. Each epoch has a folder that it overwrites, so an epoch
     that runs again leaves the same rows.
     """
-    spark = batch.sparkSession
     lines = in_file_order(batch.withColumn("__m", F.monotonically_increasing_id())).where(F.trim("line") != "")
     rows = canonicalize(parse_lines(lines), dataset_id).persist()
-    new = deduplicated(rows.where("reason IS NULL"))
-    before = spark.createDataFrame([], "source_record_id string, epoch long")
-    if epoch > 0:
-        before = spark.read.schema("source_record_id string, epoch long").parquet(f"{target}/records").where(F.col("epoch") < epoch)
-    new = new.join(before.select("source_record_id"), "source_record_id", "left_anti")
-    new.drop("reason").write.mode("overwrite").parquet(f"{target}/records/epoch={epoch}")
+    deduplicated(rows.where("reason IS NULL")).drop("reason").write.mode("overwrite").parquet(f"{target}/staged/epoch={epoch}")
     rows.where("reason IS NOT NULL").select("row_index", "reason").write.mode("overwrite").parquet(f"{target}/rejects/epoch={epoch}")
     rows.unpersist()
 
 
+def first_seen(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first row of an id that no earlier batch had; a batch can hold several epochs."""
+    first = min((k for f in frames for k in zip(f["epoch"], f["row_index"])), default=None)
+    if first is not None and not state.exists:
+        state.update((True,))
+        yield pd.DataFrame({"source_record_id": [key[0]], "epoch": [int(first[0])], "row_index": [int(first[1])]})
+
+
+def accept_batch(keys: DataFrame, batch: int, target: str, schema: str) -> None:
+    """Writes the staged rows with these keys, reading no other epochs than theirs. A batch that runs again has the same keys,
+    as its state goes back too, and overwrites its epochs."""
+    spark = keys.sparkSession
+    keys = keys.persist()
+    epochs = [r.epoch for r in keys.select("epoch").distinct().collect()]  # micro-batches since the last run
+    if epochs:
+        staged = spark.read.schema(f"{schema}, epoch long").option("basePath", f"{target}/staged").parquet(*[f"{target}/staged/epoch={e}" for e in epochs])
+        rows = staged.join(keys, ["source_record_id", "epoch", "row_index"], "left_semi").select(*staged.columns)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{target}/records")
+    elif batch == 0:  # nothing was accepted: a table without rows
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/records/epoch=0")
+    keys.unpersist()
+
+
 def start(lines: DataFrame, target: str, checkpoint: str, dataset_id: str = "d") -> StreamingQuery:
-    """Ingests all files that are there, and returns when they are done."""
-    return (
-        lines.writeStream.foreachBatch(lambda df, epoch: write_batch(df, epoch, target, dataset_id))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Ingests all files that are there. Lines are staged by one stream; a second one follows with the accepted ids as state: an id
+    that comes again meets its state, and no earlier output is read. Returns the second one."""
+    spark = lines.sparkSession
+    ship(__name__)
+    empty = canonicalize(parse_lines(spark.createDataFrame([], "row_index long, line string")), dataset_id).drop("reason")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in empty.schema)
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{target}/staged/epoch=-1")
+    staging = lines.writeStream.foreachBatch(lambda df, epoch: stage_batch(df, epoch, target, dataset_id))
+    staging.option("checkpointLocation", f"{checkpoint}/staged").trigger(availableNow=True).start().awaitTermination()
+
+    keys = spark.readStream.schema(KEY).parquet(f"{target}/staged")
+    new = keys.groupBy("source_record_id").applyInPandasWithState(first_seen, KEY, "taken boolean", "append", GroupStateTimeout.NoTimeout)
+    before = spark.conf.get(PROVIDER[0], None)
+    spark.conf.set(*PROVIDER)
+    try:
+        accepting = new.writeStream.outputMode("append").foreachBatch(lambda df, batch: accept_batch(df, batch, target, schema))
+        return accepting.option("checkpointLocation", f"{checkpoint}/accepted").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER[0], before) if before else spark.conf.unset(PROVIDER[0])

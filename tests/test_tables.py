@@ -122,6 +122,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_stream_keeps_ids_as_state(spark, tmp_path):
+    """Later files meet the ids of earlier ones without their output, which is moved away; a batch that runs again gives the same."""
+    source, out, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
+    source.mkdir()
+    ids = lambda: sorted(r.product_id for r in spark.read.parquet(str(out / "records")).collect())
+    run = lambda: stream.start(stream.read_lines(spark, str(source)), str(out), str(state)).awaitTermination()
+    run()  # no file yet
+    (source / "a.txt").write_text("\n".join(raw(asin=f"A{i % 20}", title=f"t{i}") for i in range(40)))
+    run()
+    assert ids() == sorted(f"A{i}" for i in range(20)) and {r.title for r in spark.read.parquet(str(out / "records")).collect()} == {f"t{i}" for i in range(20)}
+    (out / "records").rename(tmp_path / "moved")
+    (out / "staged" / "epoch=0").rename(tmp_path / "staged")
+    (source / "b.txt").write_text("\n".join(raw(asin=f"A{i}") for i in range(15, 25)))
+    run()
+    assert ids() == sorted(f"A{i}" for i in range(20, 25))
+    commits = sorted((p for p in (state / "accepted" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run()
+    assert ids() == sorted(f"A{i}" for i in range(20, 25))
+
+
 def test_bundle_notices_changes(spark, tmp_path):
     path = str(tmp_path / "bundle")
     sinks.write_bundle(spark.range(5), path)
