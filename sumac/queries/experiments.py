@@ -480,6 +480,11 @@ def bootstrap(spark, sf_dir):
     return rounded(stats.bootstrap_interval(paired(spark, sf_dir), ["query_id"]), "mean_difference", "low", "high")
 
 
+@query("m08_resampled", PAIRS + f"SELECT ROUND(mean_difference, 6) AS mean_difference, ROUND(low, 6) AS low, ROUND(high, 6) AS high FROM {stats.resampled_sql('p', ['query_id'])}")
+def resampled(spark, sf_dir):
+    return rounded(stats.resampled_interval(paired(spark, sf_dir), ["query_id"]), "mean_difference", "low", "high")
+
+
 TESTS = R + ", t AS (SELECT pipeline_id AS test, pow(0.5, COUNT(*) FILTER (is_correct) % 9) * 0.1 AS p FROM runs GROUP BY 1) "
 
 

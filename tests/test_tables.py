@@ -396,6 +396,14 @@ def test_statistics(spark):
     rng = random.Random(1)
     b = stats.bootstrap_interval(pair([rng.gauss(1, 1) for _ in range(200)], [0.0] * 200), ["i"], 300).first()
     assert b.low < b.mean_difference < b.high and 0.15 < b.high - b.low < 0.45
+    few = pair([3.0, 1.0, 4.0, 1.0, 5.0], [0.0] * 5)
+    e, p = stats.resampled_interval(few, ["i"], 400).first(), stats.bootstrap_interval(few, ["i"], 400).first()
+    assert e == stats.resampled_interval(few.repartition(3), ["i"], 400).first() and e.mean_difference == pytest.approx(2.8)
+    draw = lambda r, k: int(int(hashlib.sha256(f"42|{r}|{k}".encode()).hexdigest()[:13], 16) / 16**13 * 5)
+    means = sorted(sum([3.0, 1.0, 4.0, 1.0, 5.0][draw(r, k)] for k in range(5)) / 5 for r in range(1, 401))
+    at = lambda q: means[int(q * 399)] + (q * 399 - int(q * 399)) * (means[int(q * 399) + 1] - means[int(q * 399)])
+    assert (e.low, e.high) == (pytest.approx(at(0.025)), pytest.approx(at(0.975))) and max(e.low, p.low) < min(e.high, p.high)
+    assert tuple(stats.resampled_interval(few.where("FALSE"), ["i"], 10).first()) == (None, None, None)
     tests = spark.createDataFrame([("a", 0.005), ("b", 0.012), ("c", 0.045), ("d", 0.230)], "test string, p double")
     assert [r.reject for r in stats.holm(tests).orderBy("rank").collect()] == [True, True, False, False]
     k = stats.cohens_kappa(spark.createDataFrame([(1, 1), (0, 0), (1, 0), (None, 1)], "a int, b int"), "a", "b").first()
