@@ -16,6 +16,7 @@ from typing import Union
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from . import predicates as P
 
 RESULT = "query_id string, rank int, key string, value double"
@@ -188,10 +189,22 @@ def unpivot(rows: DataFrame, keep: list[Column], parts: list[tuple[str, Column,
     return rows.select(*keep, F.explode(F.array(*structs)).alias("x")).select("x.*")
 
 
-def evaluate_batch(df: DataFrame, queries: list[Query]) -> DataFrame:
+def fields_of(spec, columns: list[str]) -> set[str]:
+    """The columns that a query, or a part of one, can name."""
+    if isinstance(spec, str):
+        return {spec} & set(columns)
+    parts = vars(spec).values() if hasattr(spec, "__dict__") else spec if isinstance(spec, (tuple, list, frozenset)) else ()
+    return set().union(*[fields_of(x, columns) for x in parts])
+
+
+def evaluate_batch(df: DataFrame, queries: list[Query], once: bool = False) -> DataFrame:
     """The results of many queries: all scalar ones in one aggregate, all grouped ones with the same group
-    in another. The work is a pass over df for each distinct group, not for each query."""
+    in another. The work is a pass over df for each distinct group, not for each query. With once, the columns that
+    the queries name are written first and the passes read those, so whatever is behind df (a join) is done once."""
     empty = df.sparkSession.createDataFrame([], RESULT)
+    if once:
+        used = fields_of(queries, df.columns)
+        df = stored(df.select([c for c in df.columns if c in used] or df.columns[:1]))
     scalar = [q for q in queries if not isinstance(q.aggregation, (TopK, Trend))]
     out = []
     if scalar:

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..operators import agree, evidence
+from ..operators import agree, evidence, hashtree
 from ..operators import predicates as P
 from ..operators import sketches as S
 from ..operators.records import RECORDS_SQL, records
@@ -123,7 +123,7 @@ query("flagship", WITH + A.to_sql(FLAGSHIP, "records"))(lambda spark, sf_dir: A.
 
 @query("a10_batch", WITH + " UNION ALL ".join(f"SELECT * FROM ({A.to_sql(q, 'records')}) x" for q in SPECS.values()))
 def batch(spark, sf_dir):
-    return A.evaluate_batch(records(spark, sf_dir), list(SPECS.values()))
+    return A.evaluate_batch(records(spark, sf_dir), list(SPECS.values()), once=True)
 
 
 @query("f10_filtered_page", WITH + "SELECT record_id, brand, rating FROM records WHERE brand = 'Brand#11' AND rating BETWEEN 3.0 AND 5.0 AND verified_purchase ORDER BY record_id LIMIT 20 OFFSET 40")
@@ -201,6 +201,40 @@ def exact(spark, sf_dir):
     return all_evidence(spark, sf_dir).groupBy("query_id").agg(evidence.exact_hash(F.col("record_id")).alias("evidence_hash"))
 
 
+TREE_COLUMNS = ["brand", "helpful_votes", "record_id", "verified_purchase"]
+PLACE = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in TREE_COLUMNS)
+NODE = "SELECT {0} AS level, substr(prefix, 1, {0}) AS prefix, SUM(rows) AS rows, sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)) AS digest FROM l{1} GROUP BY ALL"
+
+
+@query(
+    "e04_hash_tree",
+    WITH
+    + f""", p AS (SELECT sha256({PLACE}) AS place, COUNT(*) AS copies FROM records GROUP BY 1),
+    l2 AS (SELECT 2 AS level, substr(place, 1, 2) AS prefix, SUM(copies) AS rows, sha256(string_agg(place || ':' || copies, ',' ORDER BY place)) AS digest FROM p GROUP BY ALL),
+    l1 AS ({NODE.format(1, 2)}), l0 AS ({NODE.format(0, 1)})
+    SELECT level, prefix, CAST(rows AS BIGINT) AS rows, digest FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)""",
+)
+def hash_tree(spark, sf_dir):
+    """All nodes of the records' tree of depth 2."""
+    return hashtree.build(records(spark, sf_dir).select(TREE_COLUMNS), ["record_id"], depth=2).nodes()
+
+
+@query(
+    "e04_tree_differences",
+    WITH
+    + """, s AS (SELECT record_id, CASE WHEN brand = 'Brand#11' AND helpful_votes = 6 THEN 'only_a' WHEN brand = 'Brand#12' AND helpful_votes = 5 THEN 'changed'
+    WHEN brand = 'Brand#13' AND helpful_votes = 4 THEN 'only_b' END AS state FROM records)
+    SELECT record_id, state, CAST(COUNT(*) FILTER (state <> 'only_b') AS BIGINT) AS copies_a, CAST(COUNT(*) FILTER (state <> 'only_a') AS BIGINT) AS copies_b FROM s WHERE state IS NOT NULL GROUP BY ALL""",
+)
+def tree_differences(spark, sf_dir):
+    """The records against a copy from which some are gone, in which some have another brand and to which some have come."""
+    df = records(spark, sf_dir).select(TREE_COLUMNS)
+    new = F.expr("brand = 'Brand#13' AND helpful_votes = 4")
+    a = hashtree.build(df.where(~new), ["record_id"])
+    other = df.where("NOT (brand = 'Brand#11' AND helpful_votes = 6)").withColumn("brand", F.expr("CASE WHEN brand = 'Brand#12' AND helpful_votes = 5 THEN 'Other' ELSE brand END"))
+    return hashtree.differences(a, hashtree.build(other, ["record_id"], depth=a.depth))
+
+
 @query("e05_fingerprint", IDS + f"SELECT query_id, {evidence.fingerprint_sql('record_id')} FROM e GROUP BY query_id")
 def fingerprint(spark, sf_dir):
     return all_evidence(spark, sf_dir).groupBy("query_id").agg(*evidence.fingerprint(F.col("record_id"))).withColumn("hash_sum", F.col("hash_sum").cast("string"))
