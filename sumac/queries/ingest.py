@@ -13,7 +13,7 @@ from ..operators import evidence
 from ..operators import predicates as P
 from ..operators.records import RECORDS_SQL, records
 from ..sources import ingest as I
-from ..sources import readers, sinks
+from ..sources import ranges, readers, sinks
 from .answers import WITH
 from .base import query
 
@@ -228,6 +228,23 @@ def bundle(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query(
+    "k07_ranges",
+    WITH
+    + """, f AS (SELECT brand, helpful_votes, string_agg(record_id || chr(10), '' ORDER BY record_id) AS t FROM records GROUP BY ALL),
+    r AS (SELECT *, unnest(range(0, length(t), 4096)) AS start FROM f)
+    SELECT brand, helpful_votes, start, length(substr(t, start + 1, 4096)) AS size, sha256(substr(t, start + 1, 4096)) AS sha256 FROM r""",
+)
+def range_sums(spark, sf_dir):
+    """Sums of all ranges of text files of ids, a file for each brand and number of votes."""
+    folder, key = workspace(spark), ["brand", "helpful_votes"]
+    rows = records(spark, sf_dir).select("record_id", *key).repartition(*key).sortWithinPartitions(*key, "record_id")
+    rows.write.partitionBy(*key).text(f"{folder}/ids")
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)", 1)
+    brand = F.replace(part("brand"), F.lit("%23"), F.lit("#"))
+    return ranges.range_checksums(spark, f"{folder}/ids", 4096).select(brand.alias("brand"), part("helpful_votes").cast("long").alias("helpful_votes"), "start", "size", "sha256")
+
+
 def registry(spark, sf_dir):
     df = records(spark, sf_dir)
     rows = [(f"Brand#{b}", df.where(F.col("brand") == f"Brand#{b}")) for b in (11, 12, 13)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evidence import fingerprint
+from . import ranges
 from .ingest import latest
 
 SNAPSHOT = "snapshot_id string, dataset_id string, path string, rows long, rejects long, hash_xor long, hash_sum decimal(38,0), active boolean, seq long"
@@ -43,15 +44,23 @@ def export(df: DataFrame, path: str) -> None:
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """name, sha256 of every data file under a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*part-*").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    """name, sha256 of every data file under a path, by ranges of the files."""
+    files = ranges.file_checksums(ranges.range_checksums(spark, path))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
 
 
 def write_bundle(metrics: DataFrame, path: str) -> None:
-    """Metrics as CSV with a list of checksums beside them."""
+    """Metrics as CSV with checksums beside them, those of the files and those of their ranges."""
+    spark = metrics.sparkSession
     metrics.write.option("header", True).csv(f"{path}/metrics")
-    file_checksums(metrics.sparkSession, f"{path}/metrics").write.parquet(f"{path}/checksums")
+    ranges.range_checksums(spark, f"{path}/metrics").write.parquet(f"{path}/ranges")
+    files = ranges.file_checksums(spark.read.parquet(f"{path}/ranges"))
+    files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256").write.parquet(f"{path}/checksums")
+
+
+def bundle_changes(spark: SparkSession, path: str) -> DataFrame:
+    """name, start, state of the ranges of a bundle's files that are not as they were written."""
+    return ranges.changed_ranges(spark.read.parquet(f"{path}/ranges"), ranges.range_checksums(spark, f"{path}/metrics"))
 
 
 def verify_bundle(spark: SparkSession, path: str) -> DataFrame:
