@@ -13,7 +13,7 @@ from ..operators import evidence
 from ..operators import predicates as P
 from ..operators.records import RECORDS_SQL, records
 from ..sources import ingest as I
-from ..sources import ranges, readers, sinks
+from ..sources import layout, ranges, readers, sinks
 from .answers import WITH
 from .base import query
 
@@ -177,6 +177,25 @@ def partitioned(spark, sf_dir):
     return spark.read.parquet(f"{folder}/r").groupBy("category", "year").agg(F.count("*").alias("n"))
 
 
+@query(
+    "k02_layout",
+    WITH
+    + """, y AS (SELECT *, CAST(year(event_time) AS INT) AS year FROM records), m AS (SELECT min(brand) AS brand, max(category) AS category, min(year) AS year FROM y)
+    SELECT 'brand' AS dimension, record_id FROM y WHERE brand = (SELECT brand FROM m) UNION ALL SELECT 'category', record_id FROM y WHERE category = (SELECT category FROM m)
+    UNION ALL SELECT 'year', record_id FROM y WHERE year = (SELECT year FROM m) UNION ALL SELECT 'brand_year', record_id FROM y JOIN m USING (brand, year)""",
+)
+def layout_read(spark, sf_dir):
+    """Records laid out by brand, category and year at once, read by each of them and by two."""
+    df, path = records(spark, sf_dir).withColumn("year", F.year("event_time")), workspace(spark)
+    layout.write_layout(df, path, ["brand", "category", "year"], 64)
+    ends = spark.read.parquet(f"{path}/files").agg(F.min("min_brand").alias("brand"), F.max("max_category").alias("category"), F.min("min_year").alias("year")).first().asDict()
+    out = None
+    for name, by in (("brand", ["brand"]), ("category", ["category"]), ("year", ["year"]), ("brand_year", ["brand", "year"])):
+        rows = layout.read_layout(spark, path, {c: (ends[c], ends[c]) for c in by}).select(F.lit(name).alias("dimension"), "record_id")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 @query("k03_rejects", FAULTS + "SELECT reason, COUNT(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason")
 def rejects(spark, sf_dir):
     folder = workspace(spark)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sumac.operators import aggregates as A
 from sumac.operators import hashtree
 from sumac.operators.records import records
-from sumac.sources import ranges
+from sumac.sources import layout, ranges
 
 WORDS = "id long, word string"
 
@@ -135,3 +135,37 @@ def test_sums_of_ranges(spark, tmp_path):
     (tmp_path / "part-5").write_bytes(b"y")
     states = {(r.name, r.start, r.state) for r in ranges.changed_ranges(kept, ranges.range_checksums(spark, str(tmp_path), 10)).collect()}
     assert states == {("part-3", 0, "missing"), ("part-3", 10, "missing"), ("part-5", 0, "unlisted")}
+
+
+def test_a_filter_on_any_column_opens_few_files(spark, tmp_path):
+    """64 files; one value of any of three columns is in half of them at most (about a third in fact), two values in a fifth; nothing is lost."""
+    h = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int")
+    df = spark.range(40_000).select("id", F.concat(F.lit("brand-"), h(1, 25)).alias("brand"), h(2, 8).alias("year"), (h(3, 1000) / 7).alias("price"))
+    path = str(tmp_path / "x")
+    layout.write_layout(df, path, ["brand", "year", "price"], 64)
+    total = spark.read.parquet(f"{path}/files").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.max("rows").alias("most")).first()
+    assert total.n >= 56 and total.rows == 40_000 and total.most < 3 * 40_000 / 64
+    for asked in ({"brand": ("brand-7", "brand-7")}, {"year": (3, 3)}, {"price": (20.0, 21.0)}):
+        assert len(layout.files_for(spark, path, asked)) <= total.n / 2, asked
+        (c, (low, high)) = next(iter(asked.items()))
+        assert sorted(r.id for r in layout.read_layout(spark, path, asked).collect()) == sorted(r.id for r in df.where(F.col(c).between(low, high)).collect())
+    two = {"brand": ("brand-7", "brand-7"), "year": (3, 3)}
+    assert len(layout.files_for(spark, path, two)) <= total.n / 5
+    assert layout.read_layout(spark, path, two).count() == df.where("brand = 'brand-7' AND year = 3").count()
+    assert layout.read_layout(spark, path, {"year": (6, None)}).count() == df.where("year >= 6").count()
+    assert layout.read_layout(spark, path, {"year": (99, None)}).count() == 0
+
+
+def test_layout_of_hot_and_odd_rows(spark, tmp_path):
+    """A value with most rows is dealt over files; nulls and long texts are kept; an empty table has no files."""
+    rows = spark.range(8000).select("id", F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 7 == 0, F.repeat(F.lit("z"), 5000)).when(F.col("id") % 7 > 3, F.col("id").cast("string")).alias("a"), F.lit(None).cast("int").alias("b"))
+    path = str(tmp_path / "x")
+    layout.write_layout(rows, path, ["a", "b"], 16)
+    assert spark.read.parquet(f"{path}/files").agg(F.max("rows")).first()[0] < 2000
+    assert spark.read.parquet(f"{path}/rows").count() == 8000
+    for low, high in (("hot", "hot"), ("z" * 5000, None), (None, "5"), (None, None)):
+        want = rows.where("a IS NOT NULL").where(F.lit(True) if low is None else F.col("a") >= low).where(F.lit(True) if high is None else F.col("a") <= high)
+        assert layout.read_layout(spark, path, {"a": (low, high)}).count() == want.count()
+    assert layout.read_layout(spark, path, {"b": (None, None)}).count() == 0
+    layout.write_layout(rows.where("id < 0"), str(tmp_path / "y"), ["a", "b"], 4)
+    assert layout.read_layout(spark, str(tmp_path / "y"), {"a": ("hot", "hot")}).count() == 0
