@@ -246,7 +246,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM every WHERE line <> ''),
     d AS (SELECT doc_id, list(line ORDER BY pos) AS l FROM lines GROUP BY doc_id),
     runs AS (SELECT doc_id, s, n, md5(array_to_string(l[s : s + n - 1], chr(10))) || n AS h
-             FROM (SELECT doc_id, l, least(len(l), 3) AS n, unnest(range(1, len(l) - least(len(l), 3) + 2)) AS s FROM d)),
+             FROM (SELECT doc_id, l, least(len(l), 3) AS n, unnest(range(1, len(l) - least(len(l), 3) + 2)) AS s FROM d)
+             UNION ALL SELECT doc_id, pos + 1, 1, md5(line) || 1 FROM lines JOIN d USING (doc_id)
+             WHERE len(l) > 1 AND len(string_split_regex(line, '[ \x09\x0B\x0C\x0D]+')) >= 10),
     later AS (SELECT doc_id, s, n FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM runs) WHERE k > 1),
     gone AS (SELECT DISTINCT doc_id, unnest(range(s - 1, s + n - 1)) AS pos FROM later),
     t AS (
@@ -289,7 +291,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op13_phrase_collocations",
     r"""
     WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]') AS ps FROM documents),
+-
+]') AS ps FROM documents),
     pieces AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM (SELECT lang, unnest(ps) AS p FROM d)),
     total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
     grams AS (

@@ -535,7 +535,7 @@ def test_long_texts_hash_alike(monkeypatch):
 # op7
 
 
-def plain_lines(rows, window=3):
+def plain_lines(rows, window=3, long=10):
     keyed = sorted({(i is not None, i or 0, h, t or "") for i, h, t in rows})
     seen, gone = set(), {}
     for notnull, i, h, t in keyed:
@@ -543,10 +543,12 @@ def plain_lines(rows, window=3):
         ls = [x for x in ls if x]
         n = min(window, len(ls))
         mine = set()
-        for s in range(len(ls) - n + 1 if n else 0):
-            run = tuple(ls[s : s + n])
+        runs = [(s, n) for s in range(len(ls) - n + 1 if n else 0)]
+        runs += [(s, 1) for s in range(len(ls)) if n > 1 and len(ls[s].split()) >= long]
+        for s, k in sorted(runs):
+            run = tuple(ls[s : s + k])
             if run in seen:
-                mine.update(range(s, s + n))
+                mine.update(range(s, s + k))
             seen.add(run)
         gone[notnull, i, h] = mine
     return gone
@@ -554,7 +556,7 @@ def plain_lines(rows, window=3):
 
 def test_line_dedup(spark, docs):
     rng = random.Random(4)
-    pool = ["line %d of the pool" % i for i in range(12)]
+    pool = ["line %d of the pool" % i for i in range(12)] + [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((9, 10, 11, 40))] + ["a\tb  c d e f g h i\x0bj"]
     rows = [(i, "\n".join(rng.choices([*pool, "", "  own %d" % rng.randint(0, 10**6)], k=rng.randint(0, 30)))) for i in range(50)]
     rows += [(60, rows[0][1]), (60, rows[0][1]), (None, rows[1][1]), (61, None), (62, "\n\n"), (63, "a  \nb"), (64, "\n a\nb")]
     df = frame(spark, rows)
@@ -572,6 +574,26 @@ def test_line_dedup(spark, docs):
     assert lines.drop_later_runs(docs.limit(0)).count() == 0
 
 
+def test_later_copies_of_long_lines_go(spark):
+    """Of the given lines of ten words and more, every later copy; lines that no text had before stay, however long the text."""
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    gone = {r.id: r for r in lines.drop_later_runs(given).collect()}
+    first, later, left = {}, 0, 0
+    for r in sorted(given.where("text IS NOT NULL").select("doc_id", "text").collect()):
+        kept = Counter(x.strip() for x in (gone[r.doc_id].kept or "").split("\n"))
+        for line in (x.strip() for x in (r.text or "").split("\n")):
+            if len(line.split()) >= lines.LONG:
+                if line in first:
+                    later += 1
+                    left += kept[line] > (first[line] == r.doc_id)
+                first.setdefault(line, r.doc_id)
+    assert later > 20 and left == 0
+    text = "\n".join(f"{i} " + "word " * 12 for i in range(40_000))
+    rows = [(1, text), (2, "own line\n" + f"{39_999} " + "word " * 12 + "\nother"), (3, "")]
+    found = {r.id: (r.n_lines, r.n_removed, r.kept) for r in lines.drop_later_runs(frame(spark, rows)).collect()}
+    assert found == {1: (40_000, 0, text), 2: (3, 1, "own line\nother"), 3: (0, 0, "")}
+
+
 # op8
 
 
