@@ -118,10 +118,10 @@ def workload_table(spark: SparkSession, queries: list[A.Query]) -> DataFrame:
 
 
 def pack(table: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
-    """dimension, key, n: queries by family, difficulty, split and, if known, agreement."""
+    """dimension, key, n: queries by family, difficulty, split and, if known, agreement (no_rows: neither side has a row)."""
     dims = ["family", "difficulty", "split"]
     if statuses is not None:
-        table, dims = table.join(statuses.select("query_id", F.col("status").alias("agreement")), "query_id", "left"), [*dims, "agreement"]
+        table, dims = table.join(statuses.select("query_id", F.col("status").alias("agreement")), "query_id", "left").fillna("no_rows", ["agreement"]), [*dims, "agreement"]
     rows = table.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("key")) for d in dims])).alias("x"))
     return rows.groupBy("x.dimension", "x.key").agg(F.count("*").alias("n"))
 

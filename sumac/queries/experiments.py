@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import shared
 from ..functions.draws import uniform_sql
 from ..operators import aggregates as A
 from ..operators import attribution as L
 from ..operators import coverage as C
-from ..operators import faults, runs, stats
+from ..operators import agree, faults, runs, stats
 from ..operators import pipelines as PL
 from ..operators import predicates as P
 from ..operators.records import records
@@ -97,7 +99,13 @@ def workload(spark, sf_dir):
 
 @query("q14_pack")
 def pack(spark, sf_dir):
-    return W.pack(W.workload_table(spark, W.workload(records(spark, sf_dir))))
+    """With the agreement of the two ways to the answers, over records that are joined and written once."""
+    df = shared.stored(W.with_shares(records(spark, sf_dir)))
+    queries = W.workload(df)
+    view = f"asked_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    cells = agree.compare(A.evaluate_batch(df, queries), agree.evaluate_text(spark, queries, view))
+    return W.pack(W.workload_table(spark, queries), agree.status(cells))
 
 
 # faults

@@ -440,3 +440,13 @@ def test_workload(spark, made):
     assert spec.a == P.Range("event_time", "2021-01-01T00:00:00Z", "2021-04-01T00:00:00Z", high_open=True) and scope.parts[0] == P.Eq("category", "Books")
     assert workload.build(templates.TEMPLATES[1], templates.Draws("cnt_cat_verified", 0, 42, {})) is None
     assert workload.workload(made.limit(0)) and not [q for q in workload.workload(made.limit(0)) if q.tags["template_id"] != "cnt_empty_scope"]
+
+
+def test_pack_counts_agreement(spark):
+    """Of queries that agree, that differ, and that no side has a row of."""
+    kinds = "query_id string, spec_hash string, split string, template_id string, family string, difficulty string, question string"
+    table = spark.createDataFrame([(f"q{i}", "h", "dev", "t", "mean", "easy", "?") for i in range(4)], kinds)
+    states = spark.createDataFrame([("q0", "agreed"), ("q1", "agreed"), ("q2", "disagreed"), ("other", "agreed")], "query_id string, status string")
+    found = {(r.dimension, r["key"]): r.n for r in workload.pack(table, states).collect()}
+    assert {k: n for k, n in found.items() if k[0] == "agreement"} == {("agreement", "agreed"): 2, ("agreement", "disagreed"): 1, ("agreement", "no_rows"): 1}
+    assert found["split", "dev"] == found["family", "mean"] == 4
