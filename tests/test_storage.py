@@ -138,7 +138,7 @@ def test_sums_of_ranges(spark, tmp_path):
 
 
 def test_a_filter_on_any_column_opens_few_files(spark, tmp_path):
-    """64 files; one value of any of three columns is in half of them at most (about a third in fact), two values in a fifth; nothing is lost."""
+    """64 files; one value of any of three columns is in half of them at most, two values in a fifth; nothing is lost."""
     h = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int")
     df = spark.range(40_000).select("id", F.concat(F.lit("brand-"), h(1, 25)).alias("brand"), h(2, 8).alias("year"), (h(3, 1000) / 7).alias("price"))
     path = str(tmp_path / "x")
