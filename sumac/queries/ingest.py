@@ -24,6 +24,11 @@ NAMES = ["electronics", "books", "home & kitchen", "home and kitchen", "kitchen"
 MEANT = ["Electronics", "Books", *["Home & Kitchen"] * 3, *["Sports & Outdoors"] * 3, *["Clothing"] * 3, *["Toys & Games"] * 3, "Beauty", "Beauty", "Automotive", *["Food & Grocery"] * 3, *["Office Products"] * 3]
 
 
+def load(spark, path: str) -> DataFrame:
+    """Raw rows that a query wrote itself, of any size: the limit of bytes is for files from outside."""
+    return readers.load_raw(spark, path, max_bytes=None)
+
+
 def raw_lines(spark, sf_dir) -> DataFrame:
     """Each event as a JSON line of a raw review; event_id % 10 picks a fault, and the rest of the number the category,
     brand or store, flag, and further fields."""
@@ -71,7 +76,7 @@ a AS (SELECT * FROM r WHERE reason IS NULL QUALIFY ROW_NUMBER() OVER (PARTITION
 def json_lines(spark, sf_dir):
     folder = workspace(spark)
     raw_lines(spark, sf_dir).select("line").write.text(f"{folder}/raw.jsonl")
-    return readers.load_raw(spark, f"{folder}/raw.jsonl").agg(F.count("*").alias("n"), F.count_if("malformed").alias("malformed"))
+    return load(spark, f"{folder}/raw.jsonl").agg(F.count("*").alias("n"), F.count_if("malformed").alias("malformed"))
 
 
 @query("s05_json_gz", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_index, event_id % 100 = 0 AS malformed, CASE WHEN event_id % 100 <> 0 THEN 'Event ' || event_id END AS title FROM events WHERE event_id % 10 <> 7")
@@ -80,14 +85,14 @@ def json_gz(spark, sf_dir):
     folder = workspace(spark)
     lines = raw_lines(spark, sf_dir).where("row_index % 10 <> 7")
     lines.repartitionByRange("row_index").sortWithinPartitions("row_index").select("line").write.option("compression", "gzip").text(f"{folder}/raw.jsonl.gz")
-    return readers.load_raw(spark, f"{folder}/raw.jsonl.gz").select("row_index", "malformed", "title")
+    return load(spark, f"{folder}/raw.jsonl.gz").select("row_index", "malformed", "title")
 
 
 @query("s06_csv", WITH + "SELECT brand, COUNT(*) AS n, ROUND(SUM(rating), 2) AS total FROM records GROUP BY brand")
 def csv(spark, sf_dir):
     folder = workspace(spark)
     records(spark, sf_dir).select(F.col("record_id").alias("asin"), "brand", F.col("rating").alias("average_rating")).write.option("header", True).csv(f"{folder}/raw.csv")
-    rows = readers.load_raw(spark, f"{folder}/raw.csv")
+    rows = load(spark, f"{folder}/raw.csv")
     return rows.groupBy("brand").agg(F.count("*").alias("n"), F.round(F.sum(F.col("average_rating").cast("double")), 2).alias("total"))
 
 
@@ -110,7 +115,7 @@ def view(spark, sf_dir):
 def parquet_raw(spark, sf_dir):
     folder = workspace(spark)
     records(spark, sf_dir).select(F.col("product_id").alias("asin"), "title", "price").write.parquet(f"{folder}/raw.parquet")
-    return readers.load_raw(spark, f"{folder}/raw.parquet").agg(F.count("*").alias("n"), F.count("price").alias("priced"))
+    return load(spark, f"{folder}/raw.parquet").agg(F.count("*").alias("n"), F.count("price").alias("priced"))
 
 
 @query("s08_reader_by_extension", "SELECT f.*, COUNT(*) AS n, COUNT(*) FILTER (event_id % 7 = 0) AS sevens FROM events, (SELECT unnest(['rows.jsonl', 'rows.json', 'rows.csv', 'rows.parquet']) AS name) f GROUP BY ALL UNION ALL SELECT 'rows.xml', NULL, NULL")
@@ -123,11 +128,11 @@ def by_extension(spark, sf_dir):
     rows.write.option("header", True).csv(f"{folder}/rows.csv")
     rows.write.parquet(f"{folder}/rows.parquet")
     sums = [F.count("*").alias("n"), F.count_if(F.col("rating_number") == "0").alias("sevens")]
-    first, *rest = [readers.load_raw(spark, f"{folder}/{name}").agg(*sums).select(F.lit(name).alias("name"), "*") for name in ("rows.jsonl", "rows.json", "rows.csv", "rows.parquet")]
+    first, *rest = [load(spark, f"{folder}/{name}").agg(*sums).select(F.lit(name).alias("name"), "*") for name in ("rows.jsonl", "rows.json", "rows.csv", "rows.parquet")]
     for x in rest:
         first = first.unionByName(x)
     try:
-        readers.load_raw(spark, f"{folder}/rows.xml")
+        load(spark, f"{folder}/rows.xml")
     except ValueError:
         return first.unionByName(spark.sql("SELECT 'rows.xml' AS name, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS sevens"))
     return first
