@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut
+from .inner import asked_in_blocks, inner_top
 
 #: Rows of queries that are sent to every task; beyond them the join is shuffled.
 SENT_ROWS = 10_000
@@ -53,12 +54,19 @@ def hash_embedding(text: Column, dims: int = 16) -> Column:
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, unit, score, rank: the k vectors with the largest inner product for each query (query_id,
-    vector). The queries go to every task in blocks; each task keeps k a query before the shuffle."""
+    vector). The queries go to every task in blocks; each task keeps about k a query before the shuffle."""
     rows = vectors.select(F.col(id_col).alias("unit"), F.col(vector_col).cast("array<double>").alias("v"))
-    pairs = rows.crossJoin(few(queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))))  # a stated query set
-    score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    found = None
+    for block, names in asked_in_blocks(queries.select("query_id", F.col("vector").cast("array<double>").alias("q")), SENT_ROWS):
+        pairs = inner_top(rows, block, k).join(F.broadcast(names), "n").drop("n")  # a block's names
+        found = pairs if found is None else found.unionByName(pairs)
+    return best_k(found, k)
+
+
+def best_k(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, unit, score, rank: the k best of pairs (query_id, unit, score), scores rounded to nine places, ties to the lesser unit."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit")
-    return pairs.select("query_id", "unit", F.round(score, 9).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.select("query_id", "unit", F.round("score", 9).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def pack_context(candidates: DataFrame, budget: int) -> DataFrame:
