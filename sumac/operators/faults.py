@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import normal, normal_sql, uniform, uniform_sql
-from ..functions.shared import cut
+from ..functions.shared import cut, stored
 from . import aggregates as A
 from . import predicates as P
 
@@ -123,17 +123,29 @@ FACTS = [*NUMBERS, *SWAPPED, *FLIPPED]
 
 def stage_answers(df: DataFrame, queries: list[A.Query], seed: int = 42) -> dict[str, DataFrame]:
     """Results with the scope and facts each right or wrong: keys "", "R", "E" and "RE" name what is wrong.
-    Each is one batch over the records."""
+
+    The columns that the queries name are written once, right and corrupted, so that the join behind the records is done once
+    and a fact is drawn once. Right and wrong scopes are asked in one batch over each of the two tables.
+    """
+    names = [c for c in df.columns if c in {"record_id", "rating", *SWAPPED} | A.fields_of(queries, df.columns)]
+    df = stored(df.select(*names))
     others = other_values(df, queries, seed)
     wrong = [replace(q, scope=scope_fault(q.scope, q.query_id, others.get(q.query_id), seed)) for q in queries]
-    bad = fact_fault(df, FACTS, seed)
-    return {"": A.evaluate_batch(df, queries), "R": A.evaluate_batch(df, wrong), "E": A.evaluate_batch(bad, queries), "RE": A.evaluate_batch(bad, wrong)}
+    asked = set().union(*[A.fields_of(q, df.columns) for q in [*queries, *wrong]])
+    bad = stored(fact_fault(df, [f for f in FACTS if f in asked], seed))
+    both = [replace(q, query_id=f"{kind}/{q.query_id}") for kind, qs in (("right", queries), ("wrong", wrong)) for q in qs]
+    found = {}
+    for fact, table in (("", df), ("E", bad)):
+        rows = cut(A.evaluate_batch(table, both))  # a few rows a query
+        for scope, kind in (("", "right"), ("R", "wrong")):
+            mine = rows.where(F.col("query_id").startswith(f"{kind}/"))
+            found[scope + fact] = mine.withColumn("query_id", F.substring("query_id", len(kind) + 2, 1 << 20))
+    return found
 
 
 def run_pipelines(df: DataFrame, queries: list[A.Query], seed: int = 42) -> DataFrame:
     """pipeline_id, query_id, rank, key, value: what each pipeline answers."""
-    found = {k: cut(v) for k, v in stage_answers(df, queries, seed).items()}  # a few rows a query
-    out = []
+    found, out = stage_answers(df, queries, seed), []
     for name, faults in PIPELINES.items():
         rows = found[faults.replace("A", "")]
         rows = answer_fault(rows, queries, seed) if "A" in faults else rows
