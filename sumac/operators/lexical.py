@@ -19,6 +19,8 @@ from .retrieval import tokenize
 
 #: Units of a range, about. A task holds the asked lists of one range.
 RANGE = 2048
+#: Tokens that a task counts at once, about, or those of one longer text.
+TOKENS = 250_000
 #: Terms of queries that are sent to every task at once; more queries are asked a block at a time.
 BLOCK = 50_000
 #: Bounds are widened by it: scores are rounded to nine places, and sums in another order differ by less.
@@ -55,16 +57,20 @@ def bm25_index(units: DataFrame, id_col: str, text_col: str, metadata: list[str]
     arrow = to_arrow_type(kind)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens = b.column(2)
-            coded = tokens.flatten().dictionary_encode()
-            size = max(1, len(coded.dictionary))
-            row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy())
-            key, n = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
-            ends = pa.array(np.searchsorted(key // size, np.arange(len(tokens) + 1)), pa.int32())
-            terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(key % size)).cast(pa.string()))
-            tfs = pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), terms, tfs], names=["range", "unit", "terms", "tfs"])
+        for whole in batches:
+            lengths = whole.column(2).value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            piece = (np.cumsum(lengths) - lengths) // TOKENS  # rows of about so many tokens
+            for start, stop in zip(edges := np.flatnonzero(np.diff(piece, prepend=-1)), [*edges[1:], len(lengths)]):
+                b = whole.slice(start, stop - start)
+                tokens = b.column(2)
+                coded = tokens.flatten().dictionary_encode()
+                size = max(1, len(coded.dictionary))
+                row = np.repeat(np.arange(len(tokens)), lengths[start:stop])
+                key, n = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
+                ends = pa.array(np.searchsorted(key // size, np.arange(len(tokens) + 1)), pa.int32())
+                terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(key % size)).cast(pa.string()))
+                tfs = pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), terms, tfs], names=["range", "unit", "terms", "tfs"])
 
     def invert(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
