@@ -21,8 +21,8 @@ LITERALS = 1000
 
 @dataclass(frozen=True)
 class Tree:
-    """levels[d]: prefix (d hex digits), rows, digest. entries: the name of a table of block (the longest prefix), place, copies and the
-    key's columns, bucketed by block."""
+    """levels[d]: prefix (d hex digits), rows, digest. entries: the name of a table of block (the longest prefix), place (32 bytes), copies and
+    the key's columns, bucketed by block."""
 
     levels: list[DataFrame]
     entries: str
@@ -55,16 +55,21 @@ def place(columns: list[str]) -> Column:
 def build(df: DataFrame, key: list[str], depth: int | None = None, block: int = BLOCK) -> Tree:
     """The tree of a table over all its columns, in order of name. Without a depth, the least at which blocks have about `block` entries; two
     trees are compared at one depth, so the second takes that of the first. Columns are of types that have a text (no maps)."""
-    names = sorted(df.columns)
     at, copies = "__place", "__copies"
-    entries = stored(df.groupBy(place(names).alias(at)).agg(*[F.first(f"`{c}`").alias(c) for c in key], F.count("*").alias(copies)))
+    texts = {c: f"__text{i}" for i, c in enumerate(sorted(df.columns))}
+    other = [c for c in key if dict(df.dtypes)[c] != "string"]  # these are no texts
+    # rows meet as their texts; hashes do not compress, so they are taken behind the exchange and written once, as bytes
+    rows = df.select(*[F.col(f"`{c}`").cast("string").alias(t) for c, t in texts.items()], *[f"`{c}`" for c in other])
+    entries = rows.groupBy(*texts.values()).agg(*[F.first(f"`{c}`").alias(c) for c in other], F.count("*").alias(copies))
     if depth is None:
+        entries = stored(entries)
         depth, n = 0, entries.count()
         while n > block * 16**depth:
             depth += 1
-    dealt = entries.withColumn("__block", F.substring(at, 1, depth))
-    name = bucketed(dealt, "__block", at)
-    line = F.concat(F.col(at), F.lit(":"), F.col(copies).cast("string"))
+    named = [F.col(f"`{c}`") if c in other else F.col(texts[c]).alias(c) for c in key]
+    hashed = place(list(texts.values()))
+    name = bucketed(entries.select(F.substring(hashed, 1, depth).alias("__block"), F.unhex(hashed).alias(at), *named, copies), "__block", at)
+    line = F.concat(F.lower(F.hex(at)), F.lit(":"), F.col(copies).cast("string"))
     level = folded(df.sparkSession.table(name), "__block", line, F.sum(copies), depth)
     levels = [stored(level)]
     for d in range(depth - 1, -1, -1):
@@ -113,11 +118,14 @@ def differences(a: Tree, b: Tree) -> DataFrame:
         raise ValueError("trees with different keys")
     spark, some = a.levels[0].sparkSession, blocks(a, b)
     key = list(a.key)
-    sides = [
-        within(spark.table(t.entries), "__block", some).select("__place", *[F.col(f"`{k}`").alias(f"{k}__{s}") for k in key], F.col("__copies").alias(f"copies_{s}"))
-        for t, s in ((a, "a"), (b, "b"))
-    ]
-    both = sides[0].join(sides[1], "__place", "full_outer").fillna(0, ["copies_a", "copies_b"]).where("copies_a <> copies_b")
-    merged = [F.when(F.col("copies_a") > 0, F.col(f"`{k}__a`")).otherwise(F.col(f"`{k}__b`")).alias(k) for k in key]
-    found = both.select(*merged, "copies_a", "copies_b").groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.sum("copies_a").alias("copies_a"), F.sum("copies_b").alias("copies_b"))
+    names, sums = [F.col(f"`{k}`") for k in key], [F.sum(f"copies_{s}").alias(f"copies_{s}") for s in "ab"]
+    # a block's entries are a list, so both sides meet by the column that they lie by: the short list of blocks alone is exchanged
+    both = some.select(F.col("prefix").alias("__block"))
+    for t, side in ((a, "a"), (b, "b")):
+        copies = [(F.col("__copies") if s == side else F.lit(0).cast("long")).alias(f"copies_{s}") for s in "ab"]
+        lists = within(spark.table(t.entries), "__block", some).groupBy("__block").agg(F.collect_list(F.struct("__place", *names, *copies)).alias(f"rows_{side}"))
+        both = both.join(lists, "__block", "left")
+    rows = both.select("__block", F.explode(F.concat(*[F.coalesce(f"rows_{s}", F.array()) for s in "ab"])).alias("x")).select("__block", "x.*")
+    both = rows.groupBy("__block", "__place", *names).agg(*sums).where("copies_a <> copies_b")  # one place has one key
+    found = both.groupBy(*names).agg(*sums)
     return found.withColumn("state", F.when(F.col("copies_b") == 0, "only_a").when(F.col("copies_a") == 0, "only_b").otherwise("changed"))

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..functions import shared
 from ..operators import aggregates as A
 from ..operators import agree, evidence, hashtree
 from ..operators import predicates as P
@@ -228,7 +229,7 @@ def hash_tree(spark, sf_dir):
 )
 def tree_differences(spark, sf_dir):
     """The records against a copy from which some are gone, in which some have another brand and to which some have come."""
-    df = records(spark, sf_dir).select(TREE_COLUMNS)
+    df = shared.stored(records(spark, sf_dir).select(TREE_COLUMNS))
     new = F.expr("brand = 'Brand#13' AND helpful_votes = 4")
     a = hashtree.build(df.where(~new), ["record_id"])
     other = df.where("NOT (brand = 'Brand#11' AND helpful_votes = 6)").withColumn("brand", F.expr("CASE WHEN brand = 'Brand#12' AND helpful_votes = 5 THEN 'Other' ELSE brand END"))
