@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ SAMPLE = 20_000
 BITS = 6
 #: Texts are told apart by so many of their first characters.
 TEXT = 64
+#: Rows of a file, about, where there are many: a task sorts those of one file.
+FILE_ROWS = 500_000
 
 
-def bounds(df: DataFrame, columns: list[str], bits: int) -> list[list]:
-    """The upper ends of each column's buckets but the last: values that divide a sample evenly. A value with many rows is in one bucket."""
-    n = df.count()
+def bounds(df: DataFrame, columns: list[str], bits: int, n: int) -> list[list]:
+    """The upper ends of each column's buckets but the last: values that divide a sample of the n rows evenly. A value with many rows is in one bucket."""
     rows = df.select(*[head(df, c).alias(c) for c in columns]).sample(min(1.0, SAMPLE / max(n, 1)), 42).limit(4 * SAMPLE).collect()
     out = []
     for c in columns:
@@ -48,22 +51,25 @@ def interleaved(buckets: list[Column], bits: int) -> Column:
 
 
 def write_layout(df: DataFrame, path: str, columns: list[str], files: int, bits: int = BITS) -> None:
-    """df under path/rows in about so many files, by ranges of the interleaved bits of the columns' buckets, and path/files with each file's
+    """df under path/rows in about so many files, or more where these would have over FILE_ROWS rows, by ranges of the interleaved bits of the columns' buckets, and path/files with each file's
     name, rows, and the least and greatest value (min_c, max_c) and nulls (nulls_c) of every column. Rows of one cell, however many, are dealt
     over several files by their order in the input."""
     if len(columns) * bits > 62:
         raise ValueError("at most 62 bits in all")
-    z = interleaved([bucket(head(df, c), e, bits) for c, e in zip(columns, bounds(df, columns, bits), strict=True)], bits)
+    n = df.count()
+    z = interleaved([bucket(head(df, c), e, bits) for c, e in zip(columns, bounds(df, columns, bits, n), strict=True)], bits)
     rows = df.withColumn("__z", z).withColumn("__order", F.monotonically_increasing_id())
-    ranged = rows.repartitionByRange(files, "__z", "__order").sortWithinPartitions("__z")
+    ranged = rows.repartitionByRange(max(files, ceil(n / FILE_ROWS)), "__z", "__order").sortWithinPartitions("__z")
     ranged.drop("__z", "__order").write.parquet(f"{path}/rows")
     spark = df.sparkSession
-    about = []
+    written = spark.read.schema(df.schema).parquet(f"{path}/rows").select(F.col("_metadata.file_name").alias("file"), *[f"`{c}`" for c in columns])
+    # distinct rows are counted by hash first: the least and greatest texts alone would have all rows of a task sorted
+    counted = written.groupBy("file", *[f"`{c}`" for c in columns]).agg(F.count("*").alias("__n"))
+    about = [F.sum("__n").alias("rows")]
     for c in columns:
         x = F.col(f"`{c}`")
-        about += [F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"), F.count_if(x.isNull()).alias(f"nulls_{c}")]
-    written = spark.read.schema(df.schema).parquet(f"{path}/rows")
-    written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"), *about).write.parquet(f"{path}/files")
+        about += [F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"), F.sum(F.when(x.isNull(), F.col("__n")).otherwise(0)).alias(f"nulls_{c}")]
+    counted.groupBy("file").agg(*about).write.parquet(f"{path}/files")
 
 
 def files_for(spark: SparkSession, path: str, ranges: dict[str, tuple]) -> list[str]:
