@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
-from ..functions.shared import cut
+from ..functions.shared import cut, stored
 from . import aggregates as A
 from . import coverage as C
 from . import extraction as X
@@ -79,7 +79,8 @@ def extracted(df: DataFrame, attempts: int, seed: int = 42) -> DataFrame:
 
 def certified_repair(df: DataFrame, queries: list[A.Query], seed: int = 42, policy: C.Policy = C.POLICIES[1]) -> DataFrame:
     """Over the records that extraction read within its repairs; an answer is shown if the policy lets its run be."""
-    got = cut(extracted(df, ATTEMPTS, seed))
+    used = A.fields_of(queries, df.columns) | {"product_id"}
+    got = stored(extracted(df.select([c for c in df.columns if c in used]), ATTEMPTS, seed))
     seen = eligible_counts(df, queries).join(eligible_counts(got, queries).withColumnRenamed("eligible", "extracted"), "query_id")
     observed = seen.select(
         F.col("query_id").alias("run_id"), "eligible", F.col("eligible").alias("retrieved"), "extracted", F.lit(0).alias("with_null"), F.lit(0).alias("ambiguous"),
@@ -99,7 +100,8 @@ CATALOGUE: dict[str, Callable[..., DataFrame]] = {
 
 
 def run_catalogue(df: DataFrame, queries: list[A.Query]) -> DataFrame:
-    """All of them; the records are retrieved once for both that start from the lexically nearest."""
+    """All of them, over records that are joined and written once; they are retrieved once for both that start from the lexically nearest."""
+    df = stored(df)
     top = cut(lexical(df, queries, 50))
     known = {"direct_bm25": {"top": top}, "extract_aggregate": {"top": top}}
     return reduce(DataFrame.unionByName, [f(df, queries, **known.get(name, {})).select(F.lit(name).alias("pipeline_id"), "*") for name, f in CATALOGUE.items()])
