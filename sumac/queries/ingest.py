@@ -58,9 +58,9 @@ def raw_lines(spark, sf_dir) -> DataFrame:
 
 
 def raw(spark, sf_dir) -> DataFrame:
-    """The lines as stored, each with its number."""
+    """The lines as stored, each with its number. Row groups are small, as a task reads whole ones: lines are short on disk and long to parse."""
     folder = workspace(spark)
-    raw_lines(spark, sf_dir).write.parquet(f"{folder}/lines")
+    raw_lines(spark, sf_dir).write.option("parquet.block.size", 8 << 20).parquet(f"{folder}/lines")
     return readers.parse_lines(spark.read.parquet(f"{folder}/lines"))
 
 

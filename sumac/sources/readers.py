@@ -60,7 +60,8 @@ def in_file_order(rows: DataFrame) -> DataFrame:
     blocks = rows.groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__m").alias("first"))
     upto = F.sum("n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
     blocks = blocks.select("__file", "__block", "first", F.coalesce(upto, F.lit(0)).alias("before"))
-    return rows.join(blocks, ["__file", "__block"]).withColumn("row_index", F.col("before") + F.col("__m") - F.col("first")).drop(*PLACE, "first", "before")
+    # sent to the rows where they lie: an exchange by block would leave a task to each block
+    return rows.join(F.broadcast(blocks), ["__file", "__block"]).withColumn("row_index", F.col("before") + F.col("__m") - F.col("first")).drop(*PLACE, "first", "before")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -69,14 +70,14 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     Columns: the RAW_FIELDS, line, malformed, number_time (the timestamp is a JSON number), first_category,
     keys (all keys of the object).
     """
-    v = F.try_parse_json("line")
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    is_object = F.col("__v").isNotNull() & F.col("line").rlike(r"^[ \t\r\n]*\{")  # what parses and begins so is one
     get = lambda name: F.try_variant_get("__v", f"$.{name}", "string")
     kind = F.schema_of_variant(F.try_variant_get("__v", "$.timestamp", "variant"))
-    rows = lines.withColumn("__v", v).withColumn("malformed", ~is_object)
+    # from a generator: a filter on the fields stays above it, where it would else parse the line again for each field
+    rows = lines.withColumn("__v", F.explode(F.array(F.try_parse_json("line"))))
     return rows.select(
         *[c for c in lines.columns],
-        "malformed",
+        (~is_object).alias("malformed"),
         *[get(f).alias(f) for f in RAW_FIELDS],
         F.coalesce(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.lit(False)).alias("number_time"),
         F.try_variant_get("__v", "$.categories[0]", "string").alias("first_category"),
