@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.shared import ship
 from ..sources.ingest import canonicalize, deduplicated
 from ..sources.readers import in_file_order, parse_lines
 
-#: What the state sees of a row.
-KEY = "source_record_id string, epoch long, row_index long"
+#: What the state sees of a row; an epoch has an id once.
+KEY = "source_record_id string, epoch long"
 #: Keeps state on disk, so that ids need not fit in memory.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -40,12 +35,11 @@ def stage_batch(batch: DataFrame, epoch: int, target: str, dataset_id: str = "d"
     rows.unpersist()
 
 
-def first_seen(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first row of an id that no earlier batch had; a batch can hold several epochs."""
-    first = min((k for f in frames for k in zip(f["epoch"], f["row_index"])), default=None)
-    if first is not None and not state.exists:
-        state.update((True,))
-        yield pd.DataFrame({"source_record_id": [key[0]], "epoch": [int(first[0])], "row_index": [int(first[1])]})
+def first_seen(keys: DataFrame) -> DataFrame:
+    """The first epoch of each id that no earlier batch had; a batch can hold several epochs. The state of an id is its first epoch and
+    the times of its first and last batch: an id is new where these are one."""
+    seen = keys.withColumn("at", F.current_timestamp()).groupBy("source_record_id").agg(F.min("epoch").alias("epoch"), F.min("at").alias("since"), F.max("at").alias("now"))
+    return seen.where("since = now").select("source_record_id", "epoch")
 
 
 def accept_batch(keys: DataFrame, batch: int, target: str, schema: str) -> None:
@@ -56,7 +50,7 @@ def accept_batch(keys: DataFrame, batch: int, target: str, schema: str) -> None:
     epochs = [r.epoch for r in keys.select("epoch").distinct().collect()]  # micro-batches since the last run
     if epochs:
         staged = spark.read.schema(f"{schema}, epoch long").option("basePath", f"{target}/staged").parquet(*[f"{target}/staged/epoch={e}" for e in epochs])
-        rows = staged.join(keys, ["source_record_id", "epoch", "row_index"], "left_semi").select(*staged.columns)
+        rows = staged.join(keys, ["source_record_id", "epoch"], "left_semi").select(*staged.columns)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{target}/records")
     elif batch == 0:  # nothing was accepted: a table without rows
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/records/epoch=0")
@@ -67,7 +61,6 @@ def start(lines: DataFrame, target: str, checkpoint: str, dataset_id: str = "d")
     """Ingests all files that are there. Lines are staged by one stream; a second one follows with the accepted ids as state: an id
     that comes again meets its state, and no earlier output is read. Returns the second one."""
     spark = lines.sparkSession
-    ship(__name__)
     empty = canonicalize(parse_lines(spark.createDataFrame([], "row_index long, line string")), dataset_id).drop("reason")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in empty.schema)
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{target}/staged/epoch=-1")
@@ -75,11 +68,10 @@ def start(lines: DataFrame, target: str, checkpoint: str, dataset_id: str = "d")
     staging.option("checkpointLocation", f"{checkpoint}/staged").trigger(availableNow=True).start().awaitTermination()
 
     keys = spark.readStream.schema(KEY).parquet(f"{target}/staged")
-    new = keys.groupBy("source_record_id").applyInPandasWithState(first_seen, KEY, "taken boolean", "append", GroupStateTimeout.NoTimeout)
     before = spark.conf.get(PROVIDER[0], None)
     spark.conf.set(*PROVIDER)
     try:
-        accepting = new.writeStream.outputMode("append").foreachBatch(lambda df, batch: accept_batch(df, batch, target, schema))
+        accepting = first_seen(keys).writeStream.outputMode("update").foreachBatch(lambda df, batch: accept_batch(df, batch, target, schema))
         return accepting.option("checkpointLocation", f"{checkpoint}/accepted").trigger(availableNow=True).start()
     finally:
         spark.conf.set(PROVIDER[0], before) if before else spark.conf.unset(PROVIDER[0])
