@@ -20,6 +20,8 @@ from ..functions.shared import stored
 from . import predicates as P
 
 RESULT = "query_id string, rank int, key string, value double"
+#: Columns of rows that stand for many records (see condense): how many, and a field's sum and number of values.
+N, SUM, NUMBER = "__n", "__sum_", "__number_"
 
 
 @dataclass(frozen=True)
@@ -115,6 +117,21 @@ def with_nulls(x: Column, nulls: str) -> Column:
     return F.coalesce(x, F.lit(0.0)) if nulls == "as_zero" else x
 
 
+def counted(df: DataFrame, inside: Column) -> Column:
+    """Aggregate: the records that are inside."""
+    return F.coalesce(F.sum(F.when(inside, F.col(N))), F.lit(0)) if N in df.columns else F.count_if(inside)
+
+
+def summed(df: DataFrame, inside: Column, name: str, nulls: str = "exclude") -> Column:
+    return F.sum(F.when(inside, with_nulls(F.col(SUM + name) if N in df.columns else number(df, name), nulls)))
+
+
+def averaged(df: DataFrame, inside: Column, name: str, nulls: str = "exclude") -> Column:
+    if N not in df.columns:
+        return F.avg(F.when(inside, with_nulls(number(df, name), nulls)))
+    return summed(df, inside, name, nulls) / F.nullif(F.sum(F.when(inside, F.col(N if nulls == "as_zero" else NUMBER + name))), F.lit(0))
+
+
 def bucket_of(trend: Trend) -> Column:
     t = F.col(trend.time)
     if trend.bucket == "month":
@@ -133,36 +150,35 @@ def values(spec, df: DataFrame, inside: Column) -> dict[str | None, Column]:
 @values.register
 def _(spec: Count, df, inside):
     if spec.field is None:
-        return {None: F.count_if(inside).cast("double")}
+        return {None: counted(df, inside).cast("double")}
     P.check(P.NotNull(spec.field), df.columns)
     return {None: F.count_distinct(F.when(inside, F.col(spec.field))).cast("double")}
 
 
 @values.register
 def _(spec: Sum, df, inside):
-    return {None: F.coalesce(F.sum(F.when(inside, number(df, spec.field))), F.lit(0.0))}
+    return {None: F.coalesce(summed(df, inside, spec.field), F.lit(0.0))}
 
 
 @values.register
 def _(spec: Mean, df, inside):
-    return {None: F.round(F.avg(F.when(inside, with_nulls(number(df, spec.field), spec.nulls))), spec.places)}
+    return {None: F.round(averaged(df, inside, spec.field, spec.nulls), spec.places)}
 
 
 @values.register
 def _(spec: Proportion, df, inside):
-    part = F.count_if(inside & F.coalesce(P.compile(spec.numerator, df), F.lit(False)))
-    return {None: F.round(part / F.nullif(F.count_if(inside), F.lit(0)), spec.places)}
+    part = counted(df, inside & F.coalesce(P.compile(spec.numerator, df), F.lit(False)))
+    return {None: F.round(part / F.nullif(counted(df, inside), F.lit(0)), spec.places)}
 
 
 @values.register
 def _(spec: Comparison, df, inside):
     def side(p: P.Predicate) -> Column:
         row = inside & F.coalesce(P.compile(p, df), F.lit(False))
-        n = F.count_if(row)
+        n = counted(df, row)
         if spec.measure == "count":
             return F.nullif(n, F.lit(0)).cast("double")
-        x = F.when(row, number(df, spec.field))
-        return F.avg(x) if spec.measure == "mean" else F.when(n > 0, F.coalesce(F.sum(x), F.lit(0.0)))
+        return averaged(df, row, spec.field) if spec.measure == "mean" else F.when(n > 0, F.coalesce(summed(df, row, spec.field), F.lit(0.0)))
 
     a, b = side(spec.a), side(spec.b)
     out = {"difference": F.round(a - b, 6), "ratio": F.round(a / F.nullif(b, F.lit(0.0)), 6)}
@@ -176,11 +192,11 @@ def group_key(spec: TopK | Trend, df: DataFrame) -> Column:
 
 def group_value(spec: TopK | Trend, df: DataFrame, inside: Column) -> Column:
     """A group's measure; null where the group has no row inside, or a mean has nothing to average."""
-    n = F.count_if(inside)
+    n = counted(df, inside)
     if spec.measure == "count":
         return F.nullif(n, F.lit(0)).cast("double")
-    x = F.when(inside, with_nulls(number(df, spec.field), getattr(spec, "nulls", "exclude")))
-    return F.round(F.avg(x), 6) if spec.measure == "mean" else F.when(n > 0, F.round(F.coalesce(F.sum(x), F.lit(0.0)), 6))
+    of = (df, inside, spec.field, getattr(spec, "nulls", "exclude"))
+    return F.round(averaged(*of), 6) if spec.measure == "mean" else F.when(n > 0, F.round(F.coalesce(summed(*of), F.lit(0.0)), 6))
 
 
 def unpivot(rows: DataFrame, keep: list[Column], parts: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -268,34 +284,43 @@ def evaluate(df: DataFrame, q: Query) -> DataFrame:
     return tall.select("query_id", F.when(F.col("key") == "ratio", 2).otherwise(1).alias("rank"), "key", "value")
 
 
-def batch_sql(queries: list[Query], source: str) -> list[str]:
+def number_sql(name: str) -> str:
+    return f"CAST(CAST({name} AS INT) AS DOUBLE)" if name == "verified_purchase" else f"CAST({name} AS DOUBLE)"
+
+
+def batch_sql(queries: list[Query], source: str, condensed: bool = False) -> list[str]:
     """Many queries as a few SQL statements over a table or view, one for all scalar ones and one for each distinct group:
-    the text's own way to the rows of evaluate_batch."""
-    number = lambda f: f"CAST(CAST({f} AS INT) AS DOUBLE)" if f == "verified_purchase" else f"CAST({f} AS DOUBLE)"
+    the text's own way to the rows of evaluate_batch. condensed: each row of the view stands for N records."""
 
-    def folded(measure: str, x: str, where: str) -> str:
-        n = f"COUNT(*) FILTER (WHERE {where})"
-        if measure == "count":
-            return f"CAST(NULLIF({n}, 0) AS DOUBLE)"
-        if measure == "mean":
-            return f"AVG({x}) FILTER (WHERE {where})"
-        return f"CASE WHEN {n} > 0 THEN COALESCE(SUM({x}) FILTER (WHERE {where}), 0.0) END"
+    def count(where: str) -> str:
+        return f"COALESCE(SUM({N}) FILTER (WHERE {where}), 0)" if condensed else f"COUNT(*) FILTER (WHERE {where})"
+
+    def total(spec, where: str, nulls: str = "exclude") -> str:
+        x = f"{SUM}{spec.field}" if condensed else number_sql(spec.field)
+        return f"SUM({f'COALESCE({x}, 0.0)' if nulls == 'as_zero' else x}) FILTER (WHERE {where})"
 
-    def value_of(spec) -> str:
-        x = number(spec.field)
-        return f"COALESCE({x}, 0.0)" if getattr(spec, "nulls", None) == "as_zero" else x
+    def mean(spec, where: str, nulls: str = "exclude") -> str:
+        if not condensed:
+            return "AVG" + total(spec, where, nulls).removeprefix("SUM")
+        return f"({total(spec, where, nulls)} / NULLIF(SUM({N if nulls == 'as_zero' else NUMBER + spec.field}) FILTER (WHERE {where}), 0))"
+
+    def folded(spec, where: str, nulls: str = "exclude") -> str:
+        n = count(where)
+        if spec.measure == "count":
+            return f"CAST(NULLIF({n}, 0) AS DOUBLE)"
+        return mean(spec, where, nulls) if spec.measure == "mean" else f"CASE WHEN {n} > 0 THEN COALESCE({total(spec, where, nulls)}, 0.0) END"
 
     def scalar(spec, where: str) -> list[tuple[str, int, str]]:
-        n = f"COUNT(*) FILTER (WHERE {where})"
+        n = count(where)
         if isinstance(spec, Count):
             return [("NULL", 1, f"COUNT(DISTINCT {spec.field}) FILTER (WHERE {where})" if spec.field else n)]
         if isinstance(spec, Sum):
-            return [("NULL", 1, f"COALESCE(SUM({value_of(spec)}) FILTER (WHERE {where}), 0.0)")]
+            return [("NULL", 1, f"COALESCE({total(spec, where, spec.nulls)}, 0.0)")]
         if isinstance(spec, Mean):
-            return [("NULL", 1, f"ROUND(AVG({value_of(spec)}) FILTER (WHERE {where}), {spec.places})")]
+            return [("NULL", 1, f"ROUND({mean(spec, where, spec.nulls)}, {spec.places})")]
         if isinstance(spec, Proportion):
-            return [("NULL", 1, f"ROUND(COUNT(*) FILTER (WHERE {where} AND {P.to_sql(spec.numerator)}) / NULLIF({n}, 0), {spec.places})")]
-        a, b = (folded(spec.measure, number(spec.field), f"{where} AND {P.to_sql(p)}") for p in (spec.a, spec.b))
+            return [("NULL", 1, f"ROUND({count(f'{where} AND {P.to_sql(spec.numerator)}')} / NULLIF({n}, 0), {spec.places})")]
+        a, b = (folded(spec, f"{where} AND {P.to_sql(p)}") for p in (spec.a, spec.b))
         cells = [("'difference'", 1, f"ROUND({a} - {b}, 6)"), ("'ratio'", 2, f"ROUND({a} / NULLIF({b}, 0.0), 6)")]
         return [c for c in cells if spec.output in (c[0].strip("'"), "both")]
 
@@ -312,7 +337,7 @@ def batch_sql(queries: list[Query], source: str) -> list[str]:
         rows = ", ".join(f"'{q}', {rank}, CAST({key} AS STRING), c{i}" for i, (q, key, rank, _) in enumerate(cells))
         out.append(f"SELECT stack({len(cells)}, {rows}) AS (query_id, rank, key, value) FROM (SELECT {wide} FROM {source}) w")
     for (key, top), qs in groups.items():
-        wide = ", ".join(f"ROUND({folded(q.aggregation.measure, value_of(q.aggregation) if q.aggregation.field else '', P.to_sql(q.scope))}, 6) AS c{i}" for i, q in enumerate(qs))
+        wide = ", ".join(f"ROUND({folded(q.aggregation, P.to_sql(q.scope), getattr(q.aggregation, 'nulls', 'exclude'))}, 6) AS c{i}" for i, q in enumerate(qs))
         rows = ", ".join(f"'{q.query_id}', c{i}" for i, q in enumerate(qs))
         tall = f"SELECT key, stack({len(qs)}, {rows}) AS (query_id, value) FROM (SELECT {key} AS key, {wide} FROM {source} GROUP BY 1) w WHERE key IS NOT NULL"
         options = ", ".join(f"('{q.query_id}', {-1 if top and q.aggregation.descending else int(top)}, {top and q.aggregation.ties == 'all'}, {q.aggregation.k if top else 1 << 30})" for q in qs)

@@ -11,10 +11,10 @@ from . import aggregates as A
 from . import predicates as P
 
 
-def evaluate_text(spark: SparkSession, queries: list[A.Query], view: str) -> DataFrame:
+def evaluate_text(spark: SparkSession, queries: list[A.Query], view: str, condensed: bool = False) -> DataFrame:
     """The queries by way of SQL text over a view, a path of its own beside the Column one: one statement for all
     scalar ones and one for each distinct group."""
-    return reduce(DataFrame.unionByName, [spark.sql(text) for text in A.batch_sql(queries, view)])
+    return reduce(DataFrame.unionByName, [spark.sql(text) for text in A.batch_sql(queries, view, condensed)])
 
 
 def compare(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:

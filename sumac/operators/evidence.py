@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import predicates as P
-from .aggregates import Comparison, Proportion, Query
+from .aggregates import Comparison, Proportion, Query, counted
 
 
 def contributing(df: DataFrame, q: Query, id_col: str = "record_id") -> DataFrame:
@@ -28,7 +28,7 @@ def contributing(df: DataFrame, q: Query, id_col: str = "record_id") -> DataFram
 def eligible_counts(df: DataFrame, queries: list[Query]) -> DataFrame:
     """query_id, eligible of many queries from one pass."""
     inside = [F.lit(True) if q.scope is None else P.compile(q.scope, df) for q in queries]
-    wide = df.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(inside)])
+    wide = df.agg(*[counted(df, c).alias(f"c{i}") for i, c in enumerate(inside)])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(q.query_id).alias("query_id"), F.col(f"c{i}").alias("eligible")) for i, q in enumerate(queries)])).alias("x")).select("x.*")
 
 

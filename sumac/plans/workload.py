@@ -7,8 +7,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..operators import aggregates as A
 from ..operators import predicates as P
+from ..operators.condense import condense, within_passes
 from ..operators.evidence import eligible_counts
 from .templates import DRAWN, MAKERS, TEMPLATES, Draws, Missing, Template
 
@@ -23,6 +25,9 @@ FILING = [
     ("filing_trend", A.Trend("year", "sum", "value", time="filing_date"), "tag"),
 ]
 
+#: Fields of the records with_shares that templates name.
+FIELDS = ["category", "brand", "rating", "helpful_votes", "verified_purchase", "event_time", "price", "five_star", "no_price"]
+
 
 SEED = 42
 
@@ -35,7 +40,8 @@ def draw_keys(per_template: int, seed: int = SEED) -> list[tuple[str, str, int,
 def drawn_values(df: DataFrame, per_template: int, seed: int = SEED) -> DataFrame:
     """template_id, n, field, first, second: for every draw, of all distinct categories, brands and years the two with
     the least hashes of the draw's key and the value. The keys are a fixed set; the values stay in Spark."""
-    texts = [F.struct(F.lit(f).alias("field"), (F.year("event_time") if f == "year" else F.col(f)).cast("string").alias("v")) for f in DRAWN]
+    df = df.select(*[(F.year("event_time") if f == "year" else F.col(f)).cast("string").alias(f) for f in DRAWN]).distinct()
+    texts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in DRAWN]
     values = df.select(F.explode(F.array(*texts)).alias("x")).select("x.*").where("v IS NOT NULL").distinct()
     keys = df.sparkSession.createDataFrame(draw_keys(per_template, seed), "template_id string, field string, n int, k string")
     pairs = values.join(F.broadcast(keys), "field").withColumn("x", F.struct(F.sha2(F.concat_ws("|", "k", "v"), 256).alias("h"), "v"))
@@ -105,13 +111,24 @@ def split_of(spec_hash: str) -> str:
     return "dev" if k < 8 else "val" if k == 8 else "test"
 
 
-def workload(df: DataFrame, per_template: int = 3, seed: int = SEED) -> list[A.Query]:
-    """Distinct, valid queries. All candidates are counted in one pass."""
-    queries = list({A.spec_hash(q): q for _, _, q in built(df, per_template, seed)}.values())
-    found = {r["query_id"]: r["eligible"] for r in eligible_counts(with_shares(df), queries).collect()}  # a row a query
+def candidates(df: DataFrame, per_template: int = 3, seed: int = SEED) -> list[A.Query]:
+    """Distinct queries."""
+    return list({A.spec_hash(q): q for _, _, q in built(df, per_template, seed)}.values())
+
+
+def valid(classes: DataFrame, queries: list[A.Query]) -> list[A.Query]:
+    """The valid ones of the queries, counted in their classes (see condense)."""
+    found = {r["query_id"]: r["eligible"] for r in eligible_counts(classes, within_passes(queries)).collect()}  # a row a query
     return [q for q in queries if found[q.query_id] >= needed(q)]
 
 
+def workload(df: DataFrame, per_template: int = 3, seed: int = SEED) -> list[A.Query]:
+    """Distinct, valid queries."""
+    df = stored(with_shares(df).select(*FIELDS))
+    queries = candidates(df, per_template, seed)
+    return valid(condense(df, queries), queries)
+
+
 def workload_table(spark: SparkSession, queries: list[A.Query]) -> DataFrame:
     rows = [(q.query_id, A.spec_hash(q), split_of(A.spec_hash(q)), *(q.tags[k] for k in ("template_id", "family", "difficulty", "question"))) for q in queries]
     return spark.createDataFrame(rows, "query_id string, spec_hash string, split string, template_id string, family string, difficulty string, question string")
