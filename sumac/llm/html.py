@@ -66,17 +66,22 @@ class Node:
     """An element, or a leaf of text. kind: what must agree for two nodes to match. shape: a hash of the
     kinds of the tree below; full: with its texts."""
 
-    __slots__ = ("kind", "tag", "dropped", "header", "main", "children", "text", "linked", "index", "size", "shape", "full")
+    __slots__ = ("kind", "tag", "dropped", "header", "main", "children", "text", "linked", "index", "size", "shape", "full", "number")
 
     def __init__(self, kind: str, tag: str, dropped: bool = False):
         self.kind, self.tag, self.dropped = kind, tag, dropped
         self.header, self.main = tag == "header", tag == "main"
         self.children: list[Node] = []
         self.text, self.linked, self.index, self.size = "", 0, -1, 1
-        self.shape = self.full = 0
+        self.shape = self.full = self.number = 0
 
 
-def opened(tag: str, attributes: str) -> Node:
+#: Start tags that a task has read lately, and what they mean.
+TAGS: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
+
+
+def meaning(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Of a start tag: kind, dropped, header, main."""
     kind, dropped, header, main = tag, tag in BOILERPLATE or tag in SKIPPED, tag == "header", tag == "main"
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, value in ATTRIBUTE.findall(attributes):
@@ -92,8 +97,18 @@ def opened(tag: str, attributes: str) -> Node:
                 dropped, main = dropped or value in ROLES, main or value == "main"
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 dropped = True
-    node = Node(kind, tag, dropped)
-    node.header, node.main = header, main
+    return kind, dropped, header, main
+
+
+def opened(tag: str, attributes: str) -> Node:
+    if (found := TAGS.get((tag, attributes))) is None:
+        found = meaning(tag, attributes)
+        if len(attributes) <= 200:
+            if len(TAGS) >= 4096:
+                TAGS.clear()
+            TAGS[tag, attributes] = found
+    node = Node(found[0], tag, found[1])
+    _, _, node.header, node.main = found
     return node
 
 
@@ -102,16 +117,19 @@ def in_order(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:
         out.append(n := stack.pop())
-        stack.extend(reversed(n.children))
+        if n.children:
+            stack += n.children[::-1]
     return out
 
 
 def headed(root: Node) -> set[int]:
     """Which nodes have a heading, by id: one pass over the tree, from below."""
     found: set[int] = set()
-    for n in reversed(in_order(root)):
-        if n.tag == "h1" or any(id(c) in found for c in n.children):
-            found.add(id(n))
+    nodes = in_order(root)
+    if any([n.tag == "h1" for n in nodes]):
+        for n in reversed(nodes):
+            if n.tag == "h1" or n.children and not found.isdisjoint([id(c) for c in n.children]):
+                found.add(id(n))
     return found
 
 
@@ -129,15 +147,14 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     fences: list[int] = []
 
     def close(at: int) -> None:
-        for n in reversed(stack[at:]):
-            opens[n.tag].pop()
-        del stack[at:]
+        while len(stack) > at:
+            opens[stack.pop().tag].pop()
         while fences and fences[-1] >= at:
             fences.pop()
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join("".join(pieces).split())
+        text = " ".join((pieces[0] if len(pieces) == 1 else "".join(pieces)).split())
         pieces.clear()
         if text:
             leaf = Node("#text", "#text")
@@ -148,29 +165,31 @@ def parse(html: str) -> tuple[Node, list[Node]]:
 
     def said(raw: str) -> None:
         nonlocal linked
-        if raw:
-            text = unescape(raw) if "&" in raw else raw
-            pieces.append(text)
-            if links:
-                linked += len(text.strip())
+        text = unescape(raw) if "&" in raw else raw
+        pieces.append(text)
+        if links:
+            linked += len(text.strip())
 
     at = 0
     for m in TOKEN.finditer(html):
-        said(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+        start, end = m.span()
+        if at < start:
+            said(html[at:start])
+        at = end
+        ends, tag, attributes = m.group("end", "tag", "attributes")
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "br" or tag in VOID and tag != "hr":
+        if tag in VOID and tag != "hr":
             pieces.append(" ")
             continue
         if tag in INLINE:
             if tag == "a":
-                links = max(0, links + (-1 if m["end"] else 1))
+                links = max(0, links + (-1 if ends else 1))
             continue
-        flush()
-        if m["end"]:
+        if pieces:
+            flush()
+        if ends:
             if (at_tag := opens.get(tag)) and (tag in FENCE or not fences or fences[-1] < at_tag[-1]):
                 close(at_tag[-1])
             continue
@@ -182,20 +201,26 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 close(last)
         if tag == "hr":
             continue
-        node = opened(tag, m["attributes"])
+        node = opened(tag, attributes)
         stack[-1].children.append(node)
         opens.setdefault(tag, []).append(len(stack))
         if tag in FENCE:
             fences.append(len(stack))
         stack.append(node)
         links = 0
-    said(html[at:])
+    if at < len(html):
+        said(html[at:])
     flush()
 
+    leaf = hash(("#text",))
     for n in reversed(in_order(root)):
-        n.size = 1 + sum([c.size for c in n.children])
-        n.shape = hash((n.kind, *[c.shape for c in n.children]))
-        n.full = hash((n.kind, n.text, *[c.full for c in n.children]))
+        if n.children:
+            n.size = 1 + sum([c.size for c in n.children])
+            n.shape = hash((n.kind, *[c.shape for c in n.children]))
+            n.full = hash((n.kind, n.text, *[c.full for c in n.children]))
+        else:
+            n.shape = leaf if n.kind == "#text" else hash((n.kind,))
+            n.full = hash((n.kind, n.text))
     return root, leaves
 
 
@@ -210,7 +235,7 @@ def paired(n: int, m: int, weights: Callable[[int], np.ndarray]) -> list[tuple[i
         for i in range(start, end):
             new = row.copy()
             np.maximum(row[1:], row[:-1] + weights(i), out=new[1:])
-            row = np.maximum.accumulate(new)
+            row = np.maximum.accumulate(new, out=new)
             yield row
 
     row = np.zeros(m + 1, np.int64)
@@ -285,6 +310,8 @@ def weights_of(left: list[Node], right: list[Node], known: dict[tuple[int, int],
 def texts(n: Node) -> set[str]:
     if not n.children:
         return {n.text} if n.kind == "#text" else set()
+    if len(n.children) == 1 and n.children[0].kind == "#text":
+        return {n.children[0].text}
     return {x.text for x in in_order(n) if x.kind == "#text"}
 
 
@@ -305,10 +332,11 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + 4 * a.size))
 
     def whole(x: Node, y: Node) -> None:
-        if x.children:
-            out.extend(zip(in_order(x), in_order(y)))
-        else:
-            out.append((x, y))
+        out.append((x, y))
+        if len(x.children) == 1 and not x.children[0].children:
+            out.append((x.children[0], y.children[0]))
+        elif x.children:
+            out.extend(zip(in_order(x)[1:], in_order(y)[1:]))
 
     stack = [(a, b)] if a.kind == b.kind else []
     while stack:
@@ -339,8 +367,8 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
                 nodes = weigh(i)
                 row = nodes * TEXTS
                 for t in texts(left[i]):
-                    if t in where:
-                        row[where[t]] += nodes[where[t]] > 0
+                    for j in where.get(t, ()):
+                        row[j] += nodes[j] > 0
                 return row
 
             stack.extend((left[i], right[j]) for i, j in paired(len(left), len(right), with_texts))
@@ -508,14 +536,15 @@ class References:
             if len(self.kept) >= 256:
                 self.kept.pop(next(iter(self.kept)))
             root, leaves = parse(html)
+            for i, n in enumerate(in_order(root)):
+                n.number = i
             self.kept[host] = in_order(root), leaves, slot_of(root, {w["node"]: w["varying"] for w in weights or ()})
         return self.kept[host]
 
 
 def met_nodes(nodes: list[Node], page: Node) -> dict[int, tuple[int, bool]]:
-    """By id of a page's node: the number of the reference's node that it meets, and whether both are leaves of one text."""
-    number = {id(n): i for i, n in enumerate(nodes)}
-    return {id(y): (number[id(x)], x.kind == "#text" and x.text == y.text) for x, y in matching(nodes[0], page)[1]}
+    """nodes: a reference's, numbered. By id of a page's node: the number of the reference's node that it meets, and whether both are leaves of one text."""
+    return {id(y): (x.number, x.kind == "#text" and x.text == y.text) for x, y in matching(nodes[0], page)[1]}
 
 
 def undropped(top: Node) -> Iterator[Node]:
@@ -530,15 +559,17 @@ def undropped(top: Node) -> Iterator[Node]:
 
 def keys(page: Node) -> dict[int, int]:
     """Hashes of the kinds down to each leaf and its text, by number of the leaf."""
-    out, stack = {}, [(page, b"")]
+    out, stack, known = {}, [(page, b"")], {}
     digest = lambda above, said: blake2b(above + said.encode("utf-8", "replace"), digest_size=8).digest()
     while stack:
         n, above = stack.pop()
         if n.kind == "#text":
             out[n.index] = int.from_bytes(digest(above, n.text), "big", signed=True)
         elif n.children:
-            here = digest(above, n.kind)
-            stack.extend((c, here) for c in n.children)
+            if (here := known.get(at := (above, n.kind))) is None:
+                here = known[at] = digest(above, n.kind)
+            for c in n.children:
+                stack.append((c, here))
     return out
 
 
