@@ -84,9 +84,9 @@ def times(queries: list[A.Query]) -> list[str]:
     return sorted({q.aggregation.time for q in queries if isinstance(q.aggregation, A.Trend)})
 
 
-def condense(df: DataFrame, queries: list[A.Query]) -> DataFrame:
+def condense(df: DataFrame, queries: list[A.Query], apart: tuple[str, ...] = ()) -> DataFrame:
     """The classes of all passes, written once: a value of each field, N records, and sums and numbers of the measures.
-    Ask them within_passes(queries)."""
+    Ask them within_passes(queries). Records that differ in the columns `apart` are in different classes."""
     kinds, out = dict(df.dtypes), []
     for f in set().union(*(named(q) | measured(q) for q in queries)):
         P.check(P.NotNull(f), df.columns)
@@ -101,8 +101,8 @@ def condense(df: DataFrame, queries: list[A.Query]) -> DataFrame:
             kept.append(F.min(f).alias(f))
         keys += [(F.year(t) * 12 + F.month(t)).alias(f"__month_{t}") for t in times(qs)]
         sums = [x for m in measures(qs) for x in (F.sum(A.number(df, m)).alias(A.SUM + m), F.count(A.number(df, m)).alias(A.NUMBER + m))]
-        rows = df.groupBy(*keys).agg(F.count("*").alias(A.N), *kept, *sums)
-        out.append(rows.select(F.lit(k).alias(PASS), *fields, A.N, *[c for m in measures(qs) for c in (A.SUM + m, A.NUMBER + m)]))
+        rows = df.groupBy(*keys, *apart).agg(F.count("*").alias(A.N), *kept, *sums)
+        out.append(rows.select(F.lit(k).alias(PASS), *fields, *apart, A.N, *[c for m in measures(qs) for c in (A.SUM + m, A.NUMBER + m)]))
     return stored(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +21,10 @@ def few(df: DataFrame) -> DataFrame:
 
 def render(records: DataFrame) -> DataFrame:
     """record_id, text of eight lines, and a map of metadata."""
-    line = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(F.col(c).cast("string"), F.lit("n/a")))
     names = [("ID", "record_id"), ("Title", "title"), ("Category", "category"), ("Brand", "brand"), ("Rating", "rating"), ("Verified", "verified_purchase"), ("Votes", "helpful_votes"), ("Price", "price")]
     meta = F.create_map(*[x for k in ("category", "brand", "product_id") for x in (F.lit(k), F.col(k))])
-    return records.select("record_id", F.concat_ws("\n", *[line(n, c) for n, c in names]).alias("text"), meta.alias("metadata"))
+    parts = [x for n, c in names for x in (F.lit(f"\n{n}: " if c != names[0][1] else f"{n}: "), F.coalesce(F.col(c).cast("string"), F.lit("n/a")))]
+    return records.select("record_id", F.concat(*parts).alias("text"), meta.alias("metadata"))
 
 
 def chunk(docs: DataFrame, size: int, overlap: int, text_col: str = "text") -> DataFrame:
@@ -52,13 +54,14 @@ def hash_embedding(text: Column, dims: int = 16) -> Column:
     return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y))))[0]
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", read: Callable | None = None) -> DataFrame:
     """query_id, unit, score, rank: the k vectors with the largest inner product for each query (query_id,
-    vector). The queries go to every task in blocks; each task keeps about k a query before the shuffle."""
-    rows = vectors.select(F.col(id_col).alias("unit"), F.col(vector_col).cast("array<double>").alias("v"))
+    vector). The queries go to every task in blocks; each task keeps about k a query before the shuffle. read: see inner_top."""
+    v = F.col(vector_col)
+    rows = vectors.select(F.col(id_col).alias("unit"), (v.cast("array<double>") if read is None else v).alias("v"))
     found = None
     for block, names in asked_in_blocks(queries.select("query_id", F.col("vector").cast("array<double>").alias("q")), SENT_ROWS):
-        pairs = inner_top(rows, block, k).join(F.broadcast(names), "n").drop("n")  # a block's names
+        pairs = inner_top(rows, block, k, read=read).join(F.broadcast(names), "n").drop("n")  # a block's names
         found = pairs if found is None else found.unionByName(pairs)
     return best_k(found, k)
 
