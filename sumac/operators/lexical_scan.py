@@ -24,8 +24,8 @@ TERMS = 128
 BYTES = 4_000_000
 #: Numbers that a task keeps of its candidates, about.
 CELLS = 4_000_000
-#: Units whose hashes are looked at together.
-HASHES = 4_000_000
+#: Units whose hashes are looked at together, and units whose terms are added up together.
+HASHES, ADDED = 4_000_000, 1_000_000
 TOTAL, COUNT, FOUND = range(3)
 
 ship(__name__)
@@ -196,7 +196,10 @@ def counted(units: DataFrame, terms: list[str], k: int) -> DataFrame:
         yield rows_of(TOTAL, pa.array(["units", "tokens"]), None, total)
 
     rows = units.select("unit", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(task, schema)
-    added = rows.groupBy("kind", "term", "found").agg(F.sum("n").alias("n"))
+    spark = units.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(units.count() / ADDED))
+    # many terms are rare: adding them up before they meet takes memory and spares little
+    added = rows.repartition(parts, "term", "found").groupBy("kind", "term", "found").agg(F.sum("n").alias("n"))
     own = F.when((F.col("kind") == TOTAL) | F.col("term").isin(terms), F.col("term"))
     return stored(added.select("kind", own.alias("term"), "found", "n").groupBy("kind", "term", "found", "n").agg(F.count("*").alias("times")))
 
